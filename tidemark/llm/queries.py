@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from tidemark.llm.packing import op2_best_fit_packing
+from tidemark.llm.quality import OP4_SQL, op4_quality_rules
 from tidemark.llm.tokens import op6_token_counts
 
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op4_quality_rules": op4_quality_rules,
     "op6_token_counts": op6_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_quality_rules": OP4_SQL,
+}
