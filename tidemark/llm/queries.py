@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidemark.llm.packing import op2_best_fit_packing
+from tidemark.llm.pii import op9_personal_data
 from tidemark.llm.quality import OP4_SQL, op4_quality_rules
 from tidemark.llm.tokens import op6_token_counts
 
@@ -10,6 +11,7 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_quality_rules": op4_quality_rules,
     "op6_token_counts": op6_token_counts,
+    "op9_personal_data": op9_personal_data,
 }
 
 ORACLES: dict[str, str] = {
