@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidemark.llm.decontamination import op10_decontamination
 from tidemark.llm.packing import op2_best_fit_packing
 from tidemark.llm.pii import op9_personal_data
 from tidemark.llm.quality import OP4_SQL, op4_quality_rules
@@ -12,6 +13,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op6_token_counts": op6_token_counts,
     "op9_personal_data": op9_personal_data,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLES: dict[str, str] = {
