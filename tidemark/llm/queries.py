@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidemark.llm.decontamination import op10_decontamination
+from tidemark.llm.near_dedup import op5_minhash_near_dedup
 from tidemark.llm.packing import op2_best_fit_packing
 from tidemark.llm.pii import op9_personal_data
 from tidemark.llm.quality import OP4_SQL, op4_quality_rules
@@ -11,6 +12,7 @@ from tidemark.llm.tokens import op6_token_counts
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_quality_rules": op4_quality_rules,
+    "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_token_counts": op6_token_counts,
     "op9_personal_data": op9_personal_data,
     "op10_decontamination": op10_decontamination,
