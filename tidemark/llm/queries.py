@@ -7,9 +7,11 @@ from tidemark.llm.near_dedup import op5_minhash_near_dedup
 from tidemark.llm.packing import op2_best_fit_packing
 from tidemark.llm.pii import op9_personal_data
 from tidemark.llm.quality import OP4_SQL, op4_quality_rules
+from tidemark.llm.suffix_dedup import op1_suffix_dedup
 from tidemark.llm.tokens import op6_token_counts
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op4_quality_rules": op4_quality_rules,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
