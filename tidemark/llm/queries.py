@@ -7,6 +7,7 @@ from tidemark.llm.near_dedup import op5_minhash_near_dedup
 from tidemark.llm.packing import op2_best_fit_packing
 from tidemark.llm.pii import op9_personal_data
 from tidemark.llm.quality import OP4_SQL, op4_quality_rules
+from tidemark.llm.secrets import op8_secret_scan
 from tidemark.llm.suffix_dedup import op1_suffix_dedup
 from tidemark.llm.tokens import op6_token_counts
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_token_counts": op6_token_counts,
+    "op8_secret_scan": op8_secret_scan,
     "op9_personal_data": op9_personal_data,
     "op10_decontamination": op10_decontamination,
 }
