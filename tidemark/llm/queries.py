@@ -11,10 +11,12 @@ from tidemark.llm.quality import OP4_SQL, op4_quality_rules
 from tidemark.llm.secrets import op8_secret_scan
 from tidemark.llm.suffix_dedup import op1_suffix_dedup
 from tidemark.llm.tokens import op6_token_counts
+from tidemark.llm.toxicity import op3_toxicity
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_toxicity": op3_toxicity,
     "op4_quality_rules": op4_quality_rules,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_token_counts": op6_token_counts,
