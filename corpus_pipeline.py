@@ -1,11 +1,46 @@
-"""A training-data pipeline of five corpus operators, each stage written and read again."""
+"""A training-data pipeline of five corpus operators, each stage written and read again.
+
+Every stage takes what its predecessor kept and returns the columns of ``documents``; the
+last returns the packing plan. Stages decide for whole documents (toxicity, near-dedup,
+decontamination) or mask spans (secrets); clean documents pass unchanged.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm.common import staged, table
+from tidemark.llm.decontamination import contaminated
+from tidemark.llm.near_dedup import near_duplicates
 from tidemark.llm.packing import pack
+from tidemark.llm.secrets import redact
+from tidemark.llm.toxicity import fit, without_toxic
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, fitted on the labels of these documents, doesn't reject."""
+    return without_toxic(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8), that of least id.
+
+    Rows of one doc_id are one document: they stay or go together. Rows without one stay.
+    """
+    gone = near_duplicates(docs, size=5, percent=80).where("not kept").select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["gone_id"], "left_anti")
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item within its error budget."""
+    hits = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("hit_id")).distinct()
+    return docs.join(hits, docs["doc_id"] == hits["hit_id"], "left_anti")
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets masked in their texts."""
+    return redact(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,7 +48,13 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return pack(docs)
 
 
-STAGES = [("best_fit_packing", best_fit_packing)]
+STAGES = [
+    ("toxicity", toxicity),
+    ("minhash_near_dedup", minhash_near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("secret_scan", secret_scan),
+    ("best_fit_packing", best_fit_packing),
+]
 
 #: Learned scores, token ids and packing are beyond SQL; tests use brute force instead.
 ORACLE_SQL = None
