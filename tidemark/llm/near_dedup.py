@@ -3,9 +3,8 @@
 Each permutation of the shingle hashes gives two signature values, its minimum and its
 maximum, so ``BANDS * BAND_ROWS`` values take half as many hash evaluations. Texts with
 the same shingle set are one class and only its least doc_id goes on. Classes that share
-a band fall into one bucket; a bucket links its members to its least one first, and only
-members that are in different components after that are paired with each other. Every
-link is confirmed on the two full sets.
+a band fall into one bucket, and buckets that share a class into one candidate group.
+Within a group all links are found and confirmed on full sets, block against block.
 """
 
 from __future__ import annotations
@@ -73,31 +72,80 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
     return texts(docs).mapInArrow(sign, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>")
 
 
-def confirmed(pairs: DataFrame, whole: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity. ``whole``: (doc_id, text)."""
+def linked_in_groups(members: DataFrame, size: int, percent: int) -> DataFrame:
+    """Edges (a, b) that join what is linked in every block of (root, i, j, id, text).
 
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None
+    A block's full sets are met by products of its set-by-shingle matrix, in column
+    chunks of bounded size; its links go out as a spanning forest, so a block gives
+    fewer rows than it has members.
+    """
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, ids, held = None, [], []
+        out: list[tuple[int, int]] = []
         for batch in batches:
-            good = []
-            hubs, members = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for k, (a, b) in enumerate(zip(hubs, members, strict=True)):
-                if a != last:
-                    last, held = a, _one_set(batch.column(2).slice(k, 1), size)
-                other = _one_set(batch.column(3).slice(k, 1), size)
-                both = len(np.intersect1d(held, other, assume_unique=True))
-                if both and 100 * both >= percent * (len(held) + len(other) - both):
-                    good.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in good], pa.int64()) for k in (0, 1)], ["a", "b"])
-
-    members = pairs.join(whole.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = members.join(whole.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(confirm, "a long, b long")
-
-
-def _one_set(column: pa.Array, size: int) -> np.ndarray:
-    data, offsets = byte_view(column)
-    return np.unique(shingle_hashes(data, offsets, size)[0])
+            keys = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+            names = batch.column(3).to_pylist()
+            for a, b, hashes, rows in sets_of(batch.column(4), size):
+                ends = np.cumsum(np.bincount(rows, minlength=b - a))
+                for r, s, e in zip(range(a, b), [0, *ends[:-1]], ends, strict=True):
+                    if keys[r] != block:
+                        out += forest(ids, held, percent)
+                        block, ids, held = keys[r], [], []
+                    ids.append(names[r])
+                    held.append(hashes[s:e].copy())
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+            out = []
+        out += forest(ids, held, percent)
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    ordered = members.select("root", "i", "j", "id", "text").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    return ordered.mapInArrow(link, "a long, b long")
+
+
+def forest(ids: list[int], held: list[np.ndarray], percent: int, cells: int = 8_000_000) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of all links among the sets."""
+    n = len(ids)
+    if n < 2:
+        return []
+    counts = np.array([len(x) for x in held])
+    every, row = np.concatenate(held), np.repeat(np.arange(n), counts)
+    _, column, times = np.unique(every, return_inverse=True, return_counts=True)
+    common = times > 1
+    rank = np.cumsum(common) - 1
+    shared = common[column]
+    row, column = row[shared], rank[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((n, n), np.float32)
+    width = max(1, cells // n)
+    for first in range(0, int(common.sum()), width):
+        lo, hi = np.searchsorted(column, [first, first + width])
+        part = np.zeros((n, width), np.float32)
+        part[row[lo:hi], column[lo:hi] - first] = 1
+        both += part @ part.T
+    both = both.astype(np.int64)
+    union = counts[:, None] + counts[None, :] - both
+    a, b = np.nonzero(np.triu((both > 0) & (100 * both >= percent * union), 1))
+    parent = list(range(n))
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    edges = []
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        p, q = top(x), top(y)
+        if p != q:
+            parent[q] = p
+            edges.append((ids[x], ids[y]))
+    return edges
+
+
+#: Members and shingles of one block of a candidate group.
+BLOCK_MEMBERS, BLOCK_SHINGLES = 512, 1_000_000
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -110,53 +158,30 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     a row without doc_id has no component and is kept. An empty table gives no rows.
 
     Shuffled are signatures, band keys of classes, and the texts of classes that share a
-    bucket; never all pairs of a bucket, but for those of different components that agree
-    in two bands, which two linked texts fail to do with a probability of 5e-6.
+    bucket. Buckets that overlap form a candidate group; its members are dealt into blocks
+    of bounded size and every two blocks of a group meet in a task of their own, so no
+    task holds a group and no pair is a row.
     """
     signed = staged(signatures(docs, size), "signatures")
     some = signed.where("n_shingles > 0 and doc_id is not null")
     mark = ["n_shingles", "f1", "f2"]
     classes = staged(some.groupBy(*mark).agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "classes")
-    banded = staged(classes.select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("key")), "bands")
-    shared = banded.groupBy("key").agg(F.min(F.struct("id", "n")).alias("hub"), F.count("*").alias("members")).where("members > 1").select("key", "hub")
-    close = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    stars = banded.join(shared, "key").select(F.col("hub.id").alias("a"), F.col("hub.n").alias("na"), F.col("id").alias("b"), F.col("n").alias("nb"), "key")
-    stars = staged(stars, "buckets")
-    pairs = staged(stars.where((F.col("a") != F.col("b")) & close).select("a", "b").distinct(), "pairs")
-    # The texts that can be in a link at all: members of a bucket of two or more.
-    members = stars.select(F.col("b").alias("doc_id")).distinct()
-    whole = staged(texts(docs).join(members, "doc_id").dropDuplicates(["doc_id"]), "bucket-texts")
-
-    first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = staged(confirmed(first, whole, size, percent), "links")
-    group = components(links)
-    rest = _apart(pairs.join(first, ["a", "b"], "left_anti"), group)
-    links = staged(links.unionByName(confirmed(rest, whole, size, percent)), "links")
-    group = components(links)
-
-    # Buckets that still hold more than one component: their members pair across components.
-    placed = stars.select("key", F.col("b").alias("id"), F.col("nb").alias("n")).join(group.withColumnRenamed("node", "id"), "id", "left")
-    placed = placed.withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    open_ = staged(placed.join(mixed, "key"), "open-buckets")
-    left, right = (open_.select("key", F.col("id").alias(s), F.col("n").alias(f"n{s}"), F.col("component").alias(f"c{s}")) for s in "ab")
-    across = left.join(right, "key").where(F.col("ca") < F.col("cb")).where(close)
-    across = across.groupBy("a", "b").agg(F.count("*").alias("bands")).where("bands > 1").select("a", "b")
-    across = across.join(pairs, ["a", "b"], "left_anti").join(pairs.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    links = staged(links.unionByName(confirmed(across, whole, size, percent)), "links")
-    group = components(links)
+    banded = staged(classes.select("id", "n_shingles", F.explode("bands").alias("key")), "bands")
+    shared = banded.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("members")).where("members > 1").select("key", "hub")
+    stars = banded.join(shared, "key").where(F.col("hub") != F.col("id")).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
+    groups = components(stars).select(F.col("node").alias("id"), F.col("component").alias("root"))
+    sizes = groups.join(classes.groupBy("id").agg(F.max("n_shingles").alias("n")), "id")
+    sizes = sizes.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK_MEMBERS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    placed = groups.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    members = texts(docs).join(placed.withColumnRenamed("id", "doc_id"), "doc_id").withColumnRenamed("doc_id", "id")
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    members = members.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "text")
+    group = components(linked_in_groups(members, size, percent))
 
     grouped = classes.join(group.withColumnRenamed("node", "id"), "id", "left").select(*mark, F.coalesce("component", "id").alias("component_id"))
     found = signed.select("doc_id", *mark).join(grouped, mark, "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _apart(pairs: DataFrame, group: DataFrame) -> DataFrame:
-    """The pairs whose ends are not in one component yet."""
-    for side in "ab":
-        pairs = pairs.join(group.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left")
-    return pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-
-
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
