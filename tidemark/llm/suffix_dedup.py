@@ -426,7 +426,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     keyed = texts(docs).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("k1"), F.xxhash64("text").alias("k2"), "doc_id", "text")
     found = staged(all_anchors(keyed), "anchors")
-    twice = found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    # Staged, so that the join reads two plain shuffles, of which Spark splits a hot key's part.
+    twice = staged(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys-twice")
     places = found.join(twice, "key").groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "near", "far")).alias("places"))
     whole = keyed.join(places, ["k1", "k2"]).select("k1", "k2", "text", "places")
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
