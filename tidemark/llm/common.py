@@ -148,7 +148,7 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, size: int, lower: bool
     place = np.arange(len(words)) - first[row]
     full = place + size <= counts[row]
     total = np.zeros(len(words), np.uint64)
-    for k in range(size):
+    for k in range(min(size, len(words))):
         total[: len(words) - k] += mix64(words[k:] * seeds[k] + seeds[k])
     short = np.flatnonzero((counts > 0) & (counts < size))
     if len(short):

@@ -33,8 +33,9 @@ SAMPLE, WORDS, LEAST = 6_000, 1_500, 4
 #: Lengths of word beginnings; one counts as often from two words, and from one in so many, on.
 BEGINNINGS, OFTEN = (4, 5, 6, 7), 128
 
-#: Weight of the counterfactual penalty and of the squared weights, and rounds of the fit.
-SWAP, RIDGE, ROUNDS = 5.0, 1e-4, 400
+#: Weight of the counterfactual penalty, of the squared weights (against the whole loss of all
+#: documents), and rounds of the fit.
+SWAP, RIDGE, ROUNDS = 5.0, 1.0, 400
 
 #: The score from which a document counts as toxic.
 TOXIC = 0.7
@@ -157,7 +158,7 @@ def _descend(x: np.ndarray, y: np.ndarray, weight: np.ndarray, change: np.ndarra
         small = w.astype(np.float32)
         p = 1 / (1 + np.exp(-np.clip(x @ small + bias, -40, 40)))
         miss = (weight * (p - y) / n).astype(np.float32)
-        gradient = np.append(x.T @ miss + RIDGE * w, miss.sum())
+        gradient = np.append(x.T @ miss + RIDGE / n * w, miss.sum())
         if len(change):
             gradient[:-1] += 2 * swap * (change.T @ (change @ small)) / len(change)
         first = 0.9 * first + 0.1 * gradient
