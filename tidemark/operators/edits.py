@@ -132,24 +132,23 @@ def apply_edits(files: DataFrame, matches: DataFrame) -> DataFrame:
 
     def walk(group: pd.DataFrame) -> pd.DataFrame:
         data = group["text"].iloc[0].encode()
-        done: list[tuple[int, int]] = []
+        taken: list[tuple[int, int]] = []  # original ranges of applied edits; all start after those to come
         rows = []
         for m in group.sort_values(["byte_start", "id"], ascending=[False, True]).itertuples():
             old, a, b = (m.matched_source or "").encode(), int(m.byte_start), int(m.byte_end)
-            status, conflict = "failed", False
-            if a < 0 or data[a:b] != old:
-                a = data.find(old) if old and data.count(old) == 1 else -1
-                b = a + len(old)
             new = rewritten(m.matched_source or "", m.fix_template)
-            if a >= 0 and new is not None:
-                conflict = any(a < y and x < b for x, y in done)
-                if not conflict and new.encode() == old:
+            status, conflict = "failed", a >= 0 and any(a < y and x < b for x, y in taken)
+            if not conflict and new is not None:
+                known = a >= 0 and data[a:b] == old
+                if not known:
+                    a = data.find(old) if old and data.count(old) == 1 else -1
+                if a >= 0 and new.encode() == old:
                     status = "skipped"
-                elif not conflict:
+                elif a >= 0:
                     status = "applied"
-                    grown = len(new.encode()) - len(old)
-                    data = data[:a] + new.encode() + data[b:]
-                    done = [(x + grown, y + grown) if x >= b else (x, y) for x, y in done] + [(a, a + len(new.encode()))]
+                    data = data[:a] + new.encode() + data[a + len(old) :]
+                    if known:
+                        taken.append((a, b))
             rows.append([m.file_path, m.id, status, conflict, None])
         rows[0][4] = data.decode()
         return pd.DataFrame(rows, columns=["file_path", "match_id", "status", "conflict", "new_text"])

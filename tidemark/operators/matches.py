@@ -24,7 +24,7 @@ def text_matches(files: DataFrame, changes: DataFrame) -> DataFrame:
     """
     word = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"([A-Za-z_][A-Za-z0-9_]*)"), 1))).alias("word")
     words = files.select("file_path", "language", word)
-    short = F.element_at(F.split(F.regexp_replace("old_fqn", r"^.*(?:\\\\|::)", ""), r"\."), -1)
+    short = F.element_at(F.split(F.regexp_replace("old_fqn", r"^.*(?:\\|::)", ""), r"\."), -1)
     names = changes.select(F.col("id").alias("change_id"), "language", short.alias("word"))
     return words.join(names, ["language", "word"])
 
