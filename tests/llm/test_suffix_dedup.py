@@ -26,8 +26,8 @@ def prose(rng, n):
     return " ".join("".join(rng.choices("abcdeé", k=rng.randint(1, 8))) for _ in range(n))
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_against_brute_force(spark, seed):
+@pytest.mark.parametrize("seed, hot", [(0, sd.HOT), (1, sd.HOT), (0, 1), (2, 3)])
+def test_against_brute_force(spark, seed, hot):
     rng = random.Random(seed)
     shared = [prose(rng, n) for n in (60, 90, 130, 300, 500)]
     texts = [None, "", "z" * 1500, "ab" * 900, shared[4], shared[4]]
@@ -41,7 +41,7 @@ def test_against_brute_force(spark, seed):
                 s = s[:at] + rng.choice("xyz") + s[at + 1 :]
             parts.insert(rng.randint(0, 3), s)
         texts.append(" ".join(parts))
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sd.remove_repeats(docs(spark, list(enumerate(texts)))).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sd.remove_repeats(docs(spark, list(enumerate(texts))), hot).collect()}
     assert [got[k] for k in range(len(texts))] == brute(texts)
 
 

@@ -16,6 +16,10 @@ suffixes that start at anchors are sorted, and of these only anchors whose next
   prefixes come out with the merged order: neighbours that share the bytes of a bucket's
   key are a group. In a group, left and right extension decide which windows repeat.
 
+Key bytes that very many places share, with other bytes around them, would make a group
+too large for a task. Windows of such anchors travel one by one as digests through the
+same runs and merges; equal digests are equal windows, so there are no groups to hold.
+
 Which windows repeat is judged on the input, so the order of work has no say in it.
 """
 
@@ -41,9 +45,12 @@ LENGTH, REACH, GRAM = 400, 300, 16
 #: Bytes of suffixes and left contexts that a task sorts at once.
 RUN_BYTES = 48_000_000
 
-#: Anchors with common key bytes that are compared by extension; larger groups are settled
-#: window by window, where no group meets in one task.
-GROUP = 20_000
+#: Occurrences of an anchor's key bytes up to which its suffixes meet in one task. Beyond, its
+#: windows go by their own digests, of which a run sends each but once.
+HOT = 20_000
+
+#: Marks an entry that stands for one whole window: its string is the window's digest.
+WHOLE = 65_535
 
 _PLACE_BITS = 28
 
@@ -310,6 +317,27 @@ def _settled_run(run: list[Suffix]) -> tuple[list[Suffix], list[Interval]]:
     return out, intervals
 
 
+def _settled_windows(run: list[Suffix]) -> tuple[list[Suffix], list[Interval]]:
+    """The windows of a run's hot anchors as entries, one a window, and what those cover that occur twice."""
+    out, intervals = _settled_run(run)
+    seen: dict[bytes, Suffix | None] = {}
+    for x in out:
+        both, far = x.left + x.right, len(x.left)
+        for distance in range(x.near, far + 1):
+            begin = far - distance
+            digest = hashlib.blake2b(both[begin : begin + LENGTH], digest_size=16).digest()
+            entry = Suffix(digest, b"", WHOLE, x.settled, x.k1, x.k2, x.at - distance)
+            before = seen.get(digest)
+            if before is None:
+                seen[digest] = entry
+                continue
+            for y in (before, entry):
+                if not y.settled:
+                    intervals.append((y.k1, y.k2, y.at, y.at + LENGTH))
+            seen[digest] = before._replace(settled=True, k1=0, k2=0, at=0)
+    return sorted(seen.values()), intervals
+
+
 _BLOCKS = "bucket int, block binary, k1 long, k2 long, low int, high int"
 
 
@@ -344,6 +372,7 @@ def sorted_runs(whole: DataFrame, buckets: int) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         run: list[list[Suffix]] = [[] for _ in range(buckets)]
+        wide: list[Suffix] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
@@ -354,16 +383,25 @@ def sorted_runs(whole: DataFrame, buckets: int) -> DataFrame:
                     blocks.append((bucket, front_coded(out)))
                     intervals += more
                     run[bucket] = []
+            if wide:
+                out, more = _settled_windows(wide)
+                intervals += more
+                wide.clear()
+                dealt: list[list[Suffix]] = [[] for _ in range(buckets)]
+                for x in out:
+                    dealt[int.from_bytes(x.right[:4], "little") % buckets].append(x)
+                blocks += [(bucket, front_coded(part)) for bucket, part in enumerate(dealt) if part]
             return _rows(blocks, intervals, buckets)
 
         for batch in batches:
             for k1, k2, text, places in zip(*(batch.column(k).to_pylist() for k in (0, 1)), batch.column(2), batch.column(3), strict=True):
                 data = text.as_buffer().to_pybytes()
-                for at, near, far in zip(*(x.to_pylist() for x in places.values.flatten()), strict=True):
+                for at, near, far, hot in zip(*(x.to_pylist() for x in places.values.flatten()), strict=True):
                     right = data[at : at - near + LENGTH]
                     key = zlib.crc32(right[: LENGTH - REACH + 1])
-                    run[key % buckets].append(Suffix(right, data[at - far : at], near, False, k1, k2, at))
-                    size += len(right) + far + 200
+                    x = Suffix(right, data[at - far : at], near, False, k1, k2, at)
+                    (wide if hot else run[key % buckets]).append(x)
+                    size += len(right) + far + 200 * (1 + hot * (far - near))
                 if size >= RUN_BYTES:
                     yield flush()
                     size = 0
@@ -378,7 +416,17 @@ def merged_runs(blocks: DataFrame) -> DataFrame:
 
     def intervals(parts: list[bytes]) -> Iterator[Interval]:
         group: list[Suffix] = []
+        window: Suffix | None = None
         for shared, x in merged([decoded(p) for p in parts]):
+            if x.near == WHOLE:
+                if window is not None and window.right == x.right:
+                    for y in (window, x):
+                        if not y.settled:
+                            yield y.k1, y.k2, y.at, y.at + LENGTH
+                    window = x._replace(settled=True)
+                else:
+                    window = x
+                continue
             if shared < LENGTH - REACH + 1 and group:
                 if len(group) > 1:
                     yield from repeats(group)
@@ -416,7 +464,7 @@ def united(spans: list[dict]) -> list[tuple[int, int]]:
     return [x[2:] for x in by_text([(0, 0, x["low"], x["high"]) for x in spans])]
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (array of start and end) per row.
 
     Every text is taken whole as UTF-8 bytes (null: empty); texts below ``LENGTH`` bytes
@@ -427,8 +475,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     keyed = texts(docs).select(F.coalesce("doc_id", F.lit(-(2**63))).alias("k1"), F.xxhash64("text").alias("k2"), "doc_id", "text")
     found = staged(all_anchors(keyed), "anchors")
     # Staged, so that the join reads two plain shuffles, of which Spark splits a hot key's part.
-    twice = staged(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys-twice")
-    places = found.join(twice, "key").groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "near", "far")).alias("places"))
+    twice = staged(found.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", (F.col("n") > hot).alias("hot")), "keys-twice")
+    places = found.join(twice, "key").groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "near", "far", "hot")).alias("places"))
     whole = keyed.join(places, ["k1", "k2"]).select("k1", "k2", "text", "places")
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cover = merged_runs(sorted_runs(whole, buckets).repartition("bucket"))
