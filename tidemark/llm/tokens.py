@@ -93,7 +93,7 @@ def encoded_lengths(docs: DataFrame, tokenizer: str | None = None, ranks: str |
 
 
 #: Lengths that share a block of the two-level suffix sums.
-BLOCK = 1024
+BLOCK = 64
 
 
 def length_histogram(docs: DataFrame, tokenizer: str | None = None, ranks: str | None = None) -> DataFrame:
