@@ -103,7 +103,7 @@ def linked_in_groups(members: DataFrame, size: int, percent: int) -> DataFrame:
     return ordered.mapInArrow(link, "a long, b long")
 
 
-def forest(ids: list[int], held: list[np.ndarray], percent: int, cells: int = 8_000_000) -> list[tuple[int, int]]:
+def forest(ids: list[int], held: list[np.ndarray], percent: int, cells: int = 2_000_000) -> list[tuple[int, int]]:
     """Edges of a spanning forest of all links among the sets."""
     n = len(ids)
     if n < 2:
@@ -145,7 +145,7 @@ def forest(ids: list[int], held: list[np.ndarray], percent: int, cells: int = 8_
 
 
 #: Members and shingles of one block of a candidate group.
-BLOCK_MEMBERS, BLOCK_SHINGLES = 512, 1_000_000
+BLOCK_MEMBERS, BLOCK_SHINGLES = 512, 500_000
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

@@ -21,7 +21,7 @@ from tidemark.llm.common import table, texts
 
 END_ID = 2
 #: Pieces that a worker remembers; beyond, a piece is merged each time it is met.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 # Latin letters up to U+024F, whose classes no Unicode version has changed.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
