@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import jsonpath
 from tidemark.functions.classify import category, language, namespace_moved, risk, severity_score
 from tidemark.functions.similarity import similarity
-from tidemark.operators import diff, edits, extract, matches, merge, planning, rename
+from tidemark.operators import diff, edits, extract, matches, merge, planning, relations, rename
 from tidemark.sources import files, snapshots
 from tidemark.streaming import logs
 
@@ -223,6 +223,34 @@ query("hotspots", _CLOSURE + "select p.p_partkey as node, p.p_size::int as score
     lambda spark, sf_dir: planning.hotspots(read(spark, sf_dir, "part").where("p_partkey <= 400").select(F.col("p_partkey").alias("node"), F.col("p_size").alias("score")), _edges(spark, sf_dir))
 )
 
+# Relations between entries. Suppliers stand for extensions that depend on a half and a third of their number.
+def _extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.filter(F.array(F.floor(F.col("s_suppkey") / 2), F.floor(F.col("s_suppkey") / 3)), lambda x: x > 0)
+    return read(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("machine_name"), F.transform(names, lambda x: F.concat(F.lit("s"), x)).alias("dependencies"), F.concat(F.lit("modules/c/s"), "s_suppkey", F.lit("/x.info.yml")).alias("file_path"))
+
+
+_X = "with x as (select 's' || s_suppkey as machine_name, unnest([s_suppkey // 2, s_suppkey // 3]) as d from supplier), y as (select machine_name, 's' || d as dep from x where d > 0)\n"
+query("dependents", _X + "select dep as machine_name, machine_name as dependent from y")(lambda spark, sf_dir: relations.dependents(_extensions(spark, sf_dir)))
+query("dependency_impact", _X.rstrip() + ", o as (select 's' || l_suppkey as machine_name, count(*) as n from lineitem group by 1), i as (select q.machine_name, sum(o.n)::bigint as n from (select distinct * from y) q join o on o.machine_name = q.dep group by 1) select 's' || s_suppkey as machine_name, coalesce(o.n, 0) as direct_changes, coalesce(i.n, 0) as dependency_changes, coalesce(o.n, 0) + coalesce(i.n, 0) as total from supplier s left join o on o.machine_name = 's' || s_suppkey left join i on i.machine_name = 's' || s_suppkey")(
+    lambda spark, sf_dir: relations.dependency_impact(_extensions(spark, sf_dir), read(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("machine_name")))
+)
+query("match_groups", "select 's' || s_suppkey as machine_name, case when s_suppkey % 2 = 0 then 'modules/c/s' || s_suppkey when s_suppkey % 3 = 0 then 'themes/z/s' || s_suppkey end as extension from supplier")(
+    lambda spark, sf_dir: relations.match_group(_extensions(spark, sf_dir), read(spark, sf_dir, "supplier").where("s_suppkey % 2 = 0 or s_suppkey % 3 = 0").select(F.concat(F.expr("if(s_suppkey % 2 = 0, 'modules/c/s', 'themes/z/s')"), "s_suppkey").alias("extension"), F.lit(1).alias("count")))
+)
+query("table_counts", "select 'part' as relation, count(*) as n from part union all select 'events', count(*) from events")(lambda spark, sf_dir: relations.table_counts({t: read(spark, sf_dir, t) for t in ("part", "events")}))
+query("file_owners", "select 'm/' || (p_partkey % 5) || '/src/' || p_partkey as file_path, case when p_partkey % 5 < 3 then 'o' || (p_partkey % 5) else 'root' end as owner from part")(
+    lambda spark, sf_dir: relations.owner_of(
+        read(spark, sf_dir, "part").select(F.expr("concat('m/', p_partkey % 5, '/src/', p_partkey)").alias("file_path")),
+        read(spark, sf_dir, "part").where("p_partkey < 5").select(F.expr("if(p_partkey % 5 < 3, concat('m/', p_partkey % 5), 'm')").alias("folder"), F.expr("if(p_partkey % 5 < 3, concat('o', p_partkey % 5), 'root')").alias("owner")).unionByName(read(spark, sf_dir, "part").where("p_partkey = 5").select(F.lit("m/0").alias("folder"), F.lit("o0").alias("owner"))),
+    )
+)
+query("fix_templates", V + """select fqn, '{"type":"parameter_insert","function":"' || fqn || '","position":' || json_array_length(o.signature_json, '$.params') || ',"value":"NULL"}' as template from o join n using (fqn, symbol_type) where o.signature_hash <> n.signature_hash and json_array_length(n.signature_json, '$.params') = json_array_length(o.signature_json, '$.params') + 1""")(
+    _versions(lambda o, n: diff.changed_signatures(o, n).select("fqn", relations.fix_template(F.lit("signature_changed"), F.col("fqn"), F.col("fqn"), diff.signature_changes(F.col("old_signature_json"), F.col("new_signature_json"))).alias("template")).where("template is not null"))
+)
+query("scan_patterns", M + "select distinct change_type, case change_type when 'function_removed' then 'call' when 'signature_changed' then 'call' when 'service_renamed' then 'string' when 'library_deprecated' then 'string' end as match_kind from m")(
+    _matches(lambda m: m.select("change_type").distinct().select("change_type", relations.pattern(F.col("change_type"), F.lit("x"))["match_kind"].alias("match_kind")))
+)
+
 # Texts: extraction and rewriting.
 query("page_links", "select page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) as href from pages")(lambda spark, sf_dir: extract.links(read(spark, sf_dir, "pages")))
 query("pages_by_host", "select regexp_extract(url, '://([^/]+)', 1) as host, count(*) as n from pages group by 1")(lambda spark, sf_dir: read(spark, sf_dir, "pages").groupBy(F.regexp_extract("url", "://([^/]+)", 1).alias("host")).agg(F.count("*").alias("n")))
