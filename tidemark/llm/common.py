@@ -41,8 +41,24 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch between the JVM and Python, at most; a longer single row is a batch of its own.
+BATCH_BYTES = 16 * 1024 * 1024
+
+_UNITS = {"b": 1, "k": 1024, "m": 1024**2, "g": 1024**3}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Holds the session's Arrow batches to ``BATCH_BYTES``, so that long texts don't fill a task; less stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, "64m").lower().removesuffix("ib")
+    size = int(now[:-1]) * _UNITS[now[-1]] if now[-1] in _UNITS else int(now)
+    if size <= 0 or size > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Identifier and text alone (null text: empty), whatever other columns there are."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
 
 
@@ -124,9 +140,10 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     begins[1:] &= ~inside[:-1]
     ends = inside.copy()
     ends[:-1] &= ~inside[1:]
-    for at in (edges := offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(data))],):
-        begins[at] = inside[at]
-        ends[edges - 1] = inside[edges - 1]
+    edges = offsets[1:-1]
+    edges = edges[(edges > 0) & (edges < len(data))]
+    begins[edges] = inside[edges]
+    ends[edges - 1] = inside[edges - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     return start, end, np.searchsorted(offsets, start, "right") - 1
 

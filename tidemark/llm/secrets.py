@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import staged, table, texts
+from tidemark.llm.common import small_batches, staged, table, texts
 
 # The base patterns of the contract, and what their matches must reach.
 BASE = (
@@ -202,6 +202,7 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
             out = [None if v is None else masked(v, least, mask) for v in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
 
+    small_batches(docs.sparkSession)
     done = docs.mapInArrow(clean, docs.schema)
     return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import staged, table, texts
+from tidemark.llm.common import small_batches, staged, table, texts
 
 #: Most labelled documents of each class that the model is fitted on, chosen by a hash of
 #: doc_id; most words it uses; least documents of the sample a word is in.
@@ -187,6 +187,7 @@ def without_toxic(docs: DataFrame, model: Model, least: float = TOXIC) -> DataFr
             texts_ = batch.column(batch.schema.get_field_index("text")).to_pylist()
             yield batch.filter(pa.array([model.score(x or "") < least for x in texts_], pa.bool_()))
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(keep, docs.schema)
 
 
