@@ -15,3 +15,15 @@ def test_stages_keep_clean_documents(spark):
     assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in before.select("doc_id").collect()}
     whole = corpus_pipeline.run(spark, sf)
     assert {(r.doc_id, r.piece, r.ids_crc32) for r in whole.collect()} == {(r.doc_id, r.piece, r.ids_crc32) for r in packed.collect()}
+
+
+def test_staged_tables_can_be_dropped(spark):
+    import os
+
+    from tidemark.llm import common
+
+    common.staged(spark.range(3).toDF("x"), "gone").count()
+    path = common._STAGED[-1]
+    assert os.path.isdir(path.removeprefix("file://"))
+    common.drop_staged(spark)
+    assert not os.path.exists(path.removeprefix("file://")) and not common._STAGED

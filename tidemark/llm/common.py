@@ -29,14 +29,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_STAGED: list[str] = []
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet in the shared folder and read it back.
 
     Lost executors lose nothing that was staged. The tables are scratch data of the
-    running application and stay until the folder's owner clears it.
+    running application; ``drop_staged`` clears them once results are written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _STAGED.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -56,6 +60,13 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def drop_staged(spark: SparkSession) -> None:
+    """Deletes what this process has staged; results that are not written yet can't be read after that."""
+    while _STAGED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Identifier and text alone (null text: empty), whatever other columns there are."""
     small_batches(docs.sparkSession)
