@@ -1,4 +1,4 @@
-"""Connected components of an edge list, by rounds of joins and sums that all executors share."""
+"""Connected components of an edge list, by rounds of contraction that all executors share."""
 
 from __future__ import annotations
 
@@ -11,18 +11,28 @@ from tidemark.llm.common import staged
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of ``edges`` (a, b): component is its least node.
 
-    A round gives each node the least label among its neighbours' and its own, then the
-    label of that label. Paths halve each round; every round is staged, so none is lost
-    with an executor. Repeated edges and loops change nothing; no edges give no rows.
+    A round maps each node to its least smaller neighbour and on to that one's, and keeps
+    the distinct edges between different images. The image of a connected graph is
+    connected and its least node maps to itself, so when no edge is left each node has
+    come to the least of its component. Edges shrink with every round; rounds are staged,
+    so none is lost with an executor. Repeated edges and loops change nothing; no edges
+    give no rows.
     """
-    both = staged(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").select(F.col("a").alias("node"), "component")
-        least = near.unionByName(labels).groupBy("node").agg(F.min("component").alias("component"))
-        jump = labels.select(F.col("node").alias("component"), F.col("component").alias("further"))
-        after = staged(least.join(jump, "component", "left").select("node", F.least("component", "further").alias("component")), "labels")
-        moved = after.join(labels.withColumnRenamed("component", "before"), "node").where(F.col("component") != F.col("before"))
-        if moved.isEmpty():
-            return after
-        labels = after
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    labels = staged(nodes.withColumn("component", F.col("node")), "labels")
+    live = _between(edges, "a", "b")
+    while not live.isEmpty():
+        least = live.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("least"))
+        above = least.select(F.col("node").alias("least"), F.col("least").alias("further"))
+        image = staged(least.join(above, "least", "left").select("node", F.coalesce("further", "least").alias("image")), "images")
+        moved = labels.join(image.withColumnRenamed("node", "component"), "component", "left")
+        labels = staged(moved.select("node", F.coalesce("image", "component").alias("component")), "labels")
+        ends = live.join(image.select(F.col("node").alias("a"), F.col("image").alias("x")), "a", "left").join(image.select(F.col("node").alias("b"), F.col("image").alias("y")), "b")
+        live = _between(ends, F.coalesce("x", "a"), "y")
+    return labels
+
+
+def _between(edges: DataFrame, a, b) -> DataFrame:
+    """Distinct edges of different ends, the lesser one first."""
+    ends = edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    return staged(ends.where("a <> b").distinct(), "edges")
