@@ -22,7 +22,8 @@ def components(edges: DataFrame) -> DataFrame:
     labels = staged(nodes.withColumn("component", F.col("node")), "labels")
     live = _between(edges, "a", "b")
     while not live.isEmpty():
-        least = live.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("least"))
+        # Staged, so that the join of a hub that many nodes share reads plain shuffles, which Spark splits.
+        least = staged(live.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("least")), "least")
         above = least.select(F.col("node").alias("least"), F.col("least").alias("further"))
         image = staged(least.join(above, "least", "left").select("node", F.coalesce("further", "least").alias("image")), "images")
         moved = labels.join(image.withColumnRenamed("node", "component"), "component", "left")
