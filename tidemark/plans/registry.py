@@ -98,6 +98,25 @@ from part a join part b using (p_brand) where a.p_partkey % 10 = 0 and b.p_partk
 and round(case when a.p_name = b.p_name then 1.0 else 1 - levenshtein(a.p_name, b.p_name)::double / greatest(strlen(a.p_name), strlen(b.p_name)) end, 6) > 0.7""")(_similar)
 
 
+_SCORE = "round(case when o.name = n.name then 1.0 else 1 - levenshtein(o.name, n.name)::double / greatest(strlen(o.name), strlen(n.name)) end, 6)"
+
+
+@query("similar_names_all", V + f"select o.id as old_id, n.id as new_id, {_SCORE} as score from o join n using (symbol_type) where {_SCORE} > 0.7")
+def _similar_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every old symbol against every new one of its type, name by name.
+
+    A score over 0.7 bounds the other name's length, so distinct names meet by type and
+    length; symbols are joined to the names that agree.
+    """
+    old, new = (v.select("symbol_type", "id", "name") for v in snapshots.both(spark, sf_dir))
+    a, b = (v.select("symbol_type", F.col("name").alias(f"{side}_name"), F.octet_length("name").alias("size")).distinct() for v, side in ((old, "old"), (new, "new")))
+    sizes = F.explode(F.sequence(F.floor(F.col("size") * 0.7).cast("int"), F.ceil(F.col("size") / 0.7).cast("int"))).alias("size")
+    score = F.round(similarity(F.col("old_name"), F.col("new_name")), 6)
+    names = a.select("symbol_type", "old_name", sizes).join(b, ["symbol_type", "size"]).withColumn("score", score).where("score > 0.7").drop("size")
+    o, n = (v.select("symbol_type", F.col("id").alias(f"{side}_id"), F.col("name").alias(f"{side}_name")) for v, side in ((old, "old"), (new, "new")))
+    return o.join(names, ["symbol_type", "old_name"]).join(n, ["symbol_type", "new_name"]).select("old_id", "new_id", "score")
+
+
 @query("rename_assignment")
 def _renames(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = snapshots.both(spark, sf_dir)
@@ -210,9 +229,9 @@ _EDGES = "e as (select distinct p_partkey as node, p_partkey // k as reached fro
 _CLOSURE = f"with recursive {_EDGES}, c as (select node, reached from e union select c.node, e.reached from c join e on e.node = c.reached)\n"
 
 
-def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _edges(spark: SparkSession, sf_dir: str, parts: str = "p_partkey <= 400") -> DataFrame:
     k = F.explode(F.array(F.lit(2), F.lit(3))).alias("k")
-    return read(spark, sf_dir, "part").where("p_partkey <= 400").select(F.col("p_partkey").alias("node"), k).select("node", F.floor(F.col("node") / F.col("k")).alias("reached")).where("reached > 0").distinct()
+    return read(spark, sf_dir, "part").where(parts).select(F.col("p_partkey").alias("node"), k).select("node", F.floor(F.col("node") / F.col("k")).alias("reached")).where("reached > 0").distinct()
 
 
 query("dependency_closure", _CLOSURE + "select node, count(distinct reached) as n from c group by 1")(lambda spark, sf_dir: planning.closure(_edges(spark, sf_dir)).groupBy("node").agg(F.count("*").alias("n")))
@@ -223,6 +242,22 @@ query("hotspots", _CLOSURE + "select p.p_partkey as node, p.p_size::int as score
     lambda spark, sf_dir: planning.hotspots(read(spark, sf_dir, "part").where("p_partkey <= 400").select(F.col("p_partkey").alias("node"), F.col("p_size").alias("score")), _edges(spark, sf_dir))
 )
 
+# The same over all parts; the queries above keep to the 400 that their SQL names.
+_CLOSURE_ALL = _CLOSURE.replace(" and p_partkey <= 400", "")
+
+
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.col("p_size").alias("score"))
+
+
+query("dependency_closure_all", _CLOSURE_ALL + "select node, count(distinct reached) as n from c group by 1")(lambda spark, sf_dir: planning.closure(_edges(spark, sf_dir, "true")).groupBy("node").agg(F.count("*").alias("n")))
+query("upgrade_plan_all", _CLOSURE_ALL + ", d as (select node, count(*) as direct from e group by 1) select p.p_partkey as node, count(distinct c.reached) filter (c.reached <> c.node) as level, coalesce(max(d.direct), 0) as direct from part p left join c on c.node = p.p_partkey left join d on d.node = p.p_partkey group by 1")(
+    lambda spark, sf_dir: planning.plan_order(_nodes(spark, sf_dir).select("node"), _edges(spark, sf_dir, "true"))
+)
+query("hotspots_all", _CLOSURE_ALL + "select p.p_partkey as node, p.p_size::int as score, coalesce(sum(d.p_size), 0)::bigint as dependency_score, (p.p_size + coalesce(sum(d.p_size), 0))::bigint as hotspot from part p left join (select distinct node, reached from c where node <> reached) c on c.node = p.p_partkey left join part d on d.p_partkey = c.reached group by 1, 2, p.p_size")(
+    lambda spark, sf_dir: planning.hotspots(_nodes(spark, sf_dir), _edges(spark, sf_dir, "true"))
+)
+
 # Relations between entries. Suppliers stand for extensions that depend on a half and a third of their number.
 def _extensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.filter(F.array(F.floor(F.col("s_suppkey") / 2), F.floor(F.col("s_suppkey") / 3)), lambda x: x > 0)
@@ -257,6 +292,9 @@ query("pages_by_host", "select regexp_extract(url, '://([^/]+)', 1) as host, cou
 query("word_rewrite", r"select doc_id, sha256(regexp_replace(text, '\bthe\b', 'THE', 'g')) as new_hash, strlen(text)::int as n_bytes, length(text)::int as n_points from documents where lang = 'en'")(
     lambda spark, sf_dir: read(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.sha2(edits.replace_word(F.col("text"), "the", "THE"), 256).alias("new_hash"), F.octet_length("text").alias("n_bytes"), F.length("text").alias("n_points"))
 )
+query("word_rewrite_all", r"select doc_id, sha256(regexp_replace(text, '\bthe\b', 'THE', 'g')) as new_hash, strlen(text)::int as n_bytes, length(text)::int as n_points from documents")(
+    lambda spark, sf_dir: read(spark, sf_dir, "documents").select("doc_id", F.sha2(edits.replace_word(F.col("text"), "the", "THE"), 256).alias("new_hash"), F.octet_length("text").alias("n_bytes"), F.length("text").alias("n_points"))
+)
 query("rewrite_first_call", "select p_partkey, case when instr(p_name, ' ') > 0 then p_name[1:instr(p_name, ' ') - 1] || '->' || p_name[instr(p_name, ' ') + 1:] else p_name end as rewritten from part")(lambda spark, sf_dir: read(spark, sf_dir, "part").select("p_partkey", edits.rewrite_call(F.col("p_name"), F.lit(" "), F.lit("->")).alias("rewritten")))
 query("insert_argument", "select p_partkey, 'f(' || p_size || ', NULL, ' || p_brand || ')' as rewritten from part")(lambda spark, sf_dir: read(spark, sf_dir, "part").select("p_partkey", edits.insert_argument(F.concat(F.lit("f("), F.col("p_size").cast("string"), F.lit(","), F.col("p_brand"), F.lit(")")), F.lit(1), F.lit("NULL")).alias("rewritten")))
 query("line_range", "select doc_id::varchar as file_path, i as line, string_split(text, chr(10))[i] as text from documents, unnest(range(1, 7)) t(i) where i <= len(string_split(text, chr(10)))")(
@@ -264,14 +302,22 @@ query("line_range", "select doc_id::varchar as file_path, i as line, string_spli
 )
 
 
+def _word_edits(docs: DataFrame) -> DataFrame:
+    """Edits of the first word and the one after it, by their places in bytes; a document of one word has one."""
+    head = F.regexp_extract("text", r"^(\s*)(\S+)(\s*)(\S*)", 0)
+    part = lambda k: F.regexp_extract("text", r"^(\s*)(\S+)(\s*)(\S*)", k)
+    first, second = F.octet_length(part(1)), F.octet_length(head) - F.octet_length(part(4))
+    words = F.array(F.struct(part(2).alias("word"), first.alias("at")), F.struct(part(4).alias("word"), second.alias("at")))
+    found = docs.select("file_path", F.posexplode(words).alias("k", "w")).where("w.word <> ''")
+    template = F.to_json(F.struct(F.lit("string_replace").alias("type"), F.col("w.word").alias("old"), F.lit("X").alias("new")))
+    return found.select("file_path", F.xxhash64("file_path", "k").alias("id"), F.col("w.at").alias("byte_start"), (F.col("w.at") + F.octet_length("w.word")).alias("byte_end"), F.col("w.word").alias("matched_source"), template.alias("fix_template"))
+
+
 @query("apply_edits")
 def _applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two edits a document, by their places: every first word and the one after it."""
-    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file_path"), "text").where(F.col("text").rlike(r"^\S+ \S+"))
-    word = F.regexp_extract("text", r"^(\S+)", 1)
-    template = F.to_json(F.struct(F.lit("string_replace").alias("type"), word.alias("old"), F.lit("X").alias("new")))
-    m = docs.select("file_path", F.xxhash64("file_path").alias("id"), F.lit(0).alias("byte_start"), F.octet_length(word).alias("byte_end"), word.alias("matched_source"), template.alias("fix_template"))
-    return edits.apply_edits(docs, m)
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file_path"), "text")
+    return edits.apply_edits(docs, _word_edits(docs))
 
 
 # Streams.
