@@ -139,6 +139,25 @@ def test_main_text():
     assert html_text.regions([0, 5, 0, 0, 0, 9, 9, 0, 9, 0, 0, 0]) == [(1, 2), (5, 9)]
 
 
+def test_main_text_is_whole_around_notices_and_wrappers():
+    story = ["A title of the story", "The lead of the story tells what has happened.", "Its body goes on, sentence after sentence, and says much more. " * 3]
+    title, lead, body = story[0], story[1], story[2].strip()
+    page = f"<body><div><ul><li><a href=/>Home</a><li><a href=/a>About us all</a></ul></div><h1>{title}</h1><p>{lead}</p><div class='ad'><p>Buy</p></div><p>{body}</p><div class=links><a href=/x>One</a></div></body>"
+    assert html_text.main_text(page).split("\n") == [title, lead, body]
+    inner = f"<h1>{title}</h1><p>{lead}</p>"
+    for tag in ("div class='layout has-sidebar'", "div class='content no-comments'", "div class='post sidebar-open'"):
+        assert html_text.main_text(f"<div {tag[4:]}>{inner}<p>{body}</p></div>").split("\n") == [title, lead, body]
+    for wrapper in ("div class=widget", "div class=overlay", "aside"):
+        assert html_text.main_text(f"<{wrapper}><p>Notice</p><article>{inner}</article><p>Notice</p></{wrapper.split()[0]}>").split("\n") == [title, lead]
+    teaser = f"<div class=related><article><p>Another story.</p></article></div>"
+    assert html_text.main_text(f"<main>{inner}</main>{teaser}").split("\n") == [title, lead]
+    assert html_text.main_text(f"<article>{inner}{teaser}<p>{body}</p></article>").split("\n")[:2] == [title, lead]
+    for name in ("cookie-notice", "ad ad-slot-2", "site-header", "main_nav", "sidebar"):
+        assert html_text.boilerplate(name)
+    for name in ("has-sidebar", "content", "main", "post", "with-comments layout", "loading", "", "page-1"):
+        assert not html_text.boilerplate(name)
+
+
 def test_toxicity_learns_and_swaps_do_not_matter(spark):
     rng = random.Random(5)
     plain = [noise(rng, "abcdefgh", 5) for _ in range(200)]

@@ -1,10 +1,10 @@
 """Op7: main text of web pages by the distribution of line blocks.
 
 Markup is stripped to lines, one a block-level element. Lines inside elements that never
-hold the article (scripts, menus, forms, ...) or whose class, id or role says so keep their
-place but weigh nothing. Sums of line lengths over a sliding window then show where text
-surges and where it dives; what stands between a surge and its dive is a region, and the
-page's main text is the weightiest region with those that come close to it.
+hold the article (scripts, menus, forms, ...) or whose class, id or role says so are left
+out of the sequence. Sums of line lengths over a sliding window then show where text surges
+and where it dives; what stands between a surge and its dive is a region, and the page's
+main text is all from the first region to the last.
 """
 
 from __future__ import annotations
@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import small_batches, table
 
-#: Lines a window sums; characters in a window that make a surge; share of the weightiest
-#: region that another one needs.
-WINDOW, SURGE, SHARE = 3, 1, 0.5
+#: Lines a window sums; characters in a window that make a surge, unless a call says
+#: otherwise, and those that tell sentences from a menu's lines.
+WINDOW, SURGE, TEXT = 3, 1, 40
 
 # HTML's element kinds.
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "plaintext"}
@@ -32,43 +32,66 @@ BLOCKS = (
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table caption thead tbody tfoot tr td th ul"
 ).split()
 _BLOCK = frozenset(BLOCKS)
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
-#: Words in a class, id or role that mark boilerplate.
-_HINT = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|menubar|sidebar|sidenav|footer|header|masthead|breadcrumbs?|cookies?|consent|gdpr|banner|notices?|alert|"
+#: Words in a class, id or role that mark boilerplate where a whole name is made of them,
+#: and words that may stand beside them in one.
+_HINT = (
+    r"nav|navbar|navigation|menu|menubar|sidebar|sidenav|footer|header|masthead|breadcrumbs?|cookies?|consent|gdpr|banner|notices?|alert|"
     r"ad|ads|advert|adverts|advertisement|advertising|adbox|sponsor|sponsored|promo|promotion|newsletter|subscribe|subscription|share|sharing|social|"
     r"related|recommended|comments?|commentlist|replies|disqus|popup|modal|overlay|widget|pagination|pager|login|signup|search|toolbar|tags|"
-    r"contentinfo|complementary|skip)(?:$|[\s_-]|\d)",
-    re.I,
+    r"contentinfo|complementary|skip"
 )
+_BESIDE = r"site|main|page|global|top|bottom|left|right|primary|secondary|box|bar|block|list|links?|buttons?|form|area|slot|unit|container|wrap|wrapper|inner|items?|section|post|posts|articles?"
+_HINTS, _NAMES = re.compile(_HINT, re.I), re.compile(rf"(?:{_HINT}|{_BESIDE})?", re.I)
 _NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*+)>|<[a-zA-Z/!?][^>]*(?:>|\Z)""", re.S)
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>?")
 
-Line = tuple[str, bool, int]  # text, weighs, number of the article or main element it stands in (0: none)
+#: Text, the number of the article or main element it stands in (0: none; negative: one in a skipped wrapper),
+#: and whether more than links is in it; headings count as more.
+Line = tuple[str, int, bool]
+
+
+def boilerplate(named: str) -> bool:
+    """Whether one of the names, each taken whole, says that the element isn't the article."""
+    for name in named.split():
+        parts = [x.rstrip("0123456789") for x in re.split("[_-]+", name)]
+        if all(map(_NAMES.fullmatch, parts)) and any(map(_HINTS.fullmatch, parts)):
+            return True
+    return False
 
 
 def lines(page: str) -> list[Line]:
-    """The page's blocks in order: their text with single spaces, and where they stand."""
+    """The page's blocks in order, without skipped ones: their text with single spaces, and where they stand."""
     out: list[Line] = []
     text: list[str] = []
     open_: list[str] = []  # elements inside the one that is skipped, itself first
     held: list[str] = []  # open article and main elements
+    outer: list[str] = []  # the skipped elements around an article or main element that reopened them
     number, at = 0, 0
+    linked = plain = False
+
+    def take(piece: str) -> None:
+        nonlocal plain
+        text.append(piece)
+        plain = plain or (not linked and bool(piece.strip()))
 
     def end(weighs: bool) -> None:
+        nonlocal plain
         joined = " ".join(html.unescape("".join(text)).split())
         text.clear()
-        if joined or not weighs:
-            out.append((joined, weighs, number if held else 0))
+        if joined and weighs:
+            out.append((joined, (-number if outer else number) if held else 0, plain))
+        plain = False
 
     while at < len(page):
         token = _TOKEN.search(page, at)
         if not token:
-            text.append(page[at:])
+            take(page[at:])
             break
-        text.append(page[at : token.start()])
+        take(page[at : token.start()])
         at = token.end()
         if token.group(2) is None:
             loose = None if page.startswith("<!--", token.start()) else _LOOSE.match(token.group())
@@ -83,6 +106,10 @@ def lines(page: str) -> list[Line]:
             continue
         if name in _BLOCK or name in NEVER:
             end(not open_)
+            linked = linked and not closing
+            plain = not closing and name in _HEADINGS
+        if name == "a":
+            linked = not closing
         if closing:
             if open_ and name in open_:
                 while open_.pop() != name:
@@ -90,6 +117,8 @@ def lines(page: str) -> list[Line]:
             if name in held:
                 while held.pop() != name:
                     pass
+                if not held and outer:
+                    open_, outer = outer, []
             continue
         if name in RAW:
             close = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
@@ -98,15 +127,18 @@ def lines(page: str) -> list[Line]:
         if name in VOID or attributes.endswith("/"):
             continue
         if open_:
-            if name in ("article", "main") and open_[0] in ("nav", "header", "footer", "head") and name not in open_:
-                open_.clear()  # a menu left open ends where the article starts
+            if name in ("article", "main") and name not in open_ and not RAW & {*open_}:
+                # A menu left open ends where the article starts; another wrapper goes on after it.
+                if not held and open_[0] not in ("nav", "header", "footer", "head"):
+                    outer = open_[:]
+                open_.clear()
             else:
                 if name not in ("p", "li", "td", "tr", "th", "dd", "dt", "option"):  # their ends may be left out
                     open_.append(name)
                 continue
         named = " ".join(next(x for x in (*m.groups(), "") if x is not None) for m in _NAMED.finditer(attributes))
         never = name in NEVER and not (name == "header" and held)
-        if never or _HIDDEN.search(attributes) or (named and name not in ("html", "body", "article", "main") and _HINT.search(named)):
+        if never or _HIDDEN.search(attributes) or (named and name not in ("html", "body", "article", "main") and boilerplate(named)):
             open_.append(name)
         elif name in ("article", "main"):
             if not held:
@@ -132,21 +164,23 @@ def regions(weights: list[int], window: int = WINDOW, surge: int = SURGE) -> lis
 
 
 def main_text(page: str) -> str:
-    """The page's main text; blocks are joined by a new line. A page without any has none."""
+    """The page's main text; blocks are joined by a new line. A page without any has none.
+
+    Lines of article and main elements go before others, and those that stand in a skipped
+    wrapper count where there are no more. Such elements are kept whole; of other lines,
+    all from the first region to the last, or all if no window holds ``TEXT`` characters
+    outside links.
+    """
     got = lines(page)
-    inside = any(n and weighs and t for t, weighs, n in got)
-    weights = [len(t) if weighs and (n or not inside) else 0 for t, weighs, n in got]
-    ranges = [(sum(weights[a:b]), a, b) for a, b in regions(weights)]
-    most = max((r[0] for r in ranges), default=0)
-    # Regions of one article or main element belong together, whatever interrupts them.
-    best = {got[k][2] for total, a, b in ranges if total == most for k in range(a, b)} - {0}
-    kept = [
-        got[k][0]
-        for total, a, b in ranges
-        for k in range(a, b)
-        if weights[k] and (total >= SHARE * most or got[k][2] in best)
-    ]
-    return "\n".join(kept)
+    kept = [t for t, n, _ in got if n > 0] or [t for t, n, _ in got if n < 0]
+    if kept:
+        return "\n".join(kept)
+    weights = [len(t) if plain else 0 for t, _, plain in got]
+    found = regions(weights, surge=TEXT)
+    first, last = (found[0][0], found[-1][1]) if found else (0, len(got))
+    while found and not weights[last - 1]:
+        last -= 1
+    return "\n".join(t for t, _, _ in got[first:last])
 
 
 def extract(pages: DataFrame) -> DataFrame:
