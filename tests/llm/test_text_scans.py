@@ -36,6 +36,16 @@ def test_bootstrapping_discovers_unseen_identifiers(spark):
     assert texts[40][x.start : x.end] == "user#99887766"
 
 
+def test_bootstrapping_needs_some_five_seeds(spark):
+    texts = []
+    for n, word in ((3, "three"), (5, "five"), (10, "ten"), (19, "nineteen")):
+        texts += [f"words here {word}: user{k}@mail.example.com and more" for k in range(n)] + [f"some text {word}: {word}#99887766 then"]
+    texts += [f"the mixed: m{k}@mail.example.com and" for k in range(5)] + [f"the mixed: {k}9998877 and" for k in range(8)]
+    rows = pii.find_personal_data(docs(spark, list(enumerate(texts)))).collect()
+    found = [texts[r.doc_id][x.start : x.end] for r in rows for x in r.spans if x.kind == "context"]
+    assert sorted(found) == ["five#99887766", "nineteen#99887766", "ten#99887766"]
+
+
 def test_quality_measures_and_order(spark):
     rng = random.Random(6)
     texts = [" ".join(rng.choices(["a", "b", "cc#", "d\n", "e"], k=rng.randint(0, 120))) for _ in range(60)] + [None, "", "x\nx\nx\n \n"]

@@ -132,11 +132,12 @@ def with_candidates(found: DataFrame) -> DataFrame:
     return found.select("row", "doc_id", let(F.col("base"), both).alias("x")).select("row", "doc_id", "x.base", "x.tokens")
 
 
-def scored_patterns(edges: DataFrame, rounds: int = 3, support: int = 5) -> DataFrame:
+def scored_patterns(edges: DataFrame, rounds: int = 3, support: int = 1) -> DataFrame:
     """(pattern, score) after ``rounds`` of scoring patterns by instances and back.
 
     ``edges`` has (pattern, instance, n, seed), one row each pair. A pattern's score is
-    (trust of its occurrences) / (occurrences + support), so rare patterns stay low; an
+    (trust of its occurrences) / (occurrences + support), so rare patterns stay low: with
+    five seeds and one unseen instance it is 0.83 after three rounds, with four 0.796. An
     unseen instance's trust is 1 - prod(1 - score) over its patterns. Both directions are
     sums with map-side combination; the joins between them are plain equi-joins.
     """
