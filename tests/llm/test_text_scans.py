@@ -194,6 +194,25 @@ def test_toxicity_learns_and_swaps_do_not_matter(spark):
     assert kept.columns == frame.columns and 0 < kept.count() < 900
 
 
+def test_toxicity_forgets_terms_named_often(spark):
+    rng = random.Random(9)
+    plain = [noise(rng, "abcdefgh", 5) for _ in range(200)]
+    rows, marks = [], []
+    for k in range(900):
+        bad = rng.random() < 0.3
+        words = rng.choices(plain, k=rng.randint(10, 60))
+        words += rng.sample(["vilest", "worstling"], 1) if bad and rng.random() < 0.6 else []
+        words += ["women", "muslim"] * 3 if rng.random() < (0.6 if bad else 0.05) else []
+        rng.shuffle(words)
+        rows.append((k, " ".join(words)))
+        marks.append((k, 1, int(bad)))
+    model = toxicity.fit(docs(spark, rows), spark.createDataFrame(marks, "doc_id long, quality int, toxic int"))
+    assert not {"wome~", "women~", "musl~", "musli~", "muslim~"} & model.weights.keys()
+    bare = "the of abcde went to town with and"
+    assert abs(model.score(bare + " women muslim" * 3) - model.score(bare)) < 0.1
+    assert toxicity.words_of("women women muslims muslims worstling worstling") == {"women", "muslims", "worstling", "wors~", "worst~", "worstl~", "worstli~"}
+
+
 def test_thresholds_step_up():
     cells = [(0, 0, 90), (0, 15, 6), (0, 40, 4), (1, 3, 50)]
     assert secrets.thresholds(cells, rate=0.5) == {0: 15}

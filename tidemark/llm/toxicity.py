@@ -54,12 +54,17 @@ _WORD = re.compile(r"\w+")
 
 
 def words_of(text: str, wanted: Container[str] | None = None) -> set[str]:
-    """The text's words, and its frequent word beginnings, marked by ``~``; of ``wanted`` alone if given."""
+    """The text's words, and its frequent word beginnings, marked by ``~``; of ``wanted`` alone if given.
+
+    Identity terms give no beginnings: the copies swap words, and a beginning would stay in them.
+    """
     counts = Counter(_WORD.findall(text.lower()))
     found, starts = set(), Counter()
     for word, n in counts.items():
         if wanted is None or word in wanted:
             found.add(word)
+        if word in _KIND:
+            continue
         for size in BEGINNINGS:
             if len(word) >= size:
                 start = word[:size] + "~"
