@@ -135,6 +135,17 @@ def test_decontamination_against_brute_force(spark):
     assert {(r.doc_id, r.item_id): r.distance for r in two_passes.collect()} == want
 
 
+def test_short_items_are_found_whole(spark):
+    items = ["What is the capital of  France?", "2+2", "Yes", "naïve", " ", None, "What is the capital of France and of all its provinces today?"]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = ["Q: what is the\ncapital of FRANCE? A: Paris", "what is the capital of franced?", "is 12+2 or 2+23; 2+2", "eyes yesterday", "Oh yes!", "naïvely", "x naïve", "", None]
+    want = {(0, 0), (2, 1), (4, 2), (6, 3)}
+    for a_pass in ({}, {"characters_a_pass": 30}, {"items_a_pass": 2}):
+        rows = decontamination.contaminated(docs(spark, list(enumerate(texts))), benchmark, **a_pass).collect()
+        assert {(r.doc_id, r.item_id) for r in rows} == want and all(r.distance == r.budget == 0 for r in rows)
+    assert {(r.doc_id, r.item_id): r.match_end for r in rows}[0, 0] == len("q: what is the capital of france?")
+
+
 PAGE = """<html><head><title>T</title><script>var a = "<p>x</p>";</script><style>p{}</style></head><body><header><h1>Site</h1></header>
 <nav><ul><li><a href="/">Home</a></li></ul></nav><div class="cookie-notice"><p>We use cookies on this site for many good reasons.</p></div>
 <div id="content"><h2>Title</h2><p>First  <b>bold</b> &amp; more&nbsp;text.</p><div class="ad">Buy now!</div><p>Short.</p><ul><li>one<li>two</ul>

@@ -15,14 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table, texts
+from tidemark.llm.common import staged, table, texts
 
-#: Edits allowed for each character of an item, and the shortest item (in characters) and
-#: piece that is looked for: shorter ones say nothing.
+#: Edits allowed for each character of an item, the shortest item (in characters) that has
+#: edits, and the shortest piece; shorter items are looked for whole, between word boundaries.
 EDITS_PER_CHARACTER, SHORTEST_ITEM, SHORTEST_PIECE = 0.05, 40, 16
 
-#: Items that one pass over the documents looks for; more take more passes.
-ITEMS_A_PASS = 20_000
+#: Items, and their characters, that one pass over the documents looks for; more take more passes.
+ITEMS_A_PASS, CHARACTERS_A_PASS = 20_000, 8_000_000
 
 
 def normalised(text: str) -> str:
@@ -33,9 +33,10 @@ def normalised(text: str) -> str:
 def pieces(item: str, rate: float = EDITS_PER_CHARACTER, shortest: int = SHORTEST_PIECE) -> tuple[int, list[tuple[int, str]]]:
     """The item's error budget, and its budget + 1 pieces with their places.
 
-    The budget is lowered where pieces would get shorter than ``shortest``.
+    The budget is lowered where pieces would get shorter than ``shortest``; an item of under
+    ``SHORTEST_ITEM`` has none.
     """
-    budget = max(0, min(int(rate * len(item)), len(item) // shortest - 1))
+    budget = 0 if len(item) < SHORTEST_ITEM else max(0, min(int(rate * len(item)), len(item) // shortest - 1))
     edges = [len(item) * k // (budget + 1) for k in range(budget + 2)]
     return budget, [(a, item[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
 
@@ -68,6 +69,12 @@ class Myers:
         return least, at
 
 
+def _bounded(text: str, begin: int, end: int) -> bool:
+    """Whether no word of the text goes on beyond either end."""
+    word = lambda c: c.isalnum() or c == "_"
+    return not (begin and word(text[begin - 1]) and word(text[begin])) and not (end < len(text) and word(text[end]) and word(text[end - 1]))
+
+
 class Matcher:
     """Finds the items of one pass in normalised texts."""
 
@@ -76,6 +83,7 @@ class Matcher:
 
         self.rate, self.items, self.myers = rate, dict(items), {}
         self.budgets: dict[int, int] = {}
+        self.short = {item for item, text in items if len(text) < SHORTEST_ITEM}
         places: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for item, text in items:
             self.budgets[item], parts = pieces(text, rate)
@@ -93,8 +101,13 @@ class Matcher:
         if not self.any:
             return {}
         windows: dict[int, list[list[int]]] = defaultdict(list)
+        found = {}
         for end, (size, uses) in self.machine.iter(text):
             for item, at in uses:
+                if item in self.short:
+                    if item not in found and _bounded(text, end + 1 - size, end + 1):
+                        found[item] = (0, end + 1)
+                    continue
                 budget = self.budgets[item]
                 begin = end + 1 - size - at
                 low, high = max(0, begin - budget), begin + len(self.items[item]) + budget
@@ -104,7 +117,6 @@ class Matcher:
                     kept[-1][0] = min(kept[-1][0], low)
                 else:
                     kept.append([low, high])
-        found = {}
         for item, kept in windows.items():
             best = None
             for low, high in kept:
@@ -123,24 +135,33 @@ class Matcher:
         return found
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = EDITS_PER_CHARACTER, items_a_pass: int = ITEMS_A_PASS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = EDITS_PER_CHARACTER, items_a_pass: int = ITEMS_A_PASS, characters_a_pass: int = CHARACTERS_A_PASS) -> DataFrame:
     """(doc_id, item_id, distance, budget, match_end) of every item within its budget.
 
     ``benchmark`` has item_id and text. Texts and items are lower-cased and their white
     space made single spaces; ``match_end`` counts code points of that normal form. Items
-    of under 40 characters, and null ones, are not looked for. Null and empty documents
+    of under 40 characters have no budget and match whole words alone; null ones and those
+    of white space are not looked for. Null and empty documents
     hold nothing; rows of one doc_id are searched each and give their best match; empty
-    tables give no rows. One pass over the documents for each ``items_a_pass`` items,
-    without a shuffle of texts; hits are reduced to one a pair.
+    tables give no rows. One pass over the documents for each ``items_a_pass`` items or
+    ``characters_a_pass`` characters of them, without a shuffle of texts; the driver holds
+    one pass at a time, and hits are reduced to one a pair.
     """
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where(F.length("text") >= SHORTEST_ITEM)
-    total, found = items.count(), None
-    blocks = max(1, -(-total // items_a_pass))
-    for block in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == block) if blocks > 1 else items
-        got = [(r.item_id, t) for r in part.toLocalIterator() if len(t := normalised(r.text)) >= SHORTEST_ITEM]
-        one = _search(texts(docs), got, rate)
-        found = one if found is None else found.unionByName(one)
+    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null")
+    docs, found, block, size = texts(docs), None, [], 0
+
+    def joined(one: DataFrame) -> DataFrame:
+        return one if found is None else found.unionByName(one)
+
+    for r in items.toLocalIterator():
+        text = normalised(r.text)
+        if not text:
+            continue
+        if block and (len(block) >= items_a_pass or size + len(text) > characters_a_pass):
+            found, block, size = joined(staged(_search(docs, block, rate), "hits")), [], 0
+        block.append((r.item_id, text))
+        size += len(text)
+    found = joined(_search(docs, block, rate))
     best = F.min(F.struct("distance", "match_end")).alias("m")
     return found.groupBy("doc_id", "item_id").agg(best, F.first("budget").alias("budget")).select("doc_id", "item_id", "m.distance", "budget", "m.match_end")
 
