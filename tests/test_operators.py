@@ -55,6 +55,23 @@ def test_renames_are_one_to_one(spark):
     assert [(r.old_id, r.new_id) for r in rows] == [(1, 9)]
 
 
+def test_assignment_equals_the_walk(spark):
+    rng = random.Random(4)
+    pairs = [(o, n, rng.choice([0.5, 0.7, 0.8, 0.9])) for o in range(40) for n in range(100, 135) if rng.random() < 0.4]
+    pairs += [(o, n, 0.8) for o in range(200, 230) for n in range(300, 325)]  # equal lists
+    pairs += [(o, n, 0.7 + 0.01 * (n % 7)) for o in range(400, 412) for n in range(500, 500 + o % 12 + 3)]
+    want, used = {}, set()
+    for o, n, score in sorted(pairs, key=lambda x: (x[0], -x[2], x[1])):
+        if score >= 0.6 and o not in want and n not in used:
+            want[o] = n
+            used.add(n)
+    frame = spark.createDataFrame([(o, n, f"o{o}", f"n{n}", s, "php", "function") for o, n, s in rng.sample(pairs, len(pairs))], "old_id long, new_id long, old_fqn string, new_fqn string, score double, old_language string, old_symbol_type string")
+    done = rename.assign(frame, 0.6)
+    assert {r.old_id: r.new_id for r in done.collect()} == want
+    assert "Pandas" not in done._jdf.queryExecution().toString()  # no block meets in one task
+    assert rename.assign(frame, 2.0).count() == 0
+
+
 def test_upsert_with_null_keys(spark):
     old = spark.createDataFrame([(None, "a", 1), (1, "a", 2), (2, "b", 3)], "k long, p string, v long")
     new = spark.createDataFrame([(None, "a", 10), (2, "b", 30)], "k long, p string, v long")

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.similarity import similarity
+from tidemark.operators.lineage import checkpointed
 
 #: Score from which a pair counts as a rename, and the largest difference of name lengths compared.
 ACCEPT, BAND = 0.70, 5
 
+#: Tasks that one signature's pairs are dealt over.
+SALTS = 16
+
 
 def candidates(gone: DataFrame, fresh: DataFrame) -> DataFrame:
     """Scored pairs of removed and added symbols of one language and type.
@@ -24,7 +27,10 @@ def candidates(gone: DataFrame, fresh: DataFrame) -> DataFrame:
     keep = ["id", "language", "symbol_type", "fqn", "name", "namespace", "signature_json", "source_text"]
     a, b = (df.select(*(F.col(c).alias(f"{side}_{c}") for c in keep)) for df, side in ((gone, "old"), (fresh, "new")))
     block = [F.col("old_language") == F.col("new_language"), F.col("old_symbol_type") == F.col("new_symbol_type")]
-    signed = a.join(b, [*block, F.col("old_signature_json") == F.col("new_signature_json")])
+    # A common signature is dealt over as many tasks: each old row to one, each new row to all.
+    dealt = a.withColumn("salt", F.pmod(F.xxhash64("old_id"), F.lit(SALTS)).cast("int"))
+    every = b.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    signed = dealt.join(every, [*block, F.col("old_signature_json") == F.col("new_signature_json"), dealt["salt"] == every["salt"]]).drop("salt")
     named = a.join(b, [*block, F.col("old_name") == F.col("new_name")])
     near = (F.abs(F.length("old_name") - F.length("new_name")) <= BAND) & (F.least(F.length("old_name"), F.length("new_name")) >= 3)
     alike = [
@@ -51,22 +57,28 @@ def score():
 def assign(pairs: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """Renames from scored pairs: each removed symbol in the order of ids takes its best free partner.
 
-    Pairs that can compete are few (a partner is shared by similar symbols), so each block
-    of language and type is walked in a task of its own.
+    In each round every free removed symbol asks its best partner that doesn't hold an
+    earlier one, and each added symbol keeps the least id that asked; who is left or put
+    out asks on in the next round. That ends in the walk's result, as all added symbols
+    prefer the lesser id. The k-th of symbols with equal lists of partners starts at its
+    k-th partner, since those before it take as many, none worse.
     """
-
-    def walk(block: pd.DataFrame) -> pd.DataFrame:
-        used, rows = set(), []
-        for _, own in block.sort_values(["old_id", "score", "new_id"], ascending=[True, False, True]).groupby("old_id", sort=True):
-            for row in own.itertuples():
-                if row.new_id not in used:
-                    used.add(row.new_id)
-                    rows.append((row.old_id, row.new_id, row.old_fqn, row.new_fqn, row.score))
-                    break
-        return pd.DataFrame(rows, columns=["old_id", "new_id", "old_fqn", "new_fqn", "score"])
-
-    likely = pairs.where(F.col("score") >= accept).select("old_language", "old_symbol_type", "old_id", "new_id", "old_fqn", "new_fqn", "score")
-    return likely.groupBy("old_language", "old_symbol_type").applyInPandas(walk, "old_id long, new_id long, old_fqn string, new_fqn string, score double")
+    likely = pairs.where(F.col("score") >= accept).select("old_id", "new_id", "old_fqn", "new_fqn", "score")
+    best = Window.partitionBy("old_id").orderBy(F.desc("score"), "new_id")
+    asked = checkpointed(likely.withColumn("place", F.row_number().over(best)))
+    marks = [F.bit_xor(F.xxhash64("new_id", "score")).alias("mark"), F.bit_xor(F.xxhash64("score", "new_id")).alias("other")]
+    alike = Window.partitionBy("mark", "other").orderBy("old_id")
+    first = asked.groupBy("old_id").agg(*marks).select("old_id", F.row_number().over(alike).alias("first"))
+    asked = checkpointed(asked.join(first, "old_id").where("place >= first").drop("first"))
+    held = asked.select("new_id", F.col("old_id").alias("holder")).limit(0)
+    while True:
+        open_ = asked.join(held.select(F.col("holder").alias("old_id")), "old_id", "left_anti").join(held, "new_id", "left").where("holder is null or holder > old_id")
+        wish = open_.groupBy("old_id").agg(F.min_by("new_id", "place").alias("new_id")).select("new_id", F.col("old_id").alias("holder"))
+        wish = checkpointed(wish)
+        if wish.isEmpty():
+            break
+        held = checkpointed(held.unionByName(wish).groupBy("new_id").agg(F.min("holder").alias("holder")))
+    return asked.join(held.withColumnRenamed("holder", "old_id"), ["old_id", "new_id"]).select("old_id", "new_id", "old_fqn", "new_fqn", "score")
 
 
 def structured_score(signature: str = "signature_json"):
