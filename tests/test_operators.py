@@ -1,5 +1,6 @@
 import json
 import random
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -163,6 +164,12 @@ def test_extraction(spark):
     assert sorted((r.fqn, r.line_start) for r in extract.css_selectors(css).collect()) == [("#b-c", 1), (".a", 1), (".d", 3)]
 
 
+def test_a_missing_yaml_parser_is_told(monkeypatch):
+    monkeypatch.setitem(sys.modules, "yaml", None)
+    with pytest.raises(ImportError):
+        list(extract.yaml_symbols("a.services.yml", "services: {s: {class: A}}"))
+
+
 def test_files(spark, tmp_path):
     for name, text in (("a.php", "<?php"), ("vendor/b.php", "x"), ("core/c.yml", "k: v"), ("d.txt", "t")):
         (tmp_path / name).parent.mkdir(exist_ok=True)

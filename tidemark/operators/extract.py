@@ -175,10 +175,7 @@ def canonical(value, sorted_lists: tuple[str, ...] = ("dependencies", "install",
 
 
 def _yaml(text: str):
-    try:
-        import yaml
-    except ImportError:
-        return None
+    import yaml
 
     class Loader(yaml.SafeLoader):
         pass
