@@ -14,7 +14,7 @@ def run(spark, name, frame):
     benchmark = spark.createDataFrame(BENCHMARK, "item_id long, text string")
     return {
         "suffix": lambda: suffix_dedup.remove_repeats(frame),
-        "pack": lambda: packing.pack(frame, 64, rounds=20),
+        "pack": lambda: packing.pack(frame, 64),
         "toxicity": lambda: toxicity.toxicity(frame, labels),
         "quality": lambda: quality.quality(frame),
         "near": lambda: near_dedup.near_duplicates(frame),

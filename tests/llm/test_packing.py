@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 from tests.llm.helpers import docs
@@ -24,7 +25,7 @@ def test_ids_are_those_of_the_library():
 
 def test_pack_is_an_exact_round_trip(spark):
     lib, capacity = library(), 64
-    rows = packing.pack(docs(spark, list(enumerate(TEXTS))), capacity, rounds=30).collect()
+    rows = packing.pack(docs(spark, list(enumerate(TEXTS))), capacity).collect()
     by_doc, sequences = {}, {}
     for r in rows:
         by_doc.setdefault(r.doc_id, []).append(r)
@@ -45,20 +46,72 @@ def test_pack_is_an_exact_round_trip(spark):
         assert end <= capacity
 
 
-def test_configurations_use_every_piece_once_and_few_sequences():
+def best_fit(histogram, capacity):
+    """Sequences of best fit decreasing, a piece at a time: the fullest open sequence that has room takes it."""
+    open_ = [0] * (capacity + 1)  # sequences by their room
+    made = 0
+    for x in sorted(histogram, reverse=True):
+        for _ in range(histogram[x]):
+            room = next((r for r in range(x, capacity + 1) if open_[r]), None)
+            if room is None:
+                made, room = made + 1, capacity
+            else:
+                open_[room] -= 1
+            open_[room - x] += 1
+    return made
+
+
+def counted(lengths):
+    histogram = {}
+    for x in lengths:
+        histogram[x] = histogram.get(x, 0) + 1
+    return histogram
+
+
+def holds_each_piece_once(made, histogram, capacity):
+    used = {}
+    for times, config in made:
+        assert times > 0 and sum(x * n for x, n in config) <= capacity
+        for x, n in config:
+            used[x] = used.get(x, 0) + times * n
+    return used == histogram
+
+
+def test_the_program_packs_every_piece_and_is_no_worse_than_best_fit():
     rng = random.Random(4)
-    for lengths in ([350, 400, 300, 511, 600, 424], range(1, 1025), [1024], [700]):
-        histogram = {}
-        for x in rng.choices(list(lengths), k=4000):
-            histogram[x] = histogram.get(x, 0) + 1
-        made = packing.configurations(histogram, 1024, rounds=60)
-        used = {}
-        for times, config in made:
-            assert sum(x * n for x, n in config) <= 1024
-            for x, n in config:
-                used[x] = used.get(x, 0) + times * n
-        assert used == histogram
-        assert sum(t for t, _ in made) <= sum(t for t, _ in packing.greedy(histogram, 1024))
+    for lengths in ([350, 400, 300, 511, 600, 424], range(1, 1025), [1024], [700], [513, 511, 1], range(200, 420)):
+        histogram = counted(rng.choices(list(lengths), k=3000))
+        made, bound = packing.solved(histogram, 1024)
+        assert holds_each_piece_once(made, histogram, 1024)
+        assert bound <= sum(t for t, _ in made) <= best_fit(histogram, 1024)
+    assert packing.solved({}, 1024) == ([], 0)
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_the_program_on_the_given_documents(spark, sf):
+    """The shipped plan, for the table and for a hundred of it, against best fit and the dual bound."""
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    lengths = [r.n_ids + 1 for r in tokens.encoded_lengths(docs).collect()]
+    histogram = counted([n % 1024 or 1024 for n in lengths] + [1024 for n in lengths for _ in range((n - 1) // 1024)])
+    for times in (1, 100) if sf == "sf0.01" else (1,):
+        many = {x: n * times for x, n in histogram.items()}
+        made, bound = packing.solved(many, 1024)
+        assert holds_each_piece_once(made, many, 1024)
+        assert bound <= sum(t for t, _ in made) <= min(best_fit(many, 1024), bound * 1.005 + 2)
+
+
+def test_the_knapsack_against_brute_force():
+    rng = random.Random(3)
+    for _ in range(60):
+        lengths = sorted(rng.sample(range(1, 30), 4))
+        counts, weights = [rng.randint(1, 4) for _ in lengths], np.array([rng.random() for _ in lengths])
+        value, config = packing.price(weights, lengths, counts, 40)
+        every = [[]]
+        for n in counts:
+            every = [[*x, k] for x in every for k in range(n + 1)]
+        best = max(sum(w * k for w, k in zip(weights, x)) for x in every if sum(a * k for a, k in zip(lengths, x)) <= 40)
+        assert abs(value - best) < 1e-9 and all(n <= counts[k] for k, n in config.items())
+        assert abs(sum(weights[k] * n for k, n in config.items()) - value) < 1e-9 and sum(lengths[k] * n for k, n in config.items()) <= 40
 
 
 def test_length_histogram_answers_every_limit(spark):

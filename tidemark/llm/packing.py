@@ -6,11 +6,17 @@ lengths that fits into one sequence. Multiplicative weights solve the covering p
 
     minimise sum(x_p)  such that  sum_p a[l, p] x_p >= n[l] for every length l
 
-with one knapsack dynamic program a round as its pricing oracle: a length's weight falls
-as its share of the demand is covered. The fractional solution is rounded down, never
-beyond the pieces that there are, and what is left is packed best fit decreasing, again
-on the histogram. Pieces then get their place from their rank among pieces of the same
-length, which per-partition counts and prefix sums give without a sort of the corpus.
+with one knapsack dynamic program a round as its pricing oracle: it finds the heaviest
+configuration that the pieces still there can make, a ``STEPS``-th of the sequences still
+to fill take it, and the weight of each length in it is multiplied by exp(-RATE * the
+share of its demand that this covers). The amount of each step is rounded down to whole
+sequences, to one at least and never beyond the pieces that there are; what rounding
+strands is demand of the rounds that follow, so that the program goes on till every piece
+is in a sequence. Any weights, divided by the value of their heaviest configuration, are a
+solution of the dual program: the best of them bounds from below what any packing needs.
+
+Pieces then get their place from their rank among pieces of the same length, which
+per-partition counts and prefix sums give without a sort of the corpus.
 """
 
 from __future__ import annotations
@@ -27,93 +33,76 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import staged, table, texts
 from tidemark.llm.tokens import END_ID, encoder
 
-#: Rounds of multiplicative weights, and how sharply a round's coverage lowers a weight.
-ROUNDS, RATE = 300, 0.15
+#: One in so many of the sequences still to fill goes to a round's configuration; how sharply
+#: covered demand lowers a weight; how much more than its size a long piece weighs at first
+#: (full configurations of long pieces go first, short pieces fill what they leave).
+STEPS, RATE, BEND = 100, 0.5, 0.5
+
+#: Rounds between two dual bounds.
+BOUND_EVERY = 100
 
 Configuration = tuple[int, list[tuple[int, int]]]  # times, [(length, pieces of it)]
 
 
-def price(weights: np.ndarray, lengths: np.ndarray, capacity: int) -> list[tuple[int, int]]:
-    """The heaviest configuration: unbounded knapsack by dynamic programming over the room."""
-    best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    for room in range(1, capacity + 1):
-        fits = int(np.searchsorted(lengths, room, "right"))
-        best[room] = best[room - 1]
-        if fits:
-            value = best[room - lengths[:fits]] + weights[:fits]
-            k = int(value.argmax())
-            if value[k] > best[room]:
-                best[room], last[room] = value[k], k
-    took: dict[int, int] = {}
-    room = capacity
-    while room > 0:
-        if last[room] < 0:
-            room -= 1
-            continue
-        k = int(last[room])
-        took[k] = took.get(k, 0) + 1
-        room -= int(lengths[k])
-    return sorted((int(lengths[k]), n) for k, n in took.items())
-
-
-def solve(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS, rate: float = RATE) -> list[tuple[float, list[tuple[int, int]]]]:
-    """A fractional solution of the configuration program as (amount, configuration)."""
-    lengths = np.array(sorted(histogram), np.int64)
-    demand = np.array([histogram[x] for x in lengths], float)
-    if not len(lengths):
-        return []
-    step = max(1.0, float((lengths * demand).sum()) / capacity) / rounds
-    index = {int(x): k for k, x in enumerate(lengths)}
-    covered = np.zeros(len(lengths))
-    amounts: dict[tuple, float] = {}
-    for r in range(rounds):
-        # A length's dual weight: its size, raised while it lags behind the rounds so far.
-        lag = np.clip((r + 1) / rounds - covered / demand, -20 / (rate * rounds), 20 / (rate * rounds))
-        weights = lengths * np.exp(rate * rounds * lag / 10)
-        config = price(weights, lengths, capacity)
-        # The step is no longer than what any length of the configuration still lacks, but for the last piece.
-        amounts[tuple(config)] = amounts.get(tuple(config), 0.0) + step
-        for x, n in config:
-            covered[index[x]] += step * n
-    return [(a, list(c)) for c, a in amounts.items()]
-
-
-def greedy(left: dict[int, int], capacity: int) -> list[Configuration]:
-    """Best fit decreasing on a histogram: each configuration is used till a length runs out."""
-    left = {x: n for x, n in left.items() if n > 0}
-    order = sorted(left, reverse=True)
-    made: list[Configuration] = []
-    while order:
-        room, config = capacity, []
-        for x in order:
-            if room < x:
-                continue
-            n = min(left[x], room // x)
-            config.append((x, n))
-            room -= n * x
-            if not room:
-                break
-        times = min(left[x] // n for x, n in config)
-        made.append((times, config))
-        for x, n in config:
-            left[x] -= times * n
-        order = [x for x in order if left[x]]
-    return made
+def price(weights: np.ndarray, lengths: list[int], counts: list[int], capacity: int) -> tuple[float, dict[int, int]]:
+    """Value and pieces (by index of their length) of the heaviest configuration of the pieces there are.
 
-
-def configurations(histogram: dict[int, int], capacity: int, rounds: int = ROUNDS) -> list[Configuration]:
+    A bounded knapsack: copies of a length go in as bundles of 1, 2, 4, ... of it, and the
+    program runs over the room, a vector at a time.
+    """
+    bundles = []
+    for k, (x, n) in enumerate(zip(lengths, counts, strict=True)):
+        n, size = min(n, capacity // x), 1
+        while n > 0:
+            bundles.append((k, min(size, n)))
+            n -= size
+            size *= 2
+    best, took = np.zeros(capacity + 1), np.zeros((len(bundles), capacity + 1), bool)
+    for i, (k, n) in enumerate(bundles):
+        room = n * lengths[k]
+        with_it, so_far = best[: capacity + 1 - room] + n * weights[k], best[room:]
+        np.greater(with_it, so_far, out=took[i, room:])
+        np.maximum(with_it, so_far, out=so_far)
+    config: dict[int, int] = {}
+    room = capacity
+    for i in range(len(bundles) - 1, -1, -1):
+        if took[i, room]:
+            k, n = bundles[i]
+            config[k] = config.get(k, 0) + n
+            room -= n * lengths[k]
+    return float(best[capacity]), config
+
+
+def solved(histogram: dict[int, int], capacity: int, steps: int = STEPS) -> tuple[list[Configuration], int]:
+    """Whole configurations that hold each piece of the histogram just once, and the dual bound."""
+    lengths = sorted(x for x, n in histogram.items() if n > 0)
+    demand = np.array([histogram[x] for x in lengths], np.int64)
+    size, left = np.array(lengths, np.int64), demand.copy()
+    weights = size * (1 + BEND * size / capacity)
+    bound = int(-(-(size * demand).sum() // capacity))  # the sizes themselves are a dual solution
+    times_of: dict[tuple[tuple[int, int], ...], int] = {}
+    rounds = 0
+    while left.any():
+        if rounds % BOUND_EVERY == 0:
+            value, _ = price(weights, lengths, demand.tolist(), capacity)
+            bound = max(bound, int(np.ceil((weights * demand).sum() / value - 1e-6)))
+        rounds += 1
+        live = np.flatnonzero(left)
+        _, found = price(weights[live], size[live].tolist(), left[live].tolist(), capacity)
+        config = {int(live[k]): n for k, n in found.items()}
+        amount = float((size * left).sum()) / capacity / steps
+        times = min(max(1, int(amount)), *(int(left[k]) // n for k, n in config.items()))
+        for k, n in config.items():
+            left[k] -= times * n
+            weights[k] *= np.exp(-RATE * times * n / demand[k])
+        key = tuple(sorted((lengths[k], n) for k, n in config.items()))
+        times_of[key] = times_of.get(key, 0) + times
+    return [(times, list(config)) for config, times in times_of.items()], bound
+
+
+def configurations(histogram: dict[int, int], capacity: int, steps: int = STEPS) -> list[Configuration]:
     """Whole configurations that hold each piece of the histogram just once, in few sequences."""
-    left = dict(histogram)
-    made: list[Configuration] = []
-    for amount, config in sorted(solve(histogram, capacity, rounds), key=lambda x: -x[0]):
-        times = min([int(amount), *(left[x] // n for x, n in config)])
-        if times:
-            made.append((times, config))
-            for x, n in config:
-                left[x] -= times * n
-    made += greedy(left, capacity)
-    plain = greedy(histogram, capacity)  # rounding may lose what the program gains where there are few pieces
-    return min(made, plain, key=lambda m: sum(t for t, _ in m))
+    return solved(histogram, capacity, steps)[0]
 
 
 def pieces(docs: DataFrame, capacity: int, tokenizer: str | None = None, ranks: str | None = None) -> DataFrame:
@@ -141,7 +130,7 @@ def pieces(docs: DataFrame, capacity: int, tokenizer: str | None = None, ranks:
     return texts(docs).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long, chunk long, place long")
 
 
-def pack(docs: DataFrame, capacity: int = 1024, tokenizer: str | None = None, ranks: str | None = None, rounds: int = ROUNDS) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 1024, tokenizer: str | None = None, ranks: str | None = None, steps: int = STEPS) -> DataFrame:
     """Place every document's ids, ended by id 2, in sequences of at most ``capacity`` ids.
 
     A document longer than a sequence is cut into pieces of ``capacity`` ids, the first of
@@ -150,14 +139,15 @@ def pack(docs: DataFrame, capacity: int = 1024, tokenizer: str | None = None, ra
     null doc_id are packed like others; an empty table gives no rows.
 
     To the driver goes the histogram: at most ``capacity`` rows. The plan that tasks
-    get back holds at most ``rounds + 2 * capacity`` configurations.
+    get back holds the program's configurations, some thousand at most: each round either
+    uses a length up or takes a ``steps``-th of what is left.
     """
     cut = staged(pieces(docs, capacity, tokenizer, ranks), "pieces")
     counts = cut.groupBy("chunk", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     counts = staged(counts.select("chunk", "length", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")), "counts")
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    segments = plan(configurations(histogram, capacity, rounds), histogram)
+    segments = plan(configurations(histogram, capacity, steps), histogram)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
