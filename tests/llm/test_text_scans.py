@@ -179,6 +179,72 @@ def test_main_text_is_whole_around_notices_and_wrappers():
         assert not html_text.boilerplate(name)
 
 
+def test_main_text_of_hard_pages():
+    body = "The body of the story goes on, sentence after sentence, and says much more than a menu does. " * 3
+    m = html_text.main_text
+    assert m("<p>text <span class='ad'>BUY NOW</span> end</p>") == "text end"
+    assert m("<p>text <span hidden>secret</span> <b>bold</b> end</p><p>more<i style='display: none'>x</i></p>") == "text bold end\nmore"
+    assert m(f"<body><nav><a href=/>Home</a></nav><div class='post tags'><h1>Title</h1><p>{body}</p></div><div class=ad>Buy</div></body>") == f"Title\n{body.strip()}"
+    assert m(f"<div><h1>Title</h1><p>{body}</p><p>Short.</p></div><div>All rights reserved</div>") == f"Title\n{body.strip()}\nShort."
+    skipped = "<div class=ad><p>Buy</p></div><aside>x</aside><form><p>Name</p></form>" * 3
+    assert m(f"<div id=c><p>{body}</p>{skipped}<p>The end.</p></div><div>Imprint</div>") == f"{body.strip()}\nThe end."
+    assert m(f"<form id=aspnet><div><p>{body}</p></div><label>Search</label></form>") == body.strip()
+    assert m(f"<div><p>{body}</p></div><section class=comments>{'<p>I think that this is wrong, all of it.</p>' * 40}</section>") == body.strip()
+    assert m("<ul><li><a href=/>One</a><li><a href=/>Two</a></ul>") == "One\nTwo"  # nothing but links: all of it
+    deep = "<div>" * 3000 + f"<p>{body}</p>" + "</div>" * 3000 + "</nosuch>" * 3000
+    assert m(deep) == body.strip()
+
+
+def labelled_page(rng):
+    """A page without a telling name or tag, and its article's blocks."""
+    word = lambda: noise(rng, "abcdefghilmnoprstu", rng.randint(2, 9))
+    text = lambda n: " ".join(word() for _ in range(n)).capitalize()
+    links = lambda n: "".join(f"<li><a href='/{k}'>{text(rng.randint(1, 3))}</a></li>" for k in range(n))
+    blocks = [("h1", text(rng.randint(3, 8)))]
+    for _ in range(rng.randint(3, 12)):
+        kind = rng.choices(["p", "h2", "ul"], [8, 1, 1])[0]
+        if kind == "ul":
+            blocks += [("li", text(rng.randint(3, 12))) for _ in range(rng.randint(2, 4))]
+        else:
+            blocks.append((kind, text(rng.randint(2, 5) if kind == "h2" or rng.random() < 0.2 else rng.randint(20, 90)) + "."))
+    blocks.append(("p", text(rng.randint(25, 60)) + "."))
+    inner = "".join(f"<{k}>{t}</{k}>" for k, t in blocks)
+    top = f"<div><div>{text(2)}</div><ul>{links(rng.randint(3, 9))}</ul></div>"
+    side = f"<div><ul>{links(rng.randint(3, 8))}</ul><div>{text(rng.randint(3, 9))}</div></div>"
+    foot = f"<div><div>{text(rng.randint(3, 8))}</div><ul>{links(rng.randint(2, 5))}</ul><div>{text(4)}</div></div>"
+    parts = [top, *([side] if rng.random() < 0.5 else []), f"<div>{inner}</div>", *([side] if rng.random() < 0.5 else []), foot]
+    return f"<html><body>{''.join(parts)}</body></html>", [t for _, t in blocks]
+
+
+def test_line_blocks_alone_find_the_article():
+    """Precision and recall on pages where no tag or class tells: the length distribution has to."""
+    from collections import Counter
+
+    rng = random.Random(11)
+    both = got = wanted = 0
+    for _ in range(300):
+        page, blocks = labelled_page(rng)
+        found, want = Counter(html_text.main_text(page).split("\n")), Counter(blocks)
+        size = lambda c: sum(len(x) * n for x, n in c.items())
+        both, got, wanted = both + size(found & want), got + size(found), wanted + size(want)
+    assert both / got > 0.98 and both / wanted > 0.98
+
+
+def test_line_blocks_agree_with_the_tags_of_the_given_pages(spark):
+    """The given pages with article, nav and footer turned into plain div elements and no class."""
+    from collections import Counter
+
+    same = both = got = wanted = 0
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    for page in pages:
+        plain = re.sub(r"<(/?)(article|nav|footer)\b", r"<\1div", page).replace(' class="ad"', "")
+        a, b = html_text.main_text(plain), html_text.main_text(page)
+        same += a == b
+        x, y = Counter(a.split()), Counter(b.split())
+        both, got, wanted = both + (x & y).total(), got + x.total(), wanted + y.total()
+    assert same / len(pages) > 0.85 and both / got > 0.98 and both / wanted > 0.999
+
+
 def test_toxicity_learns_and_swaps_do_not_matter(spark):
     rng = random.Random(5)
     plain = [noise(rng, "abcdefgh", 5) for _ in range(200)]

@@ -1,10 +1,16 @@
 """Op7: main text of web pages by the distribution of line blocks.
 
-Markup is stripped to lines, one a block-level element. Lines inside elements that never
-hold the article (scripts, menus, forms, ...) or whose class, id or role says so are left
-out of the sequence. Sums of line lengths over a sliding window then show where text surges
-and where it dives; what stands between a surge and its dive is a region, and the page's
-main text is all from the first region to the last.
+Markup is stripped to lines, one a block-level element, each with the characters it holds
+outside links. Sums over a sliding window of lines show where text surges and where it
+dives; the bound between the two is the page's own, a share of the window that its median
+character stands in. What stands between a surge and its dive is a region. The element that
+holds most of what the regions hold is the article's; its text goes from the first surge to
+the last dive in it, with the short paragraphs and headings that go on from there.
+
+Tags only support this. Elements that by HTML's rules hold no article (scripts, menus,
+headers, ...) or are hidden give no lines. An element whose class, id or role names
+boilerplate is left out unless nearly all text of the page is in it. Where article or main
+elements hold a region, they are the article and are kept whole.
 """
 
 from __future__ import annotations
@@ -12,6 +18,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,20 +26,24 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import small_batches, table
 
-#: Lines a window sums; characters in a window that make a surge, unless a call says
-#: otherwise, and those that tell sentences from a menu's lines.
-WINDOW, SURGE, TEXT = 3, 1, 40
+#: Lines a window sums; the share of the median character's window that a surge reaches; the share
+#: of the regions' characters that the article's element holds; and how many times the characters
+#: of all the rest, and how many at least, an element holds that is named like boilerplate and isn't.
+WINDOW, SURGE, CORE, MOST, LEAST = 3, 0.125, 0.8, 4, 200
 
 # HTML's element kinds.
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "plaintext"}
-NEVER = RAW | {"head", "nav", "aside", "form", "footer", "header", "noscript", "template", "svg", "math", "object", "select", "button", "dialog", "menu", "canvas", "audio", "video", "map", "datalist"}
+CONTROLS = {"select", "button", "datalist", "label", "legend", "option", "optgroup", "output", "progress", "meter"}
+NEVER = RAW | CONTROLS | {"head", "nav", "aside", "footer", "header", "noscript", "template", "svg", "math", "object", "dialog", "menu", "canvas", "audio", "video", "map"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-BLOCKS = (
+BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
-    "head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table caption thead tbody tfoot tr td th ul"
-).split()
-_BLOCK = frozenset(BLOCKS)
-_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+    "head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table caption thead tbody tfoot tr td th ul".split()
+)
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Blocks of running text, and those whose end tag may be left out: they end where one of the named starts.
+RUNNING = HEADINGS | {"p", "blockquote", "pre", "li", "dd", "dt", "figcaption"}
+_IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}}
 
 #: Words in a class, id or role that mark boilerplate where a whole name is made of them,
 #: and words that may stand beside them in one.
@@ -49,9 +60,26 @@ _HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*["']?tr
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*+)>|<[a-zA-Z/!?][^>]*(?:>|\Z)""", re.S)
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>?")
 
-#: Text, the number of the article or main element it stands in (0: none; negative: one in a skipped wrapper),
-#: and whether more than links is in it; headings count as more.
-Line = tuple[str, int, bool]
+
+class Line(NamedTuple):
+    text: str  # with single spaces
+    weight: int  # characters outside links
+    block: int  # number of the block it stands in
+    tag: str  # that block's name
+    held: int  # number of the article or main element it stands in; 0: none; negative: one in a skipped wrapper
+
+
+class Page(NamedTuple):
+    lines: list[Line]
+    parents: list[int]  # of each block, by its number; block 0 is the page
+    hinted: dict[int, bool]  # blocks named like boilerplate, and whether they are readers' comments
+
+
+class _Open(NamedTuple):
+    name: str
+    block: int
+    skips: bool
+    before: int | None  # how many skipped elements were open where an article reopened them
 
 
 def boilerplate(named: str) -> bool:
@@ -63,99 +91,172 @@ def boilerplate(named: str) -> bool:
     return False
 
 
-def lines(page: str) -> list[Line]:
-    """The page's blocks in order, without skipped ones: their text with single spaces, and where they stand."""
-    out: list[Line] = []
-    text: list[str] = []
-    open_: list[str] = []  # elements inside the one that is skipped, itself first
-    held: list[str] = []  # open article and main elements
-    outer: list[str] = []  # the skipped elements around an article or main element that reopened them
-    number, at = 0, 0
-    linked = plain = False
-
-    def take(piece: str) -> None:
-        nonlocal plain
-        text.append(piece)
-        plain = plain or (not linked and bool(piece.strip()))
-
-    def end(weighs: bool) -> None:
-        nonlocal plain
-        joined = " ".join(html.unescape("".join(text)).split())
-        text.clear()
-        if joined and weighs:
-            out.append((joined, (-number if outer else number) if held else 0, plain))
-        plain = False
-
-    while at < len(page):
-        token = _TOKEN.search(page, at)
-        if not token:
-            take(page[at:])
-            break
-        take(page[at : token.start()])
-        at = token.end()
-        if token.group(2) is None:
-            loose = None if page.startswith("<!--", token.start()) else _LOOSE.match(token.group())
-            if not loose or not token.group().endswith(">"):
-                continue
-            closing, name, attributes = loose.groups()
-        else:
+class _Reader:
+    """Reads a page's blocks in order."""
+
+    def __init__(self):
+        self.page = Page([], [0], {})
+        self.open: list[_Open] = []
+        self.names: dict[str, int] = {}
+        self.text: list[str] = []
+        self.weight = 0
+        self.skipping = self.articles = self.depth = 0
+        self.linked = self.wrapped = False
+
+    def take(self, piece: str) -> None:
+        if not self.skipping and piece:
+            self.text.append(piece)
+            if not self.linked:
+                self.weight += len(piece.strip())
+
+    def block(self) -> _Open | None:
+        return next((x for x in reversed(self.open) if x.block), None)
+
+    def end(self) -> None:
+        """The line that ends here."""
+        if self.text:
+            joined = " ".join(html.unescape("".join(self.text)).split())
+            if joined:
+                at = self.block()
+                held = (-self.articles if self.wrapped else self.articles) if self.depth else 0
+                self.page.lines.append(Line(joined, min(self.weight, len(joined)), at.block if at else 0, at.name if at else "", held))
+            self.text = []
+        self.weight = 0
+
+    def pop(self) -> None:
+        x = self.open.pop()
+        self.names[x.name] -= 1
+        self.skipping -= x.skips
+        if x.name in ("article", "main"):
+            self.depth -= 1
+            if x.before is not None:
+                self.skipping, self.wrapped = x.before, False
+
+    def close(self, name: str) -> None:
+        if self.names.get(name):
+            while self.open[-1].name != name:
+                self.pop()
+            self.pop()
+
+    def push(self, name: str, attributes: str) -> None:
+        is_block = name in BLOCKS
+        before = None
+        if name in ("article", "main"):
+            if self.skipping:
+                first = next(k for k, x in enumerate(self.open) if x.skips)
+                if self.open[first].name in ("nav", "header", "footer", "head") and not self.depth:
+                    while len(self.open) > first:  # a menu left open ends where the article starts
+                        self.pop()
+                elif not self.depth:
+                    before, self.skipping, self.wrapped = self.skipping, 0, True
+            if not self.depth:
+                self.articles += 1
+            self.depth += 1
+        named = " ".join(next(x for x in (*m.groups(), "") if x is not None) for m in _NAMED.finditer(attributes)) if attributes else ""
+        hint = bool(named) and name not in ("html", "body", "article", "main") and boilerplate(named)
+        never = name in NEVER and not (name == "header" and self.depth)
+        skips = before is None and (never or (hint and not is_block) or bool(attributes and _HIDDEN.search(attributes)))
+        number = 0
+        if is_block:
+            number = len(self.page.parents)
+            at = self.block()
+            self.page.parents.append(at.block if at else 0)
+            if (hint or name == "form") and not skips:
+                self.page.hinted[number] = bool(re.search("comment|repl(?:y|ies)|disqus", named, re.I))
+        if is_block or skips or before is not None:
+            self.open.append(_Open(name, number, skips, before))
+            self.names[name] = self.names.get(name, 0) + 1
+            self.skipping += skips
+
+    def read(self, page: str) -> Page:
+        at = 0
+        while at < len(page):
+            token = _TOKEN.search(page, at)
+            if not token:
+                self.take(page[at:])
+                break
+            self.take(page[at : token.start()])
+            at = token.end()
             closing, name, attributes = token.groups()
-        name = name.lower()
-        if name == "br":
-            text.append(" ")
-            continue
-        if name in _BLOCK or name in NEVER:
-            end(not open_)
-            linked = linked and not closing
-            plain = not closing and name in _HEADINGS
-        if name == "a":
-            linked = not closing
-        if closing:
-            if open_ and name in open_:
-                while open_.pop() != name:
-                    pass
-            if name in held:
-                while held.pop() != name:
-                    pass
-                if not held and outer:
-                    open_, outer = outer, []
-            continue
-        if name in RAW:
-            close = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
-            at = close.end() if close else len(page)
-            continue
-        if name in VOID or attributes.endswith("/"):
-            continue
-        if open_:
-            if name in ("article", "main") and name not in open_ and not RAW & {*open_}:
-                # A menu left open ends where the article starts; another wrapper goes on after it.
-                if not held and open_[0] not in ("nav", "header", "footer", "head"):
-                    outer = open_[:]
-                open_.clear()
-            else:
-                if name not in ("p", "li", "td", "tr", "th", "dd", "dt", "option"):  # their ends may be left out
-                    open_.append(name)
+            if name is None:
+                loose = None if page.startswith("<!--", token.start()) else _LOOSE.match(token.group())
+                if not loose or not token.group().endswith(">"):
+                    continue
+                closing, name, attributes = loose.groups()
+            name = name.lower()
+            if name == "br":
+                self.take(" ")
+            elif closing:
+                if name in BLOCKS:
+                    self.end()
+                    self.linked = False
+                elif name == "a":
+                    self.linked = False
+                self.close(name)
+            elif name in RAW:
+                end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
+                at = end.end() if end else len(page)
+            elif name == "hr":
+                self.end()
+            elif name in VOID or attributes.endswith("/"):
                 continue
-        named = " ".join(next(x for x in (*m.groups(), "") if x is not None) for m in _NAMED.finditer(attributes))
-        never = name in NEVER and not (name == "header" and held)
-        if never or _HIDDEN.search(attributes) or (named and name not in ("html", "body", "article", "main") and boilerplate(named)):
-            open_.append(name)
-        elif name in ("article", "main"):
-            if not held:
-                number += 1
-            held.append(name)
-    end(not open_)
-    return out
-
-
-def regions(weights: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
+            else:
+                if name in BLOCKS:
+                    self.end()
+                    self.close("p")
+                    at_block = self.block()
+                    while at_block and at_block.name in _IMPLIED.get(name, ()):
+                        self.close(at_block.name)
+                        at_block = self.block()
+                elif name == "a":
+                    self.linked = True
+                self.push(name, attributes)
+        self.end()
+        return self.page
+
+
+def read_page(page: str) -> Page:
+    """The page's lines in order, without those of boilerplate elements, and its tree of blocks."""
+    got, parents, hinted = found = _Reader().read(page)
+    if not hinted:
+        return found
+    inside = [0] * len(parents)
+    for x in got:
+        inside[x.block] += x.weight
+    for k in range(len(parents) - 1, 0, -1):  # children have greater numbers than their parents
+        inside[parents[k]] += inside[k]
+    out = [False] * len(parents)
+    for k in range(1, len(parents)):
+        rest = inside[0] - inside[k]
+        named = k in hinted and rest > 0 and (hinted[k] or inside[k] < max(MOST * rest, LEAST))
+        out[k] = out[parents[k]] or named
+    return Page([x for x in got if not out[x.block]], parents, hinted)
+
+
+def window_sums(weights: list[int], window: int = WINDOW) -> list[int]:
+    """Characters in the ``window`` lines from each line on."""
+    return [sum(weights[k : k + window]) for k in range(len(weights))]
+
+
+def bound(sums: list[int], share: float = SURGE) -> float:
+    """The sum from which a window belongs to a surge: a share of the window that the median character is in."""
+    half, so_far = sum(sums) / 2, 0
+    for total in sorted(sums):
+        so_far += total
+        if so_far >= half:
+            return max(1.0, share * total)
+    return 1.0
+
+
+def regions(weights: list[int], window: int = WINDOW, share: float = SURGE) -> list[tuple[int, int]]:
     """Line ranges between a surge of the window sums and the dive that follows."""
-    sums = [sum(weights[k : k + window]) for k in range(len(weights))]
+    sums = window_sums(weights, window)
+    least = bound(sums, share)
     found, begin = [], None
     for k, total in enumerate(sums):
-        if begin is None and total >= surge and weights[k]:
+        if begin is None and total >= least and weights[k]:
             begin = k
-        elif begin is not None and not total:
+        elif begin is not None and total < least:
             found.append((begin, k))
             begin = None
     if begin is not None:
@@ -163,24 +264,75 @@ def regions(weights: list[int], window: int = WINDOW, surge: int = SURGE) -> lis
     return found
 
 
+def core(weights: dict[int, int], parents: list[int], running: set[int]) -> int:
+    """The deepest block, none of running text, that holds ``CORE`` of the blocks' characters."""
+    held = [0] * len(parents)
+    for k, n in weights.items():
+        held[k] += n
+    best = 0
+    for k in range(len(parents) - 1, 0, -1):
+        held[parents[k]] += held[k]
+    for k in range(1, len(parents)):
+        if parents[k] == best and k not in running and held[k] >= CORE * held[0]:
+            best = k
+    return best
+
+
 def main_text(page: str) -> str:
     """The page's main text; blocks are joined by a new line. A page without any has none.
 
-    Lines of article and main elements go before others, and those that stand in a skipped
-    wrapper count where there are no more. Such elements are kept whole; of other lines,
-    all from the first region to the last, or all if no window holds ``TEXT`` characters
-    outside links.
+    Article and main elements that hold a region are kept whole. Those in a skipped wrapper
+    count where they hold most of the page; on other pages the blocks alone tell.
     """
-    got = lines(page)
-    kept = [t for t, n, _ in got if n > 0] or [t for t, n, _ in got if n < 0]
-    if kept:
-        return "\n".join(kept)
-    weights = [len(t) if plain else 0 for t, _, plain in got]
-    found = regions(weights, surge=TEXT)
-    first, last = (found[0][0], found[-1][1]) if found else (0, len(got))
-    while found and not weights[last - 1]:
+    got, parents, _ = read_page(page)
+    held = [x for x in got if x.held > 0]
+    if held:
+        weights = [x.weight if x.held > 0 else 0 for x in got]
+        marked = {got[k].held for a, b in regions(weights) for k in range(a, b) if weights[k]}
+        return "\n".join(x.text for x in held if x.held in marked or not marked)
+    wrapped = [x for x in got if x.held < 0]
+    if wrapped and 2 * sum(x.weight for x in wrapped) >= sum(x.weight for x in got):
+        return "\n".join(x.text for x in wrapped)
+    return "\n".join(x.text for x in article([x for x in got if not x.held], parents))
+
+
+def article(got: list[Line], parents: list[int]) -> list[Line]:
+    """The article's lines among a page's, from the first surge to the last dive in the block that holds it."""
+    weights = [x.weight for x in got]
+    if not any(weights):
+        return got
+    found = regions(weights)
+    by_block: dict[int, int] = {}
+    for a, b in found:
+        for k in range(a, b):
+            by_block[got[k].block] = by_block.get(got[k].block, 0) + weights[k]
+    best = core(by_block, parents, {x.block for x in got if x.tag in RUNNING})
+    inside = [False] * len(parents)
+    inside[best] = True
+    for k in range(best + 1, len(parents)):
+        inside[k] = inside[parents[k]]
+    held = [inside[x.block] for x in got]
+    least = bound(window_sums(weights))
+    first, last = found[0][0], found[-1][1]
+    # A window reaches ahead, so a surge may begin at short lines before the text.
+    while first < last - 1 and not (held[first] and (got[first].tag in RUNNING or weights[first] >= least)):
+        first += 1
+    while last > first + 1 and not (held[last - 1] and weights[last - 1]):
         last -= 1
-    return "\n".join(t for t, _, _ in got[first:last])
+    while last < len(got) and held[last] and got[last].tag in RUNNING and weights[last]:
+        last += 1
+    while first and weights[first - 1] and got[first - 1].tag != "li" and ((held[first - 1] and got[first - 1].tag in RUNNING) or got[first - 1].tag in HEADINGS):
+        first -= 1
+    out: list[Line] = []
+    k = first
+    while k < last:
+        end = k + 1
+        while not weights[k] and end < last and not weights[end]:
+            end += 1
+        if weights[k] or end - k < WINDOW:  # a window of links alone is a menu
+            out += got[k:end]
+        k = end
+    return [x for x in out if inside[x.block] or x.tag in HEADINGS]
 
 
 def extract(pages: DataFrame) -> DataFrame:
