@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,14 +22,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none."""
+    """The folder that all executors share, as spark.checkpoint.dir names it.
+
+    Where it is unset, a local session gets a folder of its own; on a cluster that would
+    break silently, as each machine has another, so there it is an error.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
-        path = tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        run = spark.sparkContext.applicationId
+        if run not in _LOCAL:
+            _LOCAL[run] = tempfile.mkdtemp(prefix="tidemark-")
+        path = _LOCAL[run]
     return path.rstrip("/")
 
 
+_LOCAL: dict[str, str] = {}
 _STAGED: list[str] = []
 
 
@@ -182,9 +192,11 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray, size: int, lower: bool
     if len(short):
         keep = full.copy()
         keep[first[short]] = True
-        for r in short:  # fewer words than a shingle: at most size - 1 steps a row
-            total[first[r]] = mix64(np.array([counts[r]], np.uint64))[0]
-            for k in range(counts[r]):
-                total[first[r]] += mix64(words[first[r] + k : first[r] + k + 1] * seeds[k] + seeds[k])[0]
+        sums = mix64(counts[short].astype(np.uint64))
+        for k in range(size - 1):
+            more = counts[short] > k
+            at = first[short[more]] + k
+            sums[more] += mix64(words[at] * seeds[k] + seeds[k])
+        total[first[short]] = sums
         full = keep
     return mix64(total[full]), row[full], counts

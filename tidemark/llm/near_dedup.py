@@ -4,7 +4,9 @@ Each permutation of the shingle hashes gives two signature values, its minimum a
 maximum, so ``BANDS * BAND_ROWS`` values take half as many hash evaluations. Texts with
 the same shingle set are one class and only its least doc_id goes on. Classes that share
 a band fall into one bucket, and buckets that share a class into one candidate group.
-Within a group all links are found and confirmed on full sets, block against block.
+Within a group all links are found and confirmed on full sets, block against block: blocks
+follow the sizes of sets, and two blocks meet only if their members share a bucket and if
+their sizes allow a link.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import byte_view, mix64, shingle_hashes, staged, steps, table, texts
@@ -73,41 +75,47 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
 
 
 def linked_in_groups(members: DataFrame, size: int, percent: int) -> DataFrame:
-    """Edges (a, b) that join what is linked in every block of (root, i, j, id, text).
+    """Edges (a, b) that join what is linked in every pair of blocks of (root, i, j, own, id, text).
 
-    A block's full sets are met by products of its set-by-shingle matrix, in column
-    chunks of bounded size; its links go out as a spanning forest, so a block gives
-    fewer rows than it has members.
+    ``own`` is the member's own block, i or j. Where i = j every two sets meet, else those
+    of i meet those of j alone. Full sets are met by products of their set-by-shingle
+    matrix, in column chunks of bounded size; links go out as a spanning forest, so a pair
+    of blocks gives fewer rows than it has members.
     """
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, ids, held = None, [], []
+        block, ids, held, sides = None, [], [], []
         out: list[tuple[int, int]] = []
         for batch in batches:
             keys = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
-            names = batch.column(3).to_pylist()
-            for a, b, hashes, rows in sets_of(batch.column(4), size):
+            owns, names = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            for a, b, hashes, rows in sets_of(batch.column(5), size):
                 ends = np.cumsum(np.bincount(rows, minlength=b - a))
                 for r, s, e in zip(range(a, b), [0, *ends[:-1]], ends, strict=True):
                     if keys[r] != block:
-                        out += forest(ids, held, percent)
-                        block, ids, held = keys[r], [], []
+                        out += forest(ids, held, percent, sides)
+                        block, ids, held, sides = keys[r], [], [], []
                     ids.append(names[r])
+                    sides.append(owns[r] == keys[r][1])
                     held.append(hashes[s:e].copy())
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
             out = []
-        out += forest(ids, held, percent)
+        out += forest(ids, held, percent, sides)
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    ordered = members.select("root", "i", "j", "id", "text").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    ordered = members.select("root", "i", "j", "own", "id", "text").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
     return ordered.mapInArrow(link, "a long, b long")
 
 
-def forest(ids: list[int], held: list[np.ndarray], percent: int, cells: int = 2_000_000) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of all links among the sets."""
+def forest(ids: list[int], held: list[np.ndarray], percent: int, sides: list[bool] | None = None, cells: int = 2_000_000) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of all links among the sets, or of those between the two sides."""
     n = len(ids)
     if n < 2:
         return []
+    left = np.arange(n) if sides is None or all(sides) else np.flatnonzero(sides)
+    right = left if len(left) == n else np.flatnonzero(~np.array(sides))
+    if not len(left) or not len(right):
+        return []
     counts = np.array([len(x) for x in held])
     every, row = np.concatenate(held), np.repeat(np.arange(n), counts)
     _, column, times = np.unique(every, return_inverse=True, return_counts=True)
@@ -117,16 +125,17 @@ def forest(ids: list[int], held: list[np.ndarray], percent: int, cells: int = 2_
     row, column = row[shared], rank[column[shared]]
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
-    both = np.zeros((n, n), np.float32)
+    both = np.zeros((len(left), len(right)), np.float32)
     width = max(1, cells // n)
     for first in range(0, int(common.sum()), width):
         lo, hi = np.searchsorted(column, [first, first + width])
         part = np.zeros((n, width), np.float32)
         part[row[lo:hi], column[lo:hi] - first] = 1
-        both += part @ part.T
+        both += part[left] @ part[right].T
     both = both.astype(np.int64)
-    union = counts[:, None] + counts[None, :] - both
-    a, b = np.nonzero(np.triu((both > 0) & (100 * both >= percent * union), 1))
+    union = counts[left][:, None] + counts[right][None, :] - both
+    linked = (both > 0) & (100 * both >= percent * union)
+    a, b = np.nonzero(np.triu(linked, 1) if left is right else linked)
     parent = list(range(n))
 
     def top(x: int) -> int:
@@ -136,7 +145,7 @@ def forest(ids: list[int], held: list[np.ndarray], percent: int, cells: int = 2_
         return x
 
     edges = []
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+    for x, y in zip(left[a].tolist(), right[b].tolist(), strict=True):
         p, q = top(x), top(y)
         if p != q:
             parent[q] = p
@@ -145,7 +154,44 @@ def forest(ids: list[int], held: list[np.ndarray], percent: int, cells: int = 2_
 
 
 #: Members and shingles of one block of a candidate group.
-BLOCK_MEMBERS, BLOCK_SHINGLES = 512, 500_000
+BLOCK_MEMBERS, BLOCK_SHINGLES = 256, 250_000
+
+
+def blocks(members: DataFrame) -> DataFrame:
+    """(root, id, n_shingles) with ``block``: a group's members by set size, in runs of bounded size.
+
+    Members are counted by group and size; a running sum over a group's sizes, which are
+    far fewer than its members, tells where each size starts; those of one size are dealt
+    by hash over the blocks that their count needs.
+    """
+    by_size = members.groupBy("root", "n_shingles").agg(F.count("*").alias("n"))
+    share = F.greatest(F.col("n") / BLOCK_MEMBERS, F.col("n") * F.col("n_shingles") / BLOCK_SHINGLES)
+    so_far = Window.partitionBy("root").orderBy("n_shingles").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    by_size = by_size.withColumn("share", share).withColumn("end", F.sum("share").over(so_far))
+    start = F.floor(F.col("end") - F.col("share") + 1e-9)
+    by_size = by_size.select("root", "n_shingles", start.cast("int").alias("first"), F.greatest(F.lit(1), F.ceil(F.col("end") - 1e-9).cast("int") - start.cast("int")).alias("over"))
+    dealt = F.col("first") + F.pmod(F.xxhash64("id"), F.col("over")).cast("int")
+    return members.join(by_size, ["root", "n_shingles"]).select("root", "id", "n_shingles", dealt.alias("block"))
+
+
+def block_pairs(placed: DataFrame, banded: DataFrame, percent: int) -> DataFrame:
+    """(root, own, i, j): for each block the pairs i <= j of blocks that it has to meet in.
+
+    A pair of blocks counts if some bucket has members in both, and if the largest set of
+    one and the smallest of the other could be linked. Only groups of several blocks look
+    at buckets: a bucket gives its distinct blocks, not its members.
+    """
+    ranges = placed.groupBy("root", "block").agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
+    alone = ranges.select("root", F.col("block").alias("i"), F.col("block").alias("j"))
+    wide = ranges.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
+    met = placed.join(wide, "root", "left_semi").select("root", "id", "block").join(banded.select("id", "key"), "id")
+    met = met.groupBy("root", "key").agg(F.sort_array(F.collect_set("block")).alias("blocks")).where("size(blocks) > 1").select("root", "blocks").distinct()
+    met = met.select("root", "blocks", F.explode("blocks").alias("i")).select("root", "i", F.explode(F.filter("blocks", lambda b: b > F.col("i"))).alias("j")).distinct()
+    lower = ranges.select("root", F.col("block").alias("i"), F.col("least").alias("i_least"), F.col("most").alias("i_most"))
+    upper = ranges.select("root", F.col("block").alias("j"), F.col("least").alias("j_least"), F.col("most").alias("j_most"))
+    near = (100 * F.col("i_most") >= percent * F.col("j_least")) & (100 * F.col("j_most") >= percent * F.col("i_least"))
+    pairs = alone.unionByName(met.join(lower, ["root", "i"]).join(upper, ["root", "j"]).where(near).select("root", "i", "j"))
+    return pairs.select("root", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("own"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -159,8 +205,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
     Shuffled are signatures, band keys of classes, and the texts of classes that share a
     bucket. Buckets that overlap form a candidate group; its members are dealt into blocks
-    of bounded size and every two blocks of a group meet in a task of their own, so no
-    task holds a group and no pair is a row.
+    of bounded size, and two blocks that may hold a link meet in a task of their own, so
+    no task holds a group and no pair of documents is a row.
     """
     signed = staged(signatures(docs, size), "signatures")
     some = signed.where("n_shingles > 0 and doc_id is not null")
@@ -170,12 +216,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     shared = banded.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("members")).where("members > 1").select("key", "hub")
     stars = banded.join(shared, "key").where(F.col("hub") != F.col("id")).select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
     groups = components(stars).select(F.col("node").alias("id"), F.col("component").alias("root"))
-    sizes = groups.join(classes.groupBy("id").agg(F.max("n_shingles").alias("n")), "id")
-    sizes = sizes.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK_MEMBERS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    placed = groups.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    members = texts(docs).join(placed.withColumnRenamed("id", "doc_id"), "doc_id").withColumnRenamed("doc_id", "id")
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "text")
+    placed = staged(blocks(groups.join(classes.select("id", "n_shingles"), "id")), "blocks")
+    meetings = block_pairs(placed, banded, percent)
+    members = placed.select("root", "id", F.col("block").alias("own")).join(meetings, ["root", "own"])
+    members = texts(docs).join(members.withColumnRenamed("id", "doc_id"), "doc_id").withColumnRenamed("doc_id", "id")
     group = components(linked_in_groups(members, size, percent))
 
     grouped = classes.join(group.withColumnRenamed("node", "id"), "id", "left").select(*mark, F.coalesce("component", "id").alias("component_id"))
@@ -185,3 +229,20 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
+OP5_SQL = r"""
+with recursive d as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+w as (select doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as ws from d),
+s as (select doc_id, case when len(ws) >= 3 then list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]))
+    when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end as sh from w),
+n as (select doc_id, len(sh)::bigint as n_shingles from s),
+e as (select doc_id, unnest(sh) as g from s),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as c from e a join e b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 85 * (a.n_shingles + b.n_shingles - c)),
+r as (select x as a, y as b from l union all select y, x from l),
+c as (select a as node, b as reached from r union select c.node, r.b from c join r on r.a = c.reached),
+m as (select node, min(reached) as least from c group by 1)
+select n.doc_id, n_shingles, least(n.doc_id, coalesce(least, n.doc_id)) as component_id, n.doc_id = least(n.doc_id, coalesce(least, n.doc_id)) as kept
+from n left join m on m.node = n.doc_id
+"""

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from tidemark.llm.decontamination import op10_decontamination
 from tidemark.llm.html_text import op7_html_extraction
-from tidemark.llm.near_dedup import op5_minhash_near_dedup
+from tidemark.llm.near_dedup import OP5_SQL, op5_minhash_near_dedup
 from tidemark.llm.packing import op2_best_fit_packing
 from tidemark.llm.pii import op9_personal_data
 from tidemark.llm.quality import OP4_SQL, op4_quality_rules
 from tidemark.llm.secrets import op8_secret_scan
-from tidemark.llm.suffix_dedup import op1_suffix_dedup
+from tidemark.llm.suffix_dedup import OP1_SQL, op1_suffix_dedup
 from tidemark.llm.tokens import op6_token_counts
 from tidemark.llm.toxicity import op3_toxicity
 
@@ -27,5 +27,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_suffix_dedup": OP1_SQL,
     "op4_quality_rules": OP4_SQL,
+    "op5_minhash_near_dedup": OP5_SQL,
 }

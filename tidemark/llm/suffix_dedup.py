@@ -506,3 +506,22 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("removed")
+
+
+OP1_SQL = r"""
+with d as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+l as (select r, doc_id, h, (length(h) // 2)::bigint as n from d),
+b as (select r, n, k, substring(h, 2000 * k + 1, 2800) as part from (select r, n, h, unnest(range(0, (n + 999) // 1000)) as k from l where n >= 400)),
+w as (select r, 1000 * k + i as pos, hash(substring(part, 2 * i + 1, 800)) as a from (select r, k, part, unnest(range(0, least(1000, n - 399 - 1000 * k))) as i from b)),
+t as (select a from w group by a having count(*) > 1),
+g as (select r, pos from w semi join t using (a)),
+s as (select r, pos, coalesce(pos > lag(pos) over (partition by r order by pos) + 400, true) as new from g),
+i as (select r, pos, sum(new::int) over (partition by r order by pos) as span from s),
+u as (select r, span, min(pos) as low, max(pos) + 400 as high from i group by 1, 2),
+k as (select r, low, high, coalesce(lag(high) over (partition by r order by low), 0) as before from u),
+x as (select r, sum(high - low)::bigint as n_removed, count(*)::bigint as n_spans, max(high) as last,
+    string_agg(substring(h, 2 * before + 1, 2 * (low - before)), '' order by low) as head from k join l using (r) group by r)
+select doc_id, n as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans,
+  sha256(unhex(case when x.r is null then h else head || substring(h, 2 * last + 1) end)) as kept_sha256
+from l left join x using (r)
+"""
