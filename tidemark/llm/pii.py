@@ -28,29 +28,50 @@ KINDS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
 _PART = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 #: A run without white space; candidates of the method are those that look like identifiers.
 TOKEN = r"[^\x20\x09-\x0D]++"
-_GAPS = r"[\x20\x09-\x0D]+"
 
 
-def spans(text: Column, pattern: str) -> Column:
-    """All matches as array<struct<start, end, m>>, in code points; null where there is none.
+#: Elements that an inner loop of ``running`` appends to one array, which copies it each time.
+BLOCK = 128
 
-    The pieces between the matches, which split() gives, tell where each match starts.
+
+def running(values: str, combine: str, zero: int) -> str:
+    """SQL of the running combination of an array of integers, in linear time but for a small factor.
+
+    ``combine`` is a function of two (``greatest``, say, or ``+``). Appending to an array
+    copies it, so a plain fold is quadratic: values go in blocks of ``BLOCK``, and the
+    running combination of the blocks' last values is what each block goes on from.
     """
-    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)
-    between = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
 
-    def placed(pair: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,m:string>>").alias("got"))
+    def both(a: str, b: str) -> str:
+        return f"{combine}({a}, {b})" if combine.isalpha() else f"({a} {combine} {b})"
+
+    def fold(items: str) -> str:
+        now = both("s.last", "i")
+        start = f"named_struct('last', {zero}, 'got', cast(array() as array<int>))"
+        return f"aggregate({items}, {start}, (s, i) -> named_struct('last', {now}, 'got', concat(s.got, array({now}))), s -> s.got)"
+
+    cut = f"transform(sequence(0, cast((size(vs) - 1) div {BLOCK} as int)), n -> {fold(f'slice(vs, n * {BLOCK} + 1, {BLOCK})')})"
+    ends = fold("transform(inside, x -> element_at(x, -1))")
+    joined = f"flatten(transform(inside, (x, n) -> transform(x, v -> {both(f'coalesce(get(ends, n - 1), {zero})', 'v')})))"
+    return where(vs=values, body=f"if(size(vs) > 0, {where(inside=cut, body=where(ends=ends, body=joined))}, cast(array() as array<int>))")
 
-        def step(state: Column, x: Column) -> Column:
-            begin = state["at"] + x["gap"]
-            end = begin + F.length(x["m"])
-            return F.struct(end.alias("at"), F.concat(state["got"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["m"].alias("m")))).alias("got"))
 
-        zipped = F.arrays_zip(F.slice(pair["gaps"], 1, F.size(pair["found"])).alias("gap"), pair["found"].alias("m"))
-        return F.aggregate(zipped, start, step, lambda s: s["got"])
+def where(body: str, **value: str) -> str:
+    """SQL of ``body`` in which a name stands for a value that is computed once a row."""
+    ((name, what),) = value.items()
+    return f"element_at(transform(array({what}), {name} -> {body}), 1)"
 
-    return let(found, lambda m: F.when(F.size(m) > 0, let(F.struct(m.alias("found"), between.alias("gaps")), placed)))
+
+def spans(pattern: str) -> Column:
+    """All matches in ``text`` as array<struct<start, end, m, gap>>, in code points; null where there is none.
+
+    The pieces between the matches, which split() gives, tell where each match starts;
+    ``gap`` is the piece before a match.
+    """
+    ends = running("transform(ms, (m, k) -> length(gaps[k]) + length(m))", "+", 0)
+    placed = "transform(ms, (m, k) -> named_struct('start', ends[k] - length(m), 'end', ends[k], 'm', m, 'gap', gaps[k]))"
+    some = where(gaps=f"split(text, r'{pattern}', -1)", body=where(ends=ends, body=placed))
+    return F.expr(where(ms=f"regexp_extract_all(text, r'({pattern})', 1)", body=f"if(size(ms) > 0, {some}, null)"))
 
 
 def _luhn(match: Column) -> Column:
@@ -89,7 +110,7 @@ _NEEDS = {"email": "@", "ip": "[0-9][.][0-9]", "card": "[0-9][0-9 -]{12}", "phon
 def _kind_spans(kind: str, pattern: str) -> Column:
     text = F.col("text")
     may = text.contains("@") if kind == "email" else text.rlike(_NEEDS[kind])
-    valid = F.filter(spans(text, pattern), lambda x: _valid(kind, x["m"]))
+    valid = F.filter(spans(pattern), lambda x: _valid(kind, x["m"]))
     found = F.transform(valid, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
     return F.coalesce(F.when(may, found), F.array().cast(_SPANS))
 
@@ -98,38 +119,55 @@ def _kind_spans(kind: str, pattern: str) -> Column:
 CANDIDATE = r"(?:(?<![^\x20\x09-\x0D]))(?=[^\x20\x09-\x0D@0-9]*+[@0-9])(?:(?=[^\x20\x09-\x0D@]*+@)|(?=(?:[^\x20\x09-\x0D0-9]*+[0-9]){5}))[^\x20\x09-\x0D]++"
 
 
+_NAMED = "array<struct<begin:int,to:int,start:int,end:int,instance:string,pattern:string>>"
 _TOKENS = "array<struct<start:int,end:int,instance:string,pattern:string,seed:boolean>>"
 
 
-def _candidate(text: Column, base: Column, token: Column) -> Column:
+#: The last word of a piece of text that ends in white space.
+_LAST_WORD = r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++)[\x20\x09-\x0D]++$"
+
+
+def _candidate(token: Column, before: Column) -> Column:
+    """A token without what encloses it, and its pattern from the piece of text, or the token, ``before`` it."""
     lead = F.length(token["m"]) - F.length(F.regexp_replace(token["m"], r"^[\"'(\[{*#$%&|<>]+", ""))
     bare = F.regexp_replace(F.substr(token["m"], lead + 1), r"[.,;:!?\"')\]}*#$%&|<>]+$", "")
     start = token["start"] + lead
-    near = F.substr(text, F.greatest(F.lit(1), token["start"] - 39), F.least(F.lit(40), token["start"]))
-    word = F.lower(F.regexp_replace(F.regexp_extract(near, rf"([^\x20\x09-\x0D]+){_GAPS}$", 1), "[0-9]+", ""))
+    last = F.regexp_extract(token["gap"], _LAST_WORD, 1)
+    word = F.lower(F.regexp_replace(F.when(last != "", last).otherwise(F.coalesce(before, F.lit(""))), "[0-9]+", ""))
     return F.struct(
+        token["start"].alias("begin"),
+        token["end"].alias("to"),
         start.alias("start"),
         (start + F.length(bare)).alias("end"),
         bare.alias("instance"),
         F.when(word == "", F.lit("^")).otherwise(word).alias("pattern"),
-        F.exists(base, lambda b: (b["start"] < token["end"]) & (b["end"] > token["start"])).alias("seed"),
     )
 
 
+def _seeds() -> Column:
+    """``tokens`` with ``seed``: whether a span of ``base`` overlaps the token.
+
+    Spans by their starts and tokens by their ends go in one order, a token before a span
+    that starts where it ends; the greatest end of the spans up to a token then decides.
+    """
+    events = "array_sort(concat(transform(tokens, t -> struct(t.to as key, 0 as kind, t.begin as begin, -1 as end)), transform(base, b -> struct(b.start as key, 1 as kind, -1 as begin, b.end as end))))"
+    reach = running("transform(es, e -> e.end)", "greatest", -1)
+    marked = "filter(transform(es, (e, k) -> struct(e.kind as kind, reach[k] > e.begin as seed)), e -> e.kind = 0)"
+    flags = where(es=events, body=where(reach=reach, body=marked))
+    seeded = "transform(tokens, (t, k) -> struct(t.start as start, t.end as end, t.instance as instance, t.pattern as pattern, flags[k].seed as seed))"
+    return F.expr(f"if(size(tokens) > 0, {where(flags=flags, body=seeded)}, cast(array() as {_TOKENS}))")
+
+
 def with_candidates(found: DataFrame) -> DataFrame:
     """(row, doc_id, base, tokens): every identifier token with the pattern it was met with.
 
     ``seed`` is true where a base span overlaps the token. The pattern is the lower-cased
-    word before the token (of the 40 characters before it) without its digits, or ``^``.
+    whole word before the token without its digits, or ``^``. Each step is linear in the
+    text, but for sorting.
     """
-    text = F.col("text")
-
-    def both(b: Column) -> Column:
-        tokens = F.when(text.rlike("[@0-9]"), F.transform(spans(text, CANDIDATE), lambda t: _candidate(text, b, t)))
-        long = F.filter(tokens, lambda t: F.length(t["instance"]) >= 5)
-        return F.struct(b.alias("base"), F.coalesce(long, F.array().cast(_TOKENS)).alias("tokens"))
-
-    return found.select("row", "doc_id", let(F.col("base"), both).alias("x")).select("row", "doc_id", "x.base", "x.tokens")
+    named = let(spans(CANDIDATE), lambda ts: F.transform(ts, lambda t, k: _candidate(t, F.get(ts, k - 1)["m"])))
+    tokens = F.filter(F.when(F.col("text").rlike("[@0-9]"), named), lambda t: F.length(t["instance"]) >= 5)
+    return found.select("row", "doc_id", "base", F.coalesce(tokens, F.array().cast(_NAMED)).alias("tokens")).select("row", "doc_id", "base", _seeds().alias("tokens"))
 
 
 def scored_patterns(edges: DataFrame, rounds: int = 3, support: int = 1) -> DataFrame:
@@ -157,8 +195,8 @@ def find_personal_data(docs: DataFrame, threshold: float = 0.8, rounds: int = 3)
     """Base and discovered spans of every document.
 
     Columns: doc_id; ``base``, the base spans by kind as listed, then start; ``spans``,
-    these and the discovered ones (kind ``context``) by start, then kind as listed. A
-    discovered span overlaps no base span. Null and empty texts have no spans; repeated
+    these followed by the discovered ones (kind ``context``) by start. A discovered span
+    overlaps no base span. Null and empty texts have no spans; repeated
     rows of one id each get the same; an empty table gives no rows. Spans and identifier
     tokens are staged once; the text itself is never shuffled.
     """
