@@ -59,12 +59,29 @@ def test_quality_measures_and_order(spark):
         r = rows[k]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered))
         assert r.base_failed == (len(words) < 50 or 100 * len(covered) > 50 * len(words)) and (not r.base_failed or not r.kept)
-    sample = quality.measured(docs(spark, list(enumerate(texts)))).cache()
-    found = quality.ordered(sample)
-    worth = [share / cost for _, cost, share in found]
-    assert worth == sorted(worth, reverse=True) and {r for r, _, _ in found} == set(quality.RULES)
-    verdicts = [{r.doc_id: r.kept for r in quality.quality(docs(spark, list(enumerate(texts))), rules).collect()} for rules in (quality.RULES, quality.RULES[::-1])]
-    assert verdicts[0] == verdicts[1]
+    frame = docs(spark, list(enumerate(texts)))
+    for sample, condition in ((quality.sampled(frame), quality.alone), (quality.measured(frame), quality.over_measures)):
+        found = quality.ordered(sample, condition=condition)
+        worth = [share / cost for _, cost, share in found]
+        assert worth == sorted(worth, reverse=True) and {r for r, _, _ in found} == set(quality.RULES)
+    verdicts = [{r.doc_id: r.kept for r in f(frame, rules).collect()} for f in (quality.quality, quality.verdicts) for rules in (quality.RULES, quality.RULES[::-1])]
+    assert all(v == verdicts[0] for v in verdicts)
+
+
+def test_quality_costs_are_of_the_rules_themselves(spark):
+    """Repeated windows cost far more than a pattern, and the cheap rule that rejects as much goes first."""
+    frame = docs(spark, [(k, " ".join(f"w{(k * j) % 97}" for j in range(400)) + " A" * 900) for k in range(300)])
+    found = {r.name: (cost, share) for r, cost, share in quality.ordered(quality.sampled(frame))}
+    assert found["repeated_windows"][0] > 1.5 * found["shouting"][0] and found["shouting"][1] == 1
+    order = [r.name for r, _, _ in quality.ordered(quality.sampled(frame))]
+    assert order.index("shouting") < order.index("repeated_windows")
+
+
+def test_quality_samples_before_it_measures(spark):
+    few = quality.sampled(docs(spark, [(k, f"text {k}") for k in range(5000)]))
+    assert few.columns == ["doc_id", "text"] and 300 < few.count() < 800
+    plan = quality.verdicts(docs(spark, [(1, "a b c")]))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Exchange" not in plan
 
 
 def test_secret_base_spans_and_redaction(spark):

@@ -1,14 +1,21 @@
 """Op4: quality rules as a short-circuit cascade, with DataFrame functions only.
 
-Every rule is a condition that rejects a text. On a bounded sample each rule is run alone:
-its time is its cost, the share that it rejects its selectivity. Rules are then tried in
-order of rejections per cost, and a text that one rule rejects is not tried against the
-rest (the branches of one CASE). The order changes how long it takes, never the verdict.
+Every rule is a condition that rejects a text, over measures of the text. On a sample of
+texts each rule is run alone, with the measures that it needs, often enough to be timed:
+that is its cost, and the share of the sample that it rejects is its selectivity. Rules are
+then tried in order of rejections per cost, and a text that one rule rejects is not tried
+against the rest (the branches of one CASE, each with its own measures inside). The order
+changes how long it takes, never the verdict.
+
+``verdicts`` measures nothing but what the cascade reaches. ``quality`` returns the
+measures of every text too; those are no cost of a rule then, and the order is found
+without them.
 """
 
 from __future__ import annotations
 
 import time
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,28 +23,39 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import staged, table, texts
 
-#: Rows that costs and selectivities are estimated on, at most.
-SAMPLE_ROWS = 1000
+#: Rows that costs and selectivities are estimated on, about; times that each rule is run on them.
+SAMPLE_ROWS, REPEATS = 500, 8
 
 _GAPS = r"[\x20\x09-\x0D]+"
 
 
 @dataclass(frozen=True)
 class Rule:
+    """A rule rejects a text where ``test`` holds, a condition on ``text`` and the measures that it needs."""
+
     name: str
-    rejects: str  # SQL over text, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words
-    sql: str | None = None  # the same for DuckDB, where it differs
+    needs: tuple[str, ...]
+    test: Callable[[dict[str, Column]], Column]
+    sql: str  # the same for DuckDB
+
+
+def _kept(kind: str) -> Column:
+    """How many characters of a class the text has."""
+    return F.length(F.regexp_replace("text", f"[^{kind}]+", ""))
 
 
 RULES = (
-    Rule("symbols", "10 * n_symbols > n_words"),
-    Rule("repeated_lines", "n_lines >= 4 and 10 * n_dup_lines > 3 * n_lines"),
-    Rule("repeated_windows", "10 * n_repeat_words > 4 * n_words"),
-    Rule("word_length", "word_chars < 2 * n_words or word_chars > 20 * n_words"),
-    Rule("shouting", "2 * length(regexp_replace(text, '[^A-Z]+', '')) > word_chars", "2 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > word_chars"),
-    Rule("exclaiming", "10 * length(regexp_replace(text, '[^!]+', '')) > 3 * n_words", "10 * length(regexp_replace(text, '[^!]+', '', 'g')) > 3 * n_words"),
+    Rule("symbols", ("n_symbols", "n_words"), lambda m: 10 * m["n_symbols"] > m["n_words"], "10 * n_symbols > n_words"),
+    Rule("repeated_lines", ("n_lines", "n_dup_lines"), lambda m: (m["n_lines"] >= 4) & (10 * m["n_dup_lines"] > 3 * m["n_lines"]), "n_lines >= 4 and 10 * n_dup_lines > 3 * n_lines"),
+    Rule("repeated_windows", ("n_repeat_words", "n_words"), lambda m: 10 * m["n_repeat_words"] > 4 * m["n_words"], "10 * n_repeat_words > 4 * n_words"),
+    Rule("word_length", ("word_chars", "n_words"), lambda m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 20 * m["n_words"]), "word_chars < 2 * n_words or word_chars > 20 * n_words"),
+    Rule("shouting", ("word_chars",), lambda m: 2 * _kept("A-Z") > m["word_chars"], "2 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > word_chars"),
+    Rule("exclaiming", ("n_words",), lambda m: 10 * _kept("!") > 3 * m["n_words"], "10 * length(regexp_replace(text, '[^!]+', '', 'g')) > 3 * n_words"),
 )
 
+#: The base rules of the contract come first: where they fail there is no verdict to find.
+BASE = Rule("base", ("n_words", "n_repeat_words"), lambda m: (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"]), "n_words < 50 or 100 * n_repeat_words > 50 * n_words")
+
 
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once a row, however often the body uses it."""
@@ -69,50 +87,114 @@ def _repeat_words(words: Column) -> Column:
     return F.when(n < 4, F.lit(0)).otherwise(let(hashes, lambda h: let(windows(h), lambda s: let(repeated(s), covered))))
 
 
+#: Measures by what they are taken from: a text's words, its lines that hold a word, or itself.
+_MEASURES = {
+    "of_words": {"n_words": F.size, "word_chars": lambda w: F.length(F.array_join(w, "")), "n_repeat_words": lambda w: _repeat_words(w)},
+    "of_lines": {"n_lines": F.size, "n_dup_lines": lambda x: F.size(x) - F.size(F.array_distinct(x))},
+    "of_text": {"n_symbols": lambda t: F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", ""))},
+}
+_SOURCES = {
+    "of_words": lambda: F.array_remove(F.split("text", _GAPS), ""),
+    "of_lines": lambda: F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
+    "of_text": lambda: F.col("text"),
+}
+
+
+def measures(needs: Iterable[str]) -> dict[str, Column]:
+    """A struct for each source of the measures needed; the source is cut once a row."""
+
+    def of(source: str, names: list[str]) -> Column:
+        return let(_SOURCES[source](), lambda x: F.struct(*(_MEASURES[source][n](x).cast("long").alias(n) for n in names)))
+
+    wanted = {source: [n for n in known if n in set(needs)] for source, known in _MEASURES.items()}
+    return {source: of(source, names) for source, names in wanted.items() if names}
+
+
+_PLACE = {n: source for source, known in _MEASURES.items() for n in known}
+
+
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, text, and the measures that rules use; null texts have none of anything."""
-    words = F.array_remove(F.split("text", _GAPS), "")
-    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    of_words = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), _repeat_words(w).cast("long").alias("n_repeat_words")))
-    of_lines = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
-    symbols = F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long")
-    got = texts(docs).select("doc_id", "text", of_words.alias("w"), symbols.alias("n_symbols"), of_lines.alias("l"))
-    return got.select("doc_id", "text", "w.n_words", "w.word_chars", "n_symbols", "l.n_lines", "l.n_dup_lines", "w.n_repeat_words")
-
-
-def ordered(sample: DataFrame, rules: tuple[Rule, ...] = RULES) -> list[tuple[Rule, float, float]]:
-    """Rules with their seconds and rejected share on the sample, by rejections per second."""
+    """doc_id, text, and all measures; null texts have none of anything."""
+    got = texts(docs).select("doc_id", "text", *(c.alias(source) for source, c in measures(_PLACE).items()))
+    return got.select("doc_id", "text", *(F.col(f"{source}.{n}").alias(n) for n, source in _PLACE.items()))
+
+
+def alone(rule: Rule) -> Column:
+    """The rule as a condition on ``text``, with the measures that it needs inside."""
+    parts = measures(rule.needs)
+    return let(F.struct(*(c.alias(source) for source, c in parts.items())), lambda m: rule.test({n: m[_PLACE[n]][n] for n in rule.needs}))
+
+
+def over_measures(rule: Rule) -> Column:
+    """The rule as a condition on the columns of ``measured``."""
+    return rule.test({n: F.col(n) for n in rule.needs})
+
+
+def sampled(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """doc_id and text of about ``rows`` documents from all parts of the table, staged; nothing is measured."""
+    n = docs.count()
+    return staged(texts(docs).sample(min(1.0, rows / max(1, n)), seed=7), "quality-sample")
+
+
+def ordered(sample: DataFrame, rules: tuple[Rule, ...] = RULES, condition: Callable[[Rule], Column] = alone, repeats: int = REPEATS) -> list[tuple[Rule, float, float]]:
+    """Rules with their seconds a row and rejected share on the sample, by rejections per second.
+
+    Each row is taken ``repeats`` times in one job, after a run that compiles it; what a
+    run takes that only reads the rows is no cost of a rule.
+    """
+    many = sample.withColumn("again", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
+
+    def timed(test: Column) -> tuple[float, int, int]:
+        job = many.agg(F.count_if(test).alias("rejected"), F.count("*").alias("n"))
+        job.first()
+        began = time.perf_counter()
+        row = job.first()
+        return time.perf_counter() - began, row.rejected, row.n
+
+    reading, _, n = timed(F.length("text") < 0)
     found = []
     for rule in rules:
-        began = time.perf_counter()
-        row = sample.agg(F.count_if(F.expr(rule.rejects)).alias("rejected"), F.count("*").alias("n")).first()
-        found.append((rule, time.perf_counter() - began, row.rejected / max(1, row.n)))
+        took, rejected, _ = timed(condition(rule))
+        found.append((rule, max(took - reading, 1e-3) / max(1, n), rejected / max(1, n)))
     return sorted(found, key=lambda x: (-x[2] / x[1], x[1]))
 
 
-def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def cascade(order: list[Rule], condition: Callable[[Rule], Column]) -> Column:
+    """The name of the first rule, after the base ones, that rejects a text; null if none does."""
+    out = F.when(condition(BASE), F.lit(BASE.name))
+    for rule in order:
+        out = out.when(condition(rule), F.lit(rule.name))
+    return out
+
+
+def verdicts(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """doc_id, kept and rule (null if kept) of every document, measuring only what the cascade reaches.
+
+    The verdicts are those of ``quality``, and so is the treatment of odd rows.
+    """
+    order = [rule for rule, _, _ in ordered(sampled(docs), rules)]
+    return texts(docs).select("doc_id", cascade(order, alone).alias("rule")).select("doc_id", F.col("rule").isNull().alias("kept"), "rule")
+
+
+def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Measures, verdict and first failing rule of every document.
 
     Columns: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept, rule (null if kept; ``base`` for the base rules). A null or empty
     text has no words and fails the base rules; repeated rows are judged each; an empty
-    table gives no rows. One pass over the documents without a shuffle.
+    table gives no rows. One pass over the documents without a shuffle; as every measure
+    is returned, only what rules do beyond them is short-circuited and counts as cost.
     """
-    measures = measured(docs)
-    few = staged(measures.sample(0.05, seed=7).limit(sample_rows), "quality-sample")
-    base = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
-    cascade = F.when(base, F.lit("base"))
-    for rule, _, _ in ordered(few, rules):
-        cascade = cascade.when(F.expr(rule.rejects), F.lit(rule.name))
-    judged = measures.withColumn("rule", cascade)
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), F.col("rule").isNull().alias("kept"), "rule")
+    order = [rule for rule, _, _ in ordered(staged(measured(sampled(docs)), "quality-measures"), rules, over_measures)]
+    judged = measured(docs).withColumn("rule", cascade(order, over_measures))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", over_measures(BASE).alias("base_failed"), F.col("rule").isNull().alias("kept"), "rule")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents")).drop("rule")
 
 
-_REJECTED = " or ".join(f"({r.sql or r.rejects})" for r in RULES)
+_REJECTED = " or ".join(f"({r.sql})" for r in RULES)
 
 OP4_SQL = rf"""
 with d as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
@@ -129,7 +211,7 @@ m as (
     length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::bigint as n_symbols, len(ls)::bigint as n_lines,
     (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines, coalesce(z.n, 0)::bigint as n_repeat_words
   from s left join z on s.r = z.r),
-b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m)
+b as (select *, {BASE.sql} as base_failed from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   not (base_failed or {_REJECTED}) as kept
 from b
