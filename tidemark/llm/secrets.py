@@ -5,14 +5,16 @@ encoding's alphabet is a candidate, and its encoding (hex, base 32, base 36, bas
 the smallest alphabet that holds it. A candidate counts as a secret if
 
 * chi-squared uniformity over the encoding's alphabet is far better than that of text:
-  its p-value under letters drawn as in written language says how seldom text is that even;
+  its p-value under letters drawn as in written language says how seldom text is that even,
+  the largest over the languages, so that the text may be in any of them;
 * the runs test about the alphabet's middle and the lag-one serial correlation, in
-  contrast, don't reject randomness at ``ACCEPT``.
+  contrast, don't reject randomness at ``ACCEPT``; where they do, the p-value counts as 1.
 
-The p-values of all candidates of the corpus go into one histogram for each band of
-lengths (a fixed number of cells), and Benjamini and Hochberg's step-up rule is applied
-within each band at ``RATE``, so that many short candidates, where the test has little
-power, don't loosen the bound for long ones.
+A p-value that is raised to 1 stays a valid one, so the step-up rule of Benjamini and
+Hochberg over all candidates of the corpus keeps its promise. They go into one histogram
+for each band of lengths (a fixed number of cells), and the rule is applied within each
+band at ``RATE``, so that many short candidates, where the test has little power, don't
+loosen the bound for long ones.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ BASE = (
 )
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 
-# The alphabets of encodings, smallest first, and letter shares of written English in percent.
+# The alphabets of encodings, smallest first, and letter shares of written languages in percent.
 ALPHABETS = {
     "hex": "0123456789abcdef",
     "hex_upper": "0123456789ABCDEF",
@@ -45,7 +47,13 @@ ALPHABETS = {
     "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_",
 }
-LETTER_SHARES = dict(zip("etaoinshrdlcumwfgypbvkjxqz", (12.7, 9.1, 8.2, 7.5, 7.0, 6.7, 6.3, 6.1, 6.0, 4.3, 4.0, 2.8, 2.8, 2.4, 2.4, 2.2, 2.0, 2.0, 1.9, 1.5, 1.0, 0.8, 0.2, 0.2, 0.1, 0.1), strict=True))
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+LETTER_SHARES = {
+    "en": (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.2, 0.8, 4.0, 2.4, 6.7, 7.5, 1.9, 0.1, 6.0, 6.3, 9.1, 2.8, 1.0, 2.4, 0.2, 2.0, 0.1),
+    "de": (6.5, 1.9, 2.7, 5.1, 16.4, 1.7, 3.0, 4.6, 6.6, 0.3, 1.4, 3.4, 2.5, 9.8, 2.6, 0.7, 0.1, 7.0, 7.3, 6.2, 4.2, 0.8, 1.9, 0.1, 0.1, 1.1),
+    "fr": (7.6, 0.9, 3.3, 3.7, 14.7, 1.1, 0.9, 0.7, 7.5, 0.6, 0.1, 5.5, 3.0, 7.1, 5.8, 2.5, 1.4, 6.7, 7.9, 7.2, 6.3, 1.8, 0.1, 0.4, 0.1, 0.3),
+    "es": (11.5, 2.2, 4.0, 5.0, 12.2, 0.7, 1.8, 0.7, 6.2, 0.5, 0.1, 5.0, 3.2, 6.7, 8.7, 2.5, 0.9, 6.9, 8.0, 4.6, 2.9, 1.1, 0.1, 0.2, 1.0, 0.5),
+}
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 
 #: Share of false discoveries in a band of lengths; level of the tests that must accept; bands' least lengths; cells of -log10 p.
@@ -64,24 +72,37 @@ def base_matches(text: str) -> list[tuple[int, int, str, int, int]]:
 
 
 def candidates(text: str, base: list[tuple]) -> Iterator[tuple[str, int, int, int, int]]:
-    """(kind, start, end, band, cell) of tokens outside base spans that pass the accepting tests."""
+    """(kind, start, end, band, cell) of tokens outside base spans; cell 0 where an accepting test fails."""
+    ends, at, reach = sorted((x[0], x[1]) for x in base), 0, 0
     for m in _CANDIDATE.finditer(text):
-        if any(x[0] < m.end() and m.start() < x[1] for x in base):
+        while at < len(ends) and ends[at][0] < m.end():
+            reach = max(reach, ends[at][1])
+            at += 1
+        if reach > m.start():
             continue
         tested = battery(m.group())
-        if tested and min(tested[2:]) > ACCEPT:
+        if tested:
             band = sum(len(m.group().rstrip("=")) >= b for b in BANDS) - 1
-            yield f"random_{tested[0]}", m.start(), m.end(), band, min(CELLS - 1, int(-10 * math.log10(max(tested[1], 1e-300))))
+            p = tested[1] if min(tested[2:]) > ACCEPT else 1.0
+            yield f"random_{tested[0]}", m.start(), m.end(), band, min(CELLS - 1, int(-10 * math.log10(max(p, 1e-300))))
 
 
-def _text_model(alphabet: str) -> np.ndarray:
+def _text_model(alphabet: str, language: str) -> np.ndarray:
     """Shares of an alphabet's characters in text: its letters, and a hundredth of others."""
-    shares = np.array([LETTER_SHARES.get(c.lower(), 0.0) * (0.1 if c.isupper() and alphabet.lower() != alphabet and alphabet.upper() != alphabet else 1.0) for c in alphabet])
-    shares = np.maximum(shares, 0.0) / shares.sum() * 0.99 + 0.01 / len(alphabet)
+    letter = dict(zip(LETTERS, LETTER_SHARES[language], strict=True))
+    both = alphabet.lower() != alphabet and alphabet.upper() != alphabet
+    shares = np.array([letter.get(c.lower(), 0.0) * (0.1 if c.isupper() and both else 1.0) for c in alphabet])
+    shares = shares / shares.sum() * 0.99 + 0.01 / len(alphabet)
     return shares / shares.sum()
 
 
-_MODELS = {name: (chars, {c: k for k, c in enumerate(chars)}, _text_model(chars)) for name, chars in ALPHABETS.items()}
+def _moments(q: np.ndarray) -> tuple[float, float, float, float]:
+    """Sums over a model's shares that the mean and spread of the statistic are made of."""
+    u = 1 / len(q)
+    return float((q * (1 - q)).sum()), float(((q - u) ** 2).sum()), float((q * (q - u) ** 2).sum()) - float((q * (q - u)).sum()) ** 2, float((q * q).sum())
+
+
+_MODELS = {name: (chars, {c: k for k, c in enumerate(chars)}, [_moments(_text_model(chars, x)) for x in LETTER_SHARES]) for name, chars in ALPHABETS.items()}
 
 
 def encoding(token: str) -> str | None:
@@ -101,17 +122,19 @@ def battery(token: str) -> tuple[str, float, float, float] | None:
     name = encoding(body)
     if name is None or len(body) < BANDS[0]:
         return None
-    chars, index, q = _MODELS[name]
+    chars, index, models = _MODELS[name]
     x = np.array([index[c] for c in body], float)
     n, k = len(x), len(chars)
     u = 1 / k
     counts = np.bincount(x.astype(int), minlength=k)
     statistic = float(((counts - n * u) ** 2).sum() / (n * u))
-    mean = float((n * q * (1 - q) + n * n * (q - u) ** 2).sum() / (n * u))
-    spread = 4 * n * k * k * (float((q * (q - u) ** 2).sum()) - float((q * (q - u)).sum()) ** 2) + 2 * k * k * float((q * q).sum())
-    # Sums of squares are skewed; their cube roots are close to normal (Wilson and Hilferty).
-    v = spread / mean**2 / 9
-    even = 0.5 * math.erfc((1 - v - (statistic / mean) ** (1 / 3)) / math.sqrt(2 * v))
+    even = 0.0
+    for alone, off, third, squares in models:
+        mean = (n * alone + n * n * off) / (n * u)
+        spread = 4 * n * k * k * third + 2 * k * k * squares
+        # Sums of squares are skewed; their cube roots are close to normal (Wilson and Hilferty).
+        v = spread / mean**2 / 9
+        even = max(even, 0.5 * math.erfc((1 - v - (statistic / mean) ** (1 / 3)) / math.sqrt(2 * v)))
     high = x >= k / 2
     ones = int(high.sum())
     zeros = n - ones
@@ -131,7 +154,7 @@ _FOUND = "row long, doc_id long, base array<struct<kind:string,start:int,end:int
 
 
 def _scan(docs: DataFrame) -> DataFrame:
-    """Per row its base spans and its candidates that pass the accepting tests, with band and cell of p."""
+    """Per row its base spans and its candidates, with band and cell of p."""
     span = [("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]
     kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct(span)), pa.list_(pa.struct([*span, ("band", pa.int32()), ("cell", pa.int32())]))]
 
@@ -154,7 +177,7 @@ def _cells(found: DataFrame) -> list[tuple[int, int, int]]:
 
 def thresholds(cells: list[tuple[int, int, int]], rate: float = RATE) -> dict[int, int]:
     """Per band the least cell that the step-up rule still takes, from (band, cell, n) counts."""
-    least = {}
+    least: dict[int, int] = {}
     for band in {x[0] for x in cells}:
         above, total = 0, sum(n for b, _, n in cells if b == band)
         for _, cell, n in sorted((x for x in cells if x[0] == band), key=lambda x: -x[1]):
