@@ -1,5 +1,6 @@
 import random
 import re
+import zlib
 
 from tests.llm.helpers import docs
 from tidemark.llm import decontamination, html_text, pii, quality, secrets, toxicity
@@ -60,8 +61,8 @@ def test_quality_measures_and_order(spark):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered))
         assert r.base_failed == (len(words) < 50 or 100 * len(covered) > 50 * len(words)) and (not r.base_failed or not r.kept)
     frame = docs(spark, list(enumerate(texts)))
-    for sample, condition in ((quality.sampled(frame), quality.alone), (quality.measured(frame), quality.over_measures)):
-        found = quality.ordered(sample, condition=condition)
+    for sample in (quality.measured(frame, quality.BASE.needs), quality.measured(frame)):
+        found = quality.ordered(sample)
         worth = [share / cost for _, cost, share in found]
         assert worth == sorted(worth, reverse=True) and {r for r, _, _ in found} == set(quality.RULES)
     verdicts = [{r.doc_id: r.kept for r in f(frame, rules).collect()} for f in (quality.quality, quality.verdicts) for rules in (quality.RULES, quality.RULES[::-1])]
@@ -70,16 +71,19 @@ def test_quality_measures_and_order(spark):
 
 def test_quality_costs_are_of_the_rules_themselves(spark):
     """Repeated windows cost far more than a pattern, and the cheap rule that rejects as much goes first."""
-    frame = docs(spark, [(k, " ".join(f"w{(k * j) % 97}" for j in range(400)) + " A" * 900) for k in range(300)])
-    found = {r.name: (cost, share) for r, cost, share in quality.ordered(quality.sampled(frame))}
+    frame = docs(spark, [(k, " ".join(f"w{(k * j) % 97}" for j in range(400)) + " AA" * 900) for k in range(300)])
+    sample = quality.staged(quality.measured(frame, ["n_words"]), "few")
+    found = {r.name: (cost, share) for r, cost, share in quality.ordered(sample, repeats=20)}
     assert found["repeated_windows"][0] > 1.5 * found["shouting"][0] and found["shouting"][1] == 1
-    order = [r.name for r, _, _ in quality.ordered(quality.sampled(frame))]
+    order = [r.name for r, _, _ in quality.ordered(sample, repeats=20)]
     assert order.index("shouting") < order.index("repeated_windows")
 
 
 def test_quality_samples_before_it_measures(spark):
     few = quality.sampled(docs(spark, [(k, f"text {k}") for k in range(5000)]))
-    assert few.columns == ["doc_id", "text"] and 300 < few.count() < 800
+    assert 300 < few.count() < 800
+    plan = quality.measured(few)._jdf.queryExecution().executedPlan().toString().split("\n")
+    assert next(k for k, x in enumerate(plan) if "Sample" in x) > next(k for k, x in enumerate(plan) if "n_repeat_words" in x)  # the sample is below
     plan = quality.verdicts(docs(spark, [(1, "a b c")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
 
@@ -111,6 +115,40 @@ def test_battery_tells_random_from_text():
     assert sorted(x[1] for x in words)[5] > 1e-3
 
 
+def test_planted_keys_are_found_among_joined_words():
+    """Recall by encoding and band of lengths, and false discoveries among words of four languages joined as names."""
+    from collections import Counter
+
+    rng = random.Random(7)
+    prose = "the of and that with from which water people house nicht einer durch schreiben gegen wissen zwischen dans avec cette pourquoi maison toujours para como desde ciudad siempre nuestro".split()
+    joins = (lambda w: "".join(w), lambda w: "".join(x.capitalize() for x in w), lambda w: "_".join(w), lambda w: "".join(w).upper(), lambda w: "-".join(w))
+    items = [(None, x) for _ in range(1500) if len(x := rng.choice(joins)([rng.choice(prose) for _ in range(rng.randint(4, 14))])) >= 20]
+    items += [(name, noise(rng, secrets.ALPHABETS[name], n)) for name in ("hex_upper", "base32", "base36", "base64") for n in (24, 32, 48, 72, 100, 160) for _ in range(25)]
+    rows = [(name, x[3], x[4]) for name, token in items for x in secrets.candidates(token, secrets.base_matches(token))]
+    least = secrets.thresholds([(b, c, n) for (b, c), n in Counter((b, c) for _, b, c in rows).items()])
+    found, all_ = Counter(), Counter()
+    for name, band, cell in rows:
+        all_[name, band] += 1
+        found[name, band] += cell >= least.get(band, secrets.CELLS)
+    share = lambda names, bands: sum(found[n, b] for n in names for b in bands) / sum(all_[n, b] for n in names for b in bands)
+    assert share(["hex_upper"], range(5)) > 0.9 and share(["base32", "base36", "base64"], (3, 4)) > 0.9
+    assert share(["base36", "base64"], [2]) > 0.75 and share(["base32"], [2]) > 0.3
+    false = sum(found[None, b] for b in range(5))
+    assert false <= 0.02 * sum(found.values())
+
+
+def test_many_spans_and_candidates_take_linear_time():
+    import time
+
+    text = " ".join(f"secret={k:08d} {'ab' * 11}{k % 10}zq" for k in range(20000))
+    began = time.perf_counter()
+    base = secrets.base_matches(text)
+    assert len(base) == 20000 and len(list(secrets.candidates(text, base))) == 20000
+    assert time.perf_counter() - began < 20
+    tie = "secret=" + "ab12" * 8  # an assignment and a hexadecimal run that overlap: both stay
+    assert [x[2] for x in secrets.base_matches(tie)] == ["assign", "hex"] and not list(secrets.candidates(tie, secrets.base_matches(tie)))
+
+
 def edit_distance(pattern, text):
     row = [0] * (len(text) + 1)
     for i, a in enumerate(pattern, 1):
@@ -283,7 +321,9 @@ def test_toxicity_learns_and_swaps_do_not_matter(spark):
 
     tested = [(found[k].predicted, bad) for k, _, bad in marks if found[k].held_out]
     assert sum(p == b for p, b in tested) / len(tested) > 0.95
-    assert toxicity.swapped({"women", "x"}) == {"x", "man"} and toxicity.swapped({"x"}) is None
+    copies = toxicity.swapped({"women", "x"})
+    assert {"x"} in copies and all("x" in c and "women" not in c for c in copies) and toxicity.swapped({"x"}) == []
+    assert {toxicity.KIND[w] for c in copies for w in c - {"x"}} == {("gender", "en")}
     kept = toxicity.without_toxic(frame, model)
     assert kept.columns == frame.columns and 0 < kept.count() < 900
 
@@ -307,6 +347,46 @@ def test_toxicity_forgets_terms_named_often(spark):
     assert toxicity.words_of("women women muslims muslims worstling worstling") == {"women", "muslims", "worstling", "wors~", "worst~", "worstl~", "worstli~"}
 
 
+def test_neutral_mentions_of_any_group_are_no_toxicity(spark):
+    """False positives on neutral sentences, for kinds and languages whose terms keep bad company in the labels."""
+    rng = random.Random(12)
+    plain = [noise(rng, "abcdefgh", 5) for _ in range(200)]
+    named = {kind: rng.sample(terms, 3) for kind, terms in toxicity.IDENTITY.items()}
+    rows, marks = [], []
+    for k in range(1500):
+        bad = rng.random() < 0.3
+        words = rng.choices(plain, k=rng.randint(10, 60))
+        words += rng.sample(["vilest", "worstling"], 1) if bad and rng.random() < 0.7 else []
+        for terms in named.values():
+            words += [rng.choice(terms)] if rng.random() < (0.12 if bad else 0.005) else []
+        rng.shuffle(words)
+        rows.append((k, " ".join(words)))
+        marks.append((k, 1, int(bad)))
+    frame, labels = docs(spark, rows), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    model, free = toxicity.fit(frame, labels), toxicity.fit(frame, labels, swap=0.0)
+    around = [(" ".join(rng.choices(plain, k=12)), term, " ".join(rng.choices(plain, k=12))) for terms in toxicity.IDENTITY.values() for term in terms]
+    neutral, bare = [" ".join(x) for x in around], [f"{a} {b}" for a, _, b in around]
+    wrong = lambda m: sum(m.score(t) >= toxicity.TOXIC > m.score(b) for t, b in zip(neutral, bare, strict=True))
+    assert all(abs(model.score(t) - model.score(b)) < 0.05 for t, b in zip(neutral, bare, strict=True))
+    spurious = [t for t in neutral if any(x in t.split() for terms in named.values() for x in terms)]
+    assert wrong(model) == 0 and sum(free.score(t) for t in spurious) > 1.5 * sum(model.score(t) for t in spurious)
+
+
+def test_toxicity_labels_that_disagree(spark):
+    rows = [(1, "a b c"), (2, "a b c"), (4, "d e f"), (5, "g h i"), (7, "g h i"), (8, "j k l")]
+    marks = [(1, 1, 1), (1, 1, 0), (2, 1, 1), (4, 1, 0), (4, 1, 0), (5, 1, 1), (7, 1, 0), (8, 1, None)]
+    usable = [k for k, _ in rows if zlib.crc32(str(k).encode()) % 3 != 1]
+    found, _ = toxicity.sampled(docs(spark, rows), spark.createDataFrame(marks, "doc_id long, quality int, toxic int"))
+    got = sorted((r.toxic, tuple(r.words)) for r in found.collect())
+    want = {}
+    for k, text in rows:
+        said = {m[2] for m in marks if m[0] == k and m[2] is not None}
+        if k in usable and len(said) == 1:
+            want.setdefault(text, []).append(said.pop())
+    want = sorted((int(2 * sum(v) > len(v)), tuple(t.split())) for t, v in want.items() if 2 * sum(v) != len(v))
+    assert got == want
+
+
 def test_thresholds_step_up():
     cells = [(0, 0, 90), (0, 15, 6), (0, 40, 4), (1, 3, 50)]
     assert secrets.thresholds(cells, rate=0.5) == {0: 15}

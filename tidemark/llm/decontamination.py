@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import staged, table, texts
 
-#: Edits allowed for each character of an item, the shortest item (in characters) that has
-#: edits, and the shortest piece; shorter items are looked for whole, between word boundaries.
-EDITS_PER_CHARACTER, SHORTEST_ITEM, SHORTEST_PIECE = 0.05, 40, 16
+#: Edits allowed for each character of an item, and the shortest item (in characters) that has
+#: edits; shorter items are looked for whole, between word boundaries.
+EDITS_PER_CHARACTER, SHORTEST_ITEM = 0.05, 40
 
 #: Items, and their characters, that one pass over the documents looks for; more take more passes.
 ITEMS_A_PASS, CHARACTERS_A_PASS = 20_000, 8_000_000
@@ -30,13 +30,13 @@ def normalised(text: str) -> str:
     return " ".join(text.lower().split())
 
 
-def pieces(item: str, rate: float = EDITS_PER_CHARACTER, shortest: int = SHORTEST_PIECE) -> tuple[int, list[tuple[int, str]]]:
+def pieces(item: str, rate: float = EDITS_PER_CHARACTER) -> tuple[int, list[tuple[int, str]]]:
     """The item's error budget, and its budget + 1 pieces with their places.
 
-    The budget is lowered where pieces would get shorter than ``shortest``; an item of under
-    ``SHORTEST_ITEM`` has none.
+    An item of under ``SHORTEST_ITEM`` has no budget. With one edit in 20 characters a
+    piece has 13 characters or more.
     """
-    budget = 0 if len(item) < SHORTEST_ITEM else max(0, min(int(rate * len(item)), len(item) // shortest - 1))
+    budget = 0 if len(item) < SHORTEST_ITEM else int(rate * len(item))
     edges = [len(item) * k // (budget + 1) for k in range(budget + 2)]
     return budget, [(a, item[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
 

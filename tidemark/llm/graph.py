@@ -18,6 +18,7 @@ def components(edges: DataFrame) -> DataFrame:
     so none is lost with an executor. Repeated edges and loops change nothing; no edges
     give no rows.
     """
+    edges = staged(edges.select("a", "b"), "links")  # read twice below
     nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     labels = staged(nodes.withColumn("component", F.col("node")), "labels")
     live = _between(edges, "a", "b")

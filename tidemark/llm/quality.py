@@ -37,6 +37,7 @@ class Rule:
     needs: tuple[str, ...]
     test: Callable[[dict[str, Column]], Column]
     sql: str  # the same for DuckDB
+    reads: bool = False  # whether the test itself goes through the text
 
 
 def _kept(kind: str) -> Column:
@@ -49,8 +50,8 @@ RULES = (
     Rule("repeated_lines", ("n_lines", "n_dup_lines"), lambda m: (m["n_lines"] >= 4) & (10 * m["n_dup_lines"] > 3 * m["n_lines"]), "n_lines >= 4 and 10 * n_dup_lines > 3 * n_lines"),
     Rule("repeated_windows", ("n_repeat_words", "n_words"), lambda m: 10 * m["n_repeat_words"] > 4 * m["n_words"], "10 * n_repeat_words > 4 * n_words"),
     Rule("word_length", ("word_chars", "n_words"), lambda m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 20 * m["n_words"]), "word_chars < 2 * n_words or word_chars > 20 * n_words"),
-    Rule("shouting", ("word_chars",), lambda m: 2 * _kept("A-Z") > m["word_chars"], "2 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > word_chars"),
-    Rule("exclaiming", ("n_words",), lambda m: 10 * _kept("!") > 3 * m["n_words"], "10 * length(regexp_replace(text, '[^!]+', '', 'g')) > 3 * n_words"),
+    Rule("shouting", ("word_chars",), lambda m: 2 * _kept("A-Z") > m["word_chars"], "2 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > word_chars", True),
+    Rule("exclaiming", ("n_words",), lambda m: 10 * _kept("!") > 3 * m["n_words"], "10 * length(regexp_replace(text, '[^!]+', '', 'g')) > 3 * n_words", True),
 )
 
 #: The base rules of the contract come first: where they fail there is no verdict to find.
@@ -93,77 +94,87 @@ _MEASURES = {
     "of_lines": {"n_lines": F.size, "n_dup_lines": lambda x: F.size(x) - F.size(F.array_distinct(x))},
     "of_text": {"n_symbols": lambda t: F.length(F.regexp_replace(t, r"[^#*$%&|<>]+", ""))},
 }
-_SOURCES = {
-    "of_words": lambda: F.array_remove(F.split("text", _GAPS), ""),
-    "of_lines": lambda: F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
-    "of_text": lambda: F.col("text"),
-}
+def _words() -> Column:
+    return F.array_remove(F.split("text", _GAPS), "")
 
 
-def measures(needs: Iterable[str]) -> dict[str, Column]:
-    """A struct for each source of the measures needed; the source is cut once a row."""
+def _lines() -> Column:
+    return F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
-    def of(source: str, names: list[str]) -> Column:
-        return let(_SOURCES[source](), lambda x: F.struct(*(_MEASURES[source][n](x).cast("long").alias(n) for n in names)))
 
-    wanted = {source: [n for n in known if n in set(needs)] for source, known in _MEASURES.items()}
-    return {source: of(source, names) for source, names in wanted.items() if names}
+_PLACE = {n: source for source, known in _MEASURES.items() for n in known}
 
 
-_PLACE = {n: source for source, known in _MEASURES.items() for n in known}
+def measures(needs: Iterable[str], words: Column | None = None) -> Column:
+    """A struct that holds a struct for each source of the measures needed; a source is cut once a row."""
+
+    def of(source: str, names: list[str]) -> Column:
+        cut = {"of_words": lambda: _words() if words is None else words, "of_lines": _lines, "of_text": lambda: F.col("text")}[source]()
+        return let(cut, lambda x: F.struct(*(_MEASURES[source][n](x).cast("long").alias(n) for n in names)))
+
+    wanted = {source: [n for n in known if n in set(needs)] for source, known in _MEASURES.items()}
+    return F.struct(*(of(source, names).alias(source) for source, names in wanted.items() if names))
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, text, and all measures; null texts have none of anything."""
-    got = texts(docs).select("doc_id", "text", *(c.alias(source) for source, c in measures(_PLACE).items()))
-    return got.select("doc_id", "text", *(F.col(f"{source}.{n}").alias(n) for n, source in _PLACE.items()))
+def fields(needs: Iterable[str], struct: Column) -> dict[str, Column]:
+    return {n: struct[_PLACE[n]][n] for n in needs}
 
 
-def alone(rule: Rule) -> Column:
-    """The rule as a condition on ``text``, with the measures that it needs inside."""
-    parts = measures(rule.needs)
-    return let(F.struct(*(c.alias(source) for source, c in parts.items())), lambda m: rule.test({n: m[_PLACE[n]][n] for n in rule.needs}))
+def measured(docs: DataFrame, needs: Iterable[str] = tuple(_PLACE)) -> DataFrame:
+    """doc_id, text, and the measures; null texts have none of anything."""
+    got = texts(docs).select("doc_id", "text", measures(needs).alias("m")).select("doc_id", "text", "m.*")
+    return got.select("doc_id", "text", *(F.col(f"{_PLACE[n]}.{n}").alias(n) for n in needs))
 
 
-def over_measures(rule: Rule) -> Column:
-    """The rule as a condition on the columns of ``measured``."""
-    return rule.test({n: F.col(n) for n in rule.needs})
+def condition(rule: Rule, known: dict[str, Column], words: Column | None = None) -> Column:
+    """The rule as a condition on ``text``; measures that are not known are taken inside."""
+    more = [n for n in rule.needs if n not in known]
+    if not more:
+        return rule.test(known)
+    return let(measures(more, words), lambda m: rule.test({**known, **fields(more, m)}))
 
 
 def sampled(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """doc_id and text of about ``rows`` documents from all parts of the table, staged; nothing is measured."""
+    """About ``rows`` documents from all parts of the table."""
     n = docs.count()
-    return staged(texts(docs).sample(min(1.0, rows / max(1, n)), seed=7), "quality-sample")
+    return docs.sample(min(1.0, rows / max(1, n)), seed=7)
 
 
-def ordered(sample: DataFrame, rules: tuple[Rule, ...] = RULES, condition: Callable[[Rule], Column] = alone, repeats: int = REPEATS) -> list[tuple[Rule, float, float]]:
+def ordered(sample: DataFrame, rules: tuple[Rule, ...] = RULES, repeats: int = REPEATS) -> list[tuple[Rule, float, float]]:
     """Rules with their seconds a row and rejected share on the sample, by rejections per second.
 
-    Each row is taken ``repeats`` times in one job, after a run that compiles it; what a
-    run takes that only reads the rows is no cost of a rule.
+    ``sample`` has text and the measures that are known without a rule; what they cost is
+    no cost of a rule. A rule that does more is timed: each row is taken ``repeats`` times
+    in one job, after a run that compiles it, and what a job takes that only reads the
+    rows is taken off.
     """
+    known = {c: F.col(c) for c in sample.columns if c in _PLACE}
+    words = F.col("words") if "words" in sample.columns else None
+    conditions = {rule.name: condition(rule, known, words) for rule in rules}
+    shares = sample.agg(F.count("*").alias("n"), *(F.count_if(c).alias(name) for name, c in conditions.items())).first()
     many = sample.withColumn("again", F.explode(F.sequence(F.lit(1), F.lit(repeats))))
 
-    def timed(test: Column) -> tuple[float, int, int]:
-        job = many.agg(F.count_if(test).alias("rejected"), F.count("*").alias("n"))
+    def seconds(test: Column) -> float:
+        job = many.agg(F.count_if(test))
         job.first()
         began = time.perf_counter()
-        row = job.first()
-        return time.perf_counter() - began, row.rejected, row.n
+        job.first()
+        return time.perf_counter() - began
 
-    reading, _, n = timed(F.length("text") < 0)
+    reading = seconds(F.length("text") < 0)
     found = []
     for rule in rules:
-        took, rejected, _ = timed(condition(rule))
-        found.append((rule, max(took - reading, 1e-3) / max(1, n), rejected / max(1, n)))
+        free = not rule.reads and all(n in known for n in rule.needs)
+        cost = 0.0 if free else seconds(conditions[rule.name]) - reading
+        found.append((rule, max(cost, 1e-4) / max(1, shares.n), shares[rule.name] / max(1, shares.n)))
     return sorted(found, key=lambda x: (-x[2] / x[1], x[1]))
 
 
-def cascade(order: list[Rule], condition: Callable[[Rule], Column]) -> Column:
+def cascade(order: list[Rule], known: dict[str, Column], words: Column | None = None) -> Column:
     """The name of the first rule, after the base ones, that rejects a text; null if none does."""
-    out = F.when(condition(BASE), F.lit(BASE.name))
+    out = F.when(BASE.test(known), F.lit(BASE.name))
     for rule in order:
-        out = out.when(condition(rule), F.lit(rule.name))
+        out = out.when(condition(rule, known, words), F.lit(rule.name))
     return out
 
 
@@ -172,8 +183,13 @@ def verdicts(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     The verdicts are those of ``quality``, and so is the treatment of odd rows.
     """
-    order = [rule for rule, _, _ in ordered(sampled(docs), rules)]
-    return texts(docs).select("doc_id", cascade(order, alone).alias("rule")).select("doc_id", F.col("rule").isNull().alias("kept"), "rule")
+    sample = measured(sampled(docs), BASE.needs).withColumn("words", _words())
+    order = [rule for rule, _, _ in ordered(staged(sample, "quality-sample"), rules)]
+
+    def judged(words: Column) -> Column:
+        return let(measures(BASE.needs, words), lambda m: cascade(order, fields(BASE.needs, m), words))
+
+    return texts(docs).select("doc_id", let(_words(), judged).alias("rule")).select("doc_id", F.col("rule").isNull().alias("kept"), "rule")
 
 
 def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -185,9 +201,10 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     table gives no rows. One pass over the documents without a shuffle; as every measure
     is returned, only what rules do beyond them is short-circuited and counts as cost.
     """
-    order = [rule for rule, _, _ in ordered(staged(measured(sampled(docs)), "quality-measures"), rules, over_measures)]
-    judged = measured(docs).withColumn("rule", cascade(order, over_measures))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", over_measures(BASE).alias("base_failed"), F.col("rule").isNull().alias("kept"), "rule")
+    order = [rule for rule, _, _ in ordered(staged(measured(sampled(docs)), "quality-sample"), rules)]
+    known = {n: F.col(n) for n in _PLACE}
+    judged = measured(docs).withColumn("rule", cascade(order, known))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", BASE.test(known).alias("base_failed"), F.col("rule").isNull().alias("kept"), "rule")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
