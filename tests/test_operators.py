@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.classify import category, group_of_path, language, namespace_moved, risk
 from tidemark.functions.similarity import similarity
-from tidemark.operators import diff, edits, extract, matches, merge, planning, rename
+from tidemark.operators import diff, edits, extract, matches, merge, planning, relations, rename, reports
 from tidemark.sources import files
 
 
@@ -164,6 +164,64 @@ def test_extraction(spark):
     assert sorted((r.fqn, r.line_start) for r in extract.css_selectors(css).collect()) == [("#b-c", 1), (".a", 1), (".d", 3)]
 
 
+def test_css_lines_are_those_of_the_file(spark):
+    text = "/* one\n.two {}\n*/ .three { a: b;\n c: d }\n#five, .six\n{ margin: .5em;\n}\n.eight /* x */ .nine"
+    found = extract.css_selectors(spark.createDataFrame([("a.css", text), ("b.css", None), ("c.css", "")], "file_path string, text string")).collect()
+    assert sorted((r.line_start, r.fqn) for r in found) == [(3, ".three"), (5, "#five"), (5, ".six"), (8, ".eight"), (8, ".nine")]
+
+
+def test_report_joins_on_odd_rows(spark):
+    paths = spark.createDataFrame([("modules/Views/a.php",), ("x/ab.php",), (None,), ("",)], "file_path string")
+    names = spark.createDataFrame([("views",), ("ab",), ("a",), (None,), ("",), ("zz",)], "machine_name string")
+    found = {(r.file_path, r.machine_name) for r in reports.contained(paths, names).collect()}
+    assert found == {("modules/Views/a.php", "views"), ("modules/Views/a.php", "a"), ("x/ab.php", "ab"), ("x/ab.php", "a")}
+    lib = "fqn string, css array<string>, js array<string>, dependencies array<string>, is_deprecated int"
+    old = spark.createDataFrame([("a", ["x.css", "y.css"], None, ["d"], 0), ("b", None, None, None, None)], lib)
+    new = spark.createDataFrame([("a", ["y.css"], ["z.js"], None, 1), ("c", [], [], [], 0)], lib)
+    rows = sorted((r.fqn, r.change_type, r.severity, r.item) for r in reports.library_changes(old, new).collect())
+    assert [x[:3] for x in rows] == [
+        ("a", "library_css_removed", "breaking"), ("a", "library_dependency_removed", "warning"), ("a", "library_deprecated", "deprecation"), ("b", "library_removed", "breaking"), ("c", "library_added", "modernization"),
+    ] and rows[0][3] == "x.css" and rows[1][3] == "d"
+    changes = spark.createDataFrame([(1, 2), (2, None)], "id long, query_version int")
+    with pytest.raises(ValueError):
+        reports.require_current(changes, 2)
+    assert reports.require_current(changes.where("id = 1"), 2).count() == 1
+    kinds = (("service", '{"class":"A"}', '{"class":"B"}', "service_class_changed"), ("service", '{"class":"A","x":1}', '{"class":"A"}', "service_changed"), ("module_info", '{"dependencies":["b","a"]}', '{"dependencies":["a"]}', "module_dependencies_changed"),
+        ("theme_info", '{"base theme":"x"}', '{"base theme":"y"}', "theme_base_changed"), ("theme_info", '{"dependencies":["x"]}', '{}', "theme_info_changed"), ("recipe_manifest", '{"install":["x"]}', '{}', "recipe_install_changed"))
+    for kind, a, b, want in kinds:
+        assert value(spark, reports.changed_type(F.lit(kind), F.lit(a), F.lit(b))) == want
+    links = spark.createDataFrame([("l", '{"css_assets":["a.css","b.css"]}'), ("m", None)], "fqn string, metadata_json string")
+    assets = spark.createDataFrame([(1, "a.css"), (2, "c.css")], "id long, file_path string")
+    assert [(r.fqn, r.asset_id) for r in relations.asset_links(links, assets).collect()] == [("l", 1)]
+
+
+def test_keep_last_meets_ties_and_nulls(spark):
+    rows = spark.createDataFrame([(1, None, "a"), (1, 3, "b"), (1, 3, "b"), (None, None, "c"), (None, 1, "d")], "k long, id long, v string")
+    assert sorted(r.v for r in merge.keep_last(rows, ["k"]).collect()) == ["b", "d"]
+
+
+def test_changed_only_orders_a_group_over_batches(spark, tmp_path):
+    from tidemark.streaming import logs
+
+    rng = random.Random(3)
+    rows = [(k % 2, k, rng.choice(["a", "b", None])) for k in range(3000)]
+    rng.shuffle(rows)
+    spark.createDataFrame(rows, "g long, seq long, v string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        found = logs.drained(logs.changed_only(logs.stream(spark, str(tmp_path), "events"), "g", "seq", "v"), "changed").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = []
+    for g in (0, 1):
+        last = object()
+        for _, seq, v in sorted(x for x in [(r[0], r[1], r[2] or "") for r in rows] if x[0] == g):
+            if v != last:
+                want.append((g, seq, v or None))
+            last = v
+    assert sorted((r.g, r.seq, r.v or "") for r in found) == sorted((g, s, v or "") for g, s, v in want)
+
+
 def test_a_missing_yaml_parser_is_told(monkeypatch):
     monkeypatch.setitem(sys.modules, "yaml", None)
     with pytest.raises(ImportError):

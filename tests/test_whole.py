@@ -42,9 +42,9 @@ def test_closures_cover_all_parts(spark, tmp_path):
 
     want = {n: reach(n, set()) for n in edges}
     run = lambda name: {r.node: r for r in registry.QUERIES[name](spark, str(tmp_path)).collect()}
-    assert {n: r.n for n, r in run("dependency_closure_all").items()} == {n: len(x) for n, x in want.items() if x}
-    assert {n: r.hotspot for n, r in run("hotspots_all").items()} == {n: sizes[n] + sum(sizes.get(x, 0) for x in want[n]) for n in want}
-    plan = run("upgrade_plan_all")
+    assert {n: r.n for n, r in run("dependency_closure").items()} == {n: len(x) for n, x in want.items() if x}
+    assert {n: r.hotspot for n, r in run("hotspots").items()} == {n: sizes[n] + sum(sizes.get(x, 0) for x in want[n]) for n in want}
+    plan = run("upgrade_plan")
     assert set(plan) == set(edges) and max(plan) > 400 and all(plan[n].level > plan[x].level for n in edges for x in edges[n] if x in plan)
 
 
@@ -55,12 +55,12 @@ def test_similar_names_compares_all(spark, tmp_path):
         for b in rows:
             if a[2] == b[2] and (s := round(1 - distance(a[1], b[1]) / max(len(a[1]), len(b[1])), 6)) > 0.7:
                 want.add((a[0], b[0] + 1000000, s))
-    assert {tuple(r) for r in registry.QUERIES["similar_names_all"](spark, str(tmp_path)).collect()} == want and want
+    assert {tuple(r) for r in registry.QUERIES["similar_names"](spark, str(tmp_path)).collect()} == want and want
 
 
 def test_rewrites_and_edits_cover_all_documents(spark):
     docs = snapshots.read(spark, SF, "documents").select("doc_id", "text").collect()
-    assert registry.QUERIES["word_rewrite_all"](spark, SF).count() == len(docs)
+    assert registry.QUERIES["word_rewrite"](spark, SF).count() == len(docs)
     found = {}
     for r in registry.QUERIES["apply_edits"](spark, SF).collect():
         found.setdefault(int(r.file_path), []).append(r)

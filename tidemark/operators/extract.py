@@ -16,7 +16,10 @@ _COLUMNS = [x.split()[0] for x in SYMBOLS.split(", ")]
 
 def css_selectors(files: DataFrame) -> DataFrame:
     """(file_path, fqn, line_start, signature_hash) of class and id selectors, declarations left out."""
-    bare = F.regexp_replace(F.regexp_replace("text", r"(?s)/\*.*?\*/", ""), r"\{[^{}]*\}", "{}")
+    # What is left out keeps its new lines, so that lines stay those of the file.
+    pieces = lambda c, pattern: F.arrays_zip(F.split(c, pattern, -1).alias("kept"), F.regexp_extract_all(c, F.lit(f"({pattern})"), 1).alias("gone"))
+    without = lambda c, pattern: F.array_join(F.transform(pieces(c, pattern), lambda x: F.concat(F.coalesce(x["kept"], F.lit("")), F.regexp_replace(F.coalesce(x["gone"], F.lit("")), "[^\n]", ""))), "")
+    bare = without(without(F.col("text"), r"/\*(?s:.*?)\*/"), r"\{[^{}]*\}")
     lines = files.select("file_path", F.posexplode(F.split(bare, "\n")).alias("line", "t"))
     found = lines.select("file_path", (F.col("line") + 1).alias("line_start"), F.explode(F.regexp_extract_all("t", F.lit(r"([.#][A-Za-z_-][A-Za-z0-9_-]*)"), 1)).alias("fqn"))
     return found.withColumn("signature_hash", F.sha2("fqn", 256))

@@ -14,9 +14,12 @@ def _same(left: DataFrame, right: DataFrame, key: list[str], null_safe: bool) ->
 
 
 def keep_last(df: DataFrame, key: list[str], order: str = "id") -> DataFrame:
-    """One row a key, the one of the greatest ``order``; null keys are equal to each other."""
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.col(order).desc()))
-    return df.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    """One row a key, the one of the greatest ``order`` (nulls last); null keys are equal to each other.
+
+    An aggregate that combines where rows are read, so a hot key's rows don't meet.
+    """
+    last = df.groupBy(*(F.col(k).alias(f"_key{n}") for n, k in enumerate(key))).agg(F.max_by(F.struct(*df.columns), F.struct(F.col(order).isNotNull(), order)).alias("row"))
+    return last.select("row.*")
 
 
 def upsert(target: DataFrame, rows: DataFrame, key: list[str], null_safe: bool = True) -> DataFrame:

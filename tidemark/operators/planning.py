@@ -11,14 +11,16 @@ from tidemark.operators.lineage import checkpointed
 def closure(edges: DataFrame, most: int = 64) -> DataFrame:
     """(node, reached) of every node that a path of one or more edges leads to.
 
-    Each round joins the newest pairs with themselves and all (paths double), and only
-    pairs not met before go on, so cycles end; rounds are checkpointed.
+    A round joins the pairs that were new in the last one with all pairs (so paths double
+    while they grow), and only pairs not met before go on; cycles end. Rounds are
+    checkpointed.
     """
-    found = edges.select("node", "reached").distinct()
+    found = checkpointed(edges.select("node", "reached").distinct())
+    fresh = found
     for _ in range(most):
         ahead = found.select(F.col("node").alias("reached"), F.col("reached").alias("further"))
-        longer = found.join(ahead, "reached").select("node", F.col("further").alias("reached")).distinct()
-        fresh = longer.join(found, ["node", "reached"], "left_anti")
+        longer = fresh.join(ahead, "reached").select("node", F.col("further").alias("reached"))
+        fresh = checkpointed(longer.distinct().join(found, ["node", "reached"], "left_anti"))
         if fresh.isEmpty():
             return found
         found = checkpointed(found.unionByName(fresh))

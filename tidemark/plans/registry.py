@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import jsonpath
 from tidemark.functions.classify import category, language, namespace_moved, risk, severity_score
 from tidemark.functions.similarity import similarity
-from tidemark.operators import diff, edits, extract, matches, merge, planning, relations, rename
+from tidemark.operators import diff, edits, extract, matches, merge, planning, relations, rename, reports
 from tidemark.sources import files, snapshots
 from tidemark.streaming import logs
 
@@ -65,7 +65,9 @@ query("parameters_increased", V + "select fqn, symbol_type, json_array_length(o.
 )
 query("newly_deprecated", V + "select fqn, symbol_type, o.id as old_id, n.id as new_id from o join n using (fqn, symbol_type) where o.is_deprecated = 0 and n.is_deprecated = 1")(_versions(lambda o, n: diff.newly_deprecated(o, n).select("fqn", "symbol_type", "old_id", "new_id")))
 query("deprecated_then_removed", V + _REMOVED.format(c="id, fqn") + " and o.is_deprecated = 1")(_versions(lambda o, n: diff.deprecated_then_removed(o, n).select("id", "fqn")))
-query("modernised", V + "select o.id, fqn, max(n.id) as new_id from o join n using (fqn) where o.symbol_type = 'Brand#12' and n.symbol_type = 'Brand#12' group by 1, 2")(_versions(lambda o, n: diff.modernised(o, n, "Brand#12", "Brand#12").select("id", "fqn", "new_id")))
+query("modernised", V + "select o.id, o.name as fqn, max(n.id) as new_id from o join n on n.name = o.name where o.symbol_type = 'Brand#12' and n.symbol_type = 'Brand#23' group by 1, 2")(
+    _versions(lambda o, n: diff.modernised(o.withColumn("fqn", F.col("name")), n.withColumn("fqn", F.col("name")), "Brand#12", "Brand#23").select("id", "fqn", "new_id"))
+)
 _ALL = """, c as (select coalesce(o.fqn, n.fqn) as fqn, coalesce(o.symbol_type, n.symbol_type) as symbol_type, o.id as old_id, n.id as new_id,
   case when n.id is null and o.is_deprecated = 1 then 'deprecated_removed' when n.id is null then 'symbol_removed' when o.id is null then 'symbol_added'
     when o.signature_hash <> n.signature_hash then 'signature_changed' when o.is_deprecated = 0 and n.is_deprecated = 1 then 'deprecated_added' end as change_type
@@ -82,27 +84,20 @@ select fqn, symbol_type, unnest(range(x::bigint, y::bigint))::int as position, '
 query("changed_keys", V + "select fqn, case when json_extract(o.signature_json, '$.params') <> json_extract(n.signature_json, '$.params') then 'params' else '' end as keys from o join n using (fqn, symbol_type) where o.signature_hash <> n.signature_hash")(
     _versions(lambda o, n: diff.changed_signatures(o, n).select("fqn", F.array_join(diff.changed_keys(F.col("old_signature_json"), F.col("new_signature_json")), ",").alias("keys")))
 )
-query("namespace_moves", V + "select o.fqn, false as moved from o join n using (fqn, symbol_type)")(_versions(lambda o, n: diff.paired(o, n).select("fqn", F.coalesce(namespace_moved(F.col("fqn"), F.col("fqn")), F.lit(False)).alias("moved"))))
-
-
-def _similar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = read(spark, sf_dir, "part")
-    a, b = (p.select(F.col("p_partkey").alias(f"{s}_key"), F.col("p_name").alias(f"{s}_name"), "p_brand") for s in ("old", "new"))
-    near = F.abs(F.length("old_name") - F.length("new_name")) <= 5
-    pairs = a.where("old_key % 10 = 0").join(b.where("new_key % 10 = 1"), "p_brand").where(near)
-    return pairs.withColumn("score", F.round(similarity(F.col("old_name"), F.col("new_name")), 6)).where("score > 0.7").select("old_key", "new_key", "score")
+query("namespace_moves", V + r"select distinct o.language || '\' || o.name as old_name, n.language || '\' || n.name as new_name from o join n using (name, symbol_type) where o.language <> n.language")(_versions(lambda o, n: _moves(o, n)))
 
 
-query("similar_names", """select a.p_partkey as old_key, b.p_partkey as new_key, round(case when a.p_name = b.p_name then 1.0 else 1 - levenshtein(a.p_name, b.p_name)::double / greatest(strlen(a.p_name), strlen(b.p_name)) end, 6) as score
-from part a join part b using (p_brand) where a.p_partkey % 10 = 0 and b.p_partkey % 10 = 1 and abs(length(a.p_name) - length(b.p_name)) <= 5
-and round(case when a.p_name = b.p_name then 1.0 else 1 - levenshtein(a.p_name, b.p_name)::double / greatest(strlen(a.p_name), strlen(b.p_name)) end, 6) > 0.7""")(_similar)
+def _moves(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Names that stay while the language that qualifies them changes; distinct names meet, not their symbols."""
+    a, b = (v.select("name", "symbol_type", F.concat("language", F.lit("\\"), "name").alias(f"{side}_name")).distinct() for v, side in ((old, "old"), (new, "new")))
+    return a.join(b, ["name", "symbol_type"]).where(namespace_moved(F.col("old_name"), F.col("new_name"))).select("old_name", "new_name").distinct()
 
 
 _SCORE = "round(case when o.name = n.name then 1.0 else 1 - levenshtein(o.name, n.name)::double / greatest(strlen(o.name), strlen(n.name)) end, 6)"
 
 
-@query("similar_names_all", V + f"select o.id as old_id, n.id as new_id, {_SCORE} as score from o join n using (symbol_type) where {_SCORE} > 0.7")
-def _similar_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("similar_names", V + f"select o.id as old_id, n.id as new_id, {_SCORE} as score from o join n using (symbol_type) where {_SCORE} > 0.7")
+def _similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every old symbol against every new one of its type, name by name.
 
     A score over 0.7 bounds the other name's length, so distinct names meet by type and
@@ -177,9 +172,8 @@ where f.weight >= (select weight from v where id = 3) and t.weight <= (select we
 query("nearest_version", "select n_nationkey::bigint as id, n_nationkey * 10 + n_regionkey as weight from nation order by abs(n_nationkey * 10 + n_regionkey - 87), 1 limit 1")(
     lambda spark, sf_dir: matches.nearest_version(read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), (F.col("n_nationkey") * 10 + F.col("n_regionkey")).alias("weight")), 87)
 )
-query("containment_join", "select r_name, c_custkey from region join customer on contains(c_mktsegment, substring(r_name, 1, 1))")(
-    # Five regions: the broadcast side has a size that the schema fixes.
-    lambda spark, sf_dir: read(spark, sf_dir, "customer").join(F.broadcast(read(spark, sf_dir, "region")), F.expr("instr(c_mktsegment, substring(r_name, 1, 1)) > 0")).select("r_name", "c_custkey")
+query("containment_join", M + "select file_path, machine_name from (select distinct file_path from m) p join (select distinct 'e' || s_suppkey as machine_name from supplier) x on contains(lower(file_path), machine_name)")(
+    lambda spark, sf_dir: reports.contained(snapshots.matches(spark, sf_dir), read(spark, sf_dir, "supplier").select(F.concat(F.lit("e"), "s_suppkey").alias("machine_name")))
 )
 
 # JSON predicates, searches, pages.
@@ -225,37 +219,28 @@ query("claim_next", "select o_orderkey as id, case when o_orderkey = (select min
 )
 
 # Dependencies. Every part depends on those of a half and a third of its number.
-_EDGES = "e as (select distinct p_partkey as node, p_partkey // k as reached from part, (values (2), (3)) t(k) where p_partkey // k > 0 and p_partkey <= 400)"
+_EDGES = "e as (select distinct p_partkey as node, p_partkey // k as reached from part, (values (2), (3)) t(k) where p_partkey // k > 0)"
 _CLOSURE = f"with recursive {_EDGES}, c as (select node, reached from e union select c.node, e.reached from c join e on e.node = c.reached)\n"
 
 
-def _edges(spark: SparkSession, sf_dir: str, parts: str = "p_partkey <= 400") -> DataFrame:
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.explode(F.array(F.lit(2), F.lit(3))).alias("k")
-    return read(spark, sf_dir, "part").where(parts).select(F.col("p_partkey").alias("node"), k).select("node", F.floor(F.col("node") / F.col("k")).alias("reached")).where("reached > 0").distinct()
-
-
-query("dependency_closure", _CLOSURE + "select node, count(distinct reached) as n from c group by 1")(lambda spark, sf_dir: planning.closure(_edges(spark, sf_dir)).groupBy("node").agg(F.count("*").alias("n")))
-query("upgrade_plan", _CLOSURE + "select p.p_partkey as node, count(distinct c.reached) filter (c.reached <> c.node) as level, (select count(*) from e where e.node = p.p_partkey) as direct from part p left join c on c.node = p.p_partkey where p.p_partkey <= 400 group by 1")(
-    lambda spark, sf_dir: planning.plan_order(read(spark, sf_dir, "part").where("p_partkey <= 400").select(F.col("p_partkey").alias("node")), _edges(spark, sf_dir))
-)
-query("hotspots", _CLOSURE + "select p.p_partkey as node, p.p_size::int as score, coalesce(sum(d.p_size), 0)::bigint as dependency_score, (p.p_size + coalesce(sum(d.p_size), 0))::bigint as hotspot from part p left join (select distinct node, reached from c where node <> reached) c on c.node = p.p_partkey left join part d on d.p_partkey = c.reached where p.p_partkey <= 400 group by 1, 2, p.p_size")(
-    lambda spark, sf_dir: planning.hotspots(read(spark, sf_dir, "part").where("p_partkey <= 400").select(F.col("p_partkey").alias("node"), F.col("p_size").alias("score")), _edges(spark, sf_dir))
-)
-
-# The same over all parts; the queries above keep to the 400 that their SQL names.
-_CLOSURE_ALL = _CLOSURE.replace(" and p_partkey <= 400", "")
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), k).select("node", F.floor(F.col("node") / F.col("k")).alias("reached")).where("reached > 0").distinct()
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.col("p_size").alias("score"))
 
 
-query("dependency_closure_all", _CLOSURE_ALL + "select node, count(distinct reached) as n from c group by 1")(lambda spark, sf_dir: planning.closure(_edges(spark, sf_dir, "true")).groupBy("node").agg(F.count("*").alias("n")))
-query("upgrade_plan_all", _CLOSURE_ALL + ", d as (select node, count(*) as direct from e group by 1) select p.p_partkey as node, count(distinct c.reached) filter (c.reached <> c.node) as level, coalesce(max(d.direct), 0) as direct from part p left join c on c.node = p.p_partkey left join d on d.node = p.p_partkey group by 1")(
-    lambda spark, sf_dir: planning.plan_order(_nodes(spark, sf_dir).select("node"), _edges(spark, sf_dir, "true"))
+query("dependency_closure", _CLOSURE + "select node, count(distinct reached) as n from c group by 1")(lambda spark, sf_dir: planning.closure(_edges(spark, sf_dir)).groupBy("node").agg(F.count("*").alias("n")))
+query("upgrade_plan", _CLOSURE + """, d as (select node, count(*) as direct from e group by 1)
+select p.p_partkey as node, count(distinct c.reached) filter (c.reached <> c.node) as level, coalesce(max(d.direct), 0) as direct
+from part p left join c on c.node = p.p_partkey left join d on d.node = p.p_partkey group by 1""")(
+    lambda spark, sf_dir: planning.plan_order(_nodes(spark, sf_dir).select("node"), _edges(spark, sf_dir))
 )
-query("hotspots_all", _CLOSURE_ALL + "select p.p_partkey as node, p.p_size::int as score, coalesce(sum(d.p_size), 0)::bigint as dependency_score, (p.p_size + coalesce(sum(d.p_size), 0))::bigint as hotspot from part p left join (select distinct node, reached from c where node <> reached) c on c.node = p.p_partkey left join part d on d.p_partkey = c.reached group by 1, 2, p.p_size")(
-    lambda spark, sf_dir: planning.hotspots(_nodes(spark, sf_dir), _edges(spark, sf_dir, "true"))
+query("hotspots", _CLOSURE + """select p.p_partkey as node, p.p_size::int as score, coalesce(sum(d.p_size), 0)::bigint as dependency_score, (p.p_size + coalesce(sum(d.p_size), 0))::bigint as hotspot
+from part p left join (select distinct node, reached from c where node <> reached) c on c.node = p.p_partkey left join part d on d.p_partkey = c.reached group by 1, 2, p.p_size""")(
+    lambda spark, sf_dir: planning.hotspots(_nodes(spark, sf_dir), _edges(spark, sf_dir))
 )
 
 # Relations between entries. Suppliers stand for extensions that depend on a half and a third of their number.
@@ -289,10 +274,7 @@ query("scan_patterns", M + "select distinct change_type, case change_type when '
 # Texts: extraction and rewriting.
 query("page_links", "select page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) as href from pages")(lambda spark, sf_dir: extract.links(read(spark, sf_dir, "pages")))
 query("pages_by_host", "select regexp_extract(url, '://([^/]+)', 1) as host, count(*) as n from pages group by 1")(lambda spark, sf_dir: read(spark, sf_dir, "pages").groupBy(F.regexp_extract("url", "://([^/]+)", 1).alias("host")).agg(F.count("*").alias("n")))
-query("word_rewrite", r"select doc_id, sha256(regexp_replace(text, '\bthe\b', 'THE', 'g')) as new_hash, strlen(text)::int as n_bytes, length(text)::int as n_points from documents where lang = 'en'")(
-    lambda spark, sf_dir: read(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.sha2(edits.replace_word(F.col("text"), "the", "THE"), 256).alias("new_hash"), F.octet_length("text").alias("n_bytes"), F.length("text").alias("n_points"))
-)
-query("word_rewrite_all", r"select doc_id, sha256(regexp_replace(text, '\bthe\b', 'THE', 'g')) as new_hash, strlen(text)::int as n_bytes, length(text)::int as n_points from documents")(
+query("word_rewrite", r"select doc_id, sha256(regexp_replace(text, '\bthe\b', 'THE', 'g')) as new_hash, strlen(text)::int as n_bytes, length(text)::int as n_points from documents")(
     lambda spark, sf_dir: read(spark, sf_dir, "documents").select("doc_id", F.sha2(edits.replace_word(F.col("text"), "the", "THE"), 256).alias("new_hash"), F.octet_length("text").alias("n_bytes"), F.length("text").alias("n_points"))
 )
 query("rewrite_first_call", "select p_partkey, case when instr(p_name, ' ') > 0 then p_name[1:instr(p_name, ' ') - 1] || '->' || p_name[instr(p_name, ' ') + 1:] else p_name end as rewritten from part")(lambda spark, sf_dir: read(spark, sf_dir, "part").select("p_partkey", edits.rewrite_call(F.col("p_name"), F.lit(" "), F.lit("->")).alias("rewritten")))
@@ -327,3 +309,6 @@ query("stream_last_state", "select user_id, arg_max(event_type, event_id) as sta
 query("stream_changed_only", "select user_id, event_id, event_type from events qualify event_type is distinct from lag(event_type) over (partition by user_id order by event_id)")(
     lambda spark, sf_dir: logs.drained(logs.changed_only(logs.stream(spark, sf_dir, "events"), "user_id", "event_id", "event_type"), "changed")
 )
+
+
+from tidemark.plans import report_queries  # noqa: E402, F401  (registers its queries above)

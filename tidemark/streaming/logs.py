@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,10 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tidemark.operators.lineage import shared_folder
+
 
 def _place(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,11 @@ def tail(rows: DataFrame, seq: str, after: int) -> DataFrame:
     return rows.where(F.col(seq) > after)
 
 
+def once(rows: DataFrame, group: str, seq: str) -> DataFrame:
+    """Rows without those of a group and number that came before; works on streams and tables alike."""
+    return rows.dropDuplicates([group, seq])
+
+
 def progress(rows: DataFrame, group: str, seq: str) -> DataFrame:
     """Per group its greatest sequence number and how many rows it has."""
     return rows.groupBy(group).agg(F.max(seq).alias("last_seq"), F.count("*").alias("n"))
@@ -61,18 +66,25 @@ def last_state(rows: DataFrame, group: str, seq: str, state: str) -> DataFrame:
 
 
 def changed_only(rows: DataFrame, group: str, seq: str, value: str) -> DataFrame:
-    """Of a stream, the rows whose value differs from the group's last one; state is one value a group."""
+    """Of a stream, the rows whose value differs from the group's last one; state is one value a group.
+
+    A repeated null is no change. Of one micro-batch a group's three columns are ordered in
+    memory, so a hot group is bounded by the size of micro-batches (maxFilesPerTrigger).
+    """
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        for batch in batches:
-            batch = batch.sort_values(seq)
-            before = batch[value].shift(1)
-            before.iloc[0] = last
-            last = batch[value].iloc[-1]
-            yield batch.loc[batch[value] != before, [group, seq, value]]
+        # A group can come in many Arrow batches; only all of them together are in order.
+        group_rows = pd.concat(list(batches)).sort_values(seq, kind="stable")
+        values = group_rows[value].astype(object).where(group_rows[value].notna(), None).tolist()
+        known = state.exists
+        last = state.get[0] if known else None
+        keep = []
+        for v in values:
+            keep.append(not known or v != last)
+            known, last = True, v
         state.update((last,))
+        yield group_rows.loc[keep, [group, seq, value]]
 
     out = ", ".join(f"{c} {kinds[c]}" for c in (group, seq, value))
     return rows.select(group, seq, value).groupBy(group).applyInPandasWithState(step, out, f"value {kinds[value]}", "append", GroupStateTimeout.NoTimeout)
