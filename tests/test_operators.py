@@ -52,10 +52,30 @@ def test_renames_are_one_to_one(spark):
     schema = "id long, language string, symbol_type string, fqn string, name string, namespace string, signature_json string, source_text string"
     gone = spark.createDataFrame([(1, "php", "function", "old_load", "old_load", "n", "s1", "f old_load()"), (2, "php", "function", "old_loads", "old_loads", "n", "s1", "f old_loads()")], schema)
     fresh = spark.createDataFrame([(9, "php", "function", "new_load", "new_load", "n", "s1", "f new_load()"), (8, "php", "class", "old_load", "old_load", "n", "s1", "x")], schema)
-    rows = rename.assign(rename.candidates(gone, fresh), 0.6).collect()
+    rows = rename.assign(rename.candidates(gone, fresh)).collect()
     assert [(r.old_id, r.new_id) for r in rows] == [(1, 9)]
 
 
+def test_rename_candidates_lose_no_pair_that_is_accepted(spark):
+    """Every pair of a language and type is scored by itself; those from 0.7 on are just the candidates."""
+    rng = random.Random(8)
+    schema = "id long, language string, symbol_type string, fqn string, name string, namespace string, signature_json string, source_text string"
+    word = lambda: "".join(rng.choices("abcé_", k=rng.randint(1, 9)))
+
+    def rows(first):
+        out = []
+        for k in range(90):
+            name = word()
+            out.append((first + k, rng.choice(["php", "js"]), "function", f"n\\{name}", name, rng.choice(["n", "m", None]), rng.choice(["s1", "s2", "", None]), f"f {name}() {word()}"))
+        return out
+
+    gone, fresh = (spark.createDataFrame(rows(x), schema) for x in (0, 1000))
+    sides = [df.select(*(F.col(c).alias(f"{s}_{c}") for c in df.columns)) for df, s in ((gone, "old"), (fresh, "new"))]
+    every = sides[0].join(sides[1], F.col("old_language") == F.col("new_language")).withColumn("score", rename.score()).where("score >= 0.7")
+    want = {(r.old_id, r.new_id, round(r.score, 6)) for r in every.collect()}
+    assert {(r.old_id, r.new_id, round(r.score, 6)) for r in rename.candidates(gone, fresh).collect()} == want and len(want) > 5
+
+
 def test_assignment_equals_the_walk(spark):
     rng = random.Random(4)
     pairs = [(o, n, rng.choice([0.5, 0.7, 0.8, 0.9])) for o in range(40) for n in range(100, 135) if rng.random() < 0.4]

@@ -8,38 +8,40 @@ from pyspark.sql import functions as F
 from tidemark.functions.similarity import similarity
 from tidemark.operators.lineage import checkpointed
 
-#: Score from which a pair counts as a rename, and the largest difference of name lengths compared.
-ACCEPT, BAND = 0.70, 5
+#: Score from which a pair counts as a rename.
+ACCEPT = 0.70
 
-#: Tasks that one signature's pairs are dealt over.
+#: Tasks that one signature's names are dealt over.
 SALTS = 16
 
 
-def candidates(gone: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Scored pairs of removed and added symbols of one language and type.
+def candidates(gone: DataFrame, fresh: DataFrame, accept: float = ACCEPT) -> DataFrame:
+    """Scored pairs of removed and added symbols of one language and type that can be renames.
 
-    Three equi-joins give the pairs: the same signature, the same name, and names whose
-    lengths differ by at most ``BAND`` and whose first or last three characters agree
-    (names that similar share one of both). The score is 0.5 for equal signatures, 0.3 of
-    the name similarity, and for likely pairs 0.1 for the same namespace and 0.1 of the
-    source similarity; at most 1, and 0 if nothing was renamed.
+    The score is 0.5 for equal signatures, 0.3 of the name similarity, and for likely pairs
+    0.1 for the same namespace and 0.1 of the source similarity; at most 1, and 0 if
+    nothing was renamed. From 0.7 on it therefore needs an equal signature (that is not
+    empty) and, at the least, names that are half alike: pairs without are never looked
+    at, and none that reaches ``accept`` (0.65 or more) is lost.
+
+    Distinct names of a signature meet first, by lengths that allow such a similarity;
+    symbols are joined to the names that agree. A common signature's names are dealt over
+    ``SALTS`` tasks.
     """
+    if accept < 0.65:
+        raise ValueError("pairs below 0.65 are not looked for")
     keep = ["id", "language", "symbol_type", "fqn", "name", "namespace", "signature_json", "source_text"]
-    a, b = (df.select(*(F.col(c).alias(f"{side}_{c}") for c in keep)) for df, side in ((gone, "old"), (fresh, "new")))
-    block = [F.col("old_language") == F.col("new_language"), F.col("old_symbol_type") == F.col("new_symbol_type")]
-    # A common signature is dealt over as many tasks: each old row to one, each new row to all.
-    dealt = a.withColumn("salt", F.pmod(F.xxhash64("old_id"), F.lit(SALTS)).cast("int"))
-    every = b.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    signed = dealt.join(every, [*block, F.col("old_signature_json") == F.col("new_signature_json"), dealt["salt"] == every["salt"]]).drop("salt")
-    named = a.join(b, [*block, F.col("old_name") == F.col("new_name")])
-    near = (F.abs(F.length("old_name") - F.length("new_name")) <= BAND) & (F.least(F.length("old_name"), F.length("new_name")) >= 3)
-    alike = [
-        a.join(b, [*block, f(F.col("old_name")) == f(F.col("new_name")), near])
-        for f in (lambda c: F.substring(c, 1, 3), lambda c: F.substring(c, -3, 3))
-    ]
-    alike = alike[0].unionByName(alike[1]).where(similarity(F.col("old_name"), F.col("new_name")) > 0.7)
-    pairs = signed.unionByName(named).unionByName(alike).dropDuplicates(["old_id", "new_id"])
-    return pairs.withColumn("score", score()).where("score > 0")
+    block = ["language", "symbol_type", "signature_json"]
+    a, b = (df.where("signature_json <> ''").select(*block, *(F.col(c).alias(f"{side}_{c}") for c in keep if c not in block)) for df, side in ((gone, "old"), (fresh, "new")))
+    names = a.select(*block, "old_name").distinct().withColumn("salt", F.pmod(F.xxhash64("old_name"), F.lit(SALTS)).cast("int"))
+    others = b.select(*block, "new_name").distinct().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    size = lambda side: F.octet_length(f"{side}_name")
+    near = 2 * F.least(size("old"), size("new")) > F.greatest(size("old"), size("new"))
+    alike = names.join(others, [*block, "salt"]).where(near).where(similarity(F.col("old_name"), F.col("new_name")) > 0.5).drop("salt")
+    pairs = a.join(alike, [*block, "old_name"]).join(b, [*block, "new_name"])
+    sides = [F.col(c).alias(f"{side}_{c}") for side in ("old", "new") for c in block]
+    pairs = pairs.select(*sides, *(f"{side}_{c}" for side in ("old", "new") for c in keep if c not in block))
+    return pairs.withColumn("score", score()).where(F.col("score") >= accept)
 
 
 def score():

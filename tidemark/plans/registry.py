@@ -112,12 +112,32 @@ def _similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.join(names, ["symbol_type", "old_name"]).join(n, ["symbol_type", "new_name"]).select("old_id", "new_id", "score")
 
 
-@query("rename_assignment")
-def _renames(spark: SparkSession, sf_dir: str) -> DataFrame:
+_GONE = """, r as (select * replace (case when id % 5 = 0 then fqn || 's' else fqn end as fqn, case when id % 5 = 0 then name || 's' else name end as name, case when id % 5 = 0 then name || 's ' || namespace else source_text end as source_text) from n),
+a as (select * from o where not exists (select 1 from r where r.fqn = o.fqn and r.symbol_type = o.symbol_type)),
+b as (select * from r where not exists (select 1 from o where r.fqn = o.fqn and r.symbol_type = o.symbol_type)),
+p as (select a.id as old_id, b.id as new_id, a.fqn as old_fqn, b.fqn as new_fqn, a.namespace = b.namespace as same,
+    case when a.name = b.name then 1.0 when greatest(strlen(a.name), strlen(b.name)) < 4 then 0.0 else 1 - levenshtein(a.name, b.name)::double / greatest(strlen(a.name), strlen(b.name)) end as s,
+    replace(a.source_text, a.name, '__RENAMED__') as x, replace(b.source_text, b.name, '__RENAMED__') as y
+  from a join b using (language, symbol_type, signature_json)),
+q as (select old_id, new_id, old_fqn, new_fqn, least(1.0, 0.5 + 0.3 * s + case when s > 0.5 then case when same then 0.1 else 0.0 end
+    + 0.1 * case when x = y then 1.0 else 1 - levenshtein(x, y)::double / greatest(strlen(x), strlen(y)) end else 0.0 end) as score from p)
+"""
+
+
+def _renamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates between the snapshots, where every fifth symbol of the second has another name."""
     old, new = snapshots.both(spark, sf_dir)
-    return rename.assign(rename.candidates(diff.removed(old, new), diff.added(old, new)), 0.6)
+    other = lambda c, text: F.when(F.col("id") % 5 == 0, text).otherwise(F.col(c))
+    named = {"fqn": other("fqn", F.concat("fqn", F.lit("s"))), "name": other("name", F.concat("name", F.lit("s"))), "source_text": other("source_text", F.concat("name", F.lit("s "), "namespace"))}
+    new = new.withColumns(named)
+    return rename.candidates(diff.removed(old, new), diff.added(old, new))
 
 
+query("rename_scores", V.rstrip() + _GONE + "select old_id, new_id, round(score, 6) as score from q where score >= 0.7")(
+    lambda spark, sf_dir: _renamed(spark, sf_dir).select("old_id", "new_id", F.round("score", 6).alias("score"))
+)
+query("rename_assignment")(lambda spark, sf_dir: rename.assign(_renamed(spark, sf_dir)))
+
 # Matches: joins, overlays, counts and comparisons.
 def _matches(f):
     return lambda spark, sf_dir: f(snapshots.matches(spark, sf_dir))
