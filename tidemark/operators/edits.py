@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -126,34 +127,46 @@ def apply_edits(files: DataFrame, matches: DataFrame) -> DataFrame:
     unknown), matched_source, fix_template. A file's edits go from its end to its start
     over UTF-8 bytes; one fails where the bytes are not what was matched and what was
     matched is not there just once, or where it overlaps one that was applied (a
-    conflict); one that changes nothing is skipped. A task walks one file's matches.
+    conflict); one that changes nothing is skipped. A file's matches are collected first, so
+    that its text is joined once; a task walks one file's matches.
     """
-    both = matches.join(files, "file_path")
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        data = group["text"].iloc[0].encode()
-        taken: list[tuple[int, int]] = []  # original ranges of applied edits; all start after those to come
-        rows = []
-        for m in group.sort_values(["byte_start", "id"], ascending=[False, True]).itertuples():
-            old, a, b = (m.matched_source or "").encode(), int(m.byte_start), int(m.byte_end)
-            new = rewritten(m.matched_source or "", m.fix_template)
-            status, conflict = "failed", a >= 0 and any(a < y and x < b for x, y in taken)
-            if not conflict and new is not None:
-                known = a >= 0 and data[a:b] == old
-                if not known:
-                    a = data.find(old) if old and data.count(old) == 1 else -1
-                if a >= 0 and new.encode() == old:
-                    status = "skipped"
-                elif a >= 0:
-                    status = "applied"
-                    data = data[:a] + new.encode() + data[a + len(old) :]
-                    if known:
-                        taken.append((a, b))
-            rows.append([m.file_path, m.id, status, conflict, None])
-        rows[0][4] = data.decode()
-        return pd.DataFrame(rows, columns=["file_path", "match_id", "status", "conflict", "new_text"])
-
-    return both.groupBy("file_path").applyInPandas(walk, _APPLIED)
+    places = (F.coalesce(c, F.lit(-1)).alias(c) for c in ("byte_start", "byte_end"))
+    edits = matches.groupBy("file_path").agg(F.collect_list(F.struct("id", *places, "matched_source", "fix_template")).alias("edits"))
+    names = [x.split()[0] for x in _APPLIED.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[list] = []
+            for path, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows += [[path, *x] for x in _walk((text or "").encode(), found)]
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
+
+    return files.select("file_path", "text").join(edits, "file_path").mapInArrow(run, _APPLIED)
+
+
+def _walk(data: bytes, found: list[dict]) -> list[list]:
+    """[match id, status, conflict, text] of a file's edits from its end to its start; the text on the first alone."""
+    least = len(data) + 1  # where the nearest edit that was applied at its own place starts
+    rows: list[list] = []
+    for m in sorted(found, key=lambda m: (-m["byte_start"], m["id"])):
+        old, a, b = (m["matched_source"] or "").encode(), m["byte_start"], m["byte_end"]
+        new = rewritten(m["matched_source"] or "", m["fix_template"])
+        status, conflict = "failed", 0 <= a < b and b > least
+        if not conflict and new is not None:
+            known = a >= 0 and data[a:b] == old
+            if not known:
+                a = data.find(old) if old and data.count(old) == 1 else -1
+            if a >= 0 and new.encode() == old:
+                status = "skipped"
+            elif a >= 0:
+                status = "applied"
+                data = data[:a] + new.encode() + data[a + len(old) :]
+                if known:
+                    least = a
+        rows.append([m["id"], status, conflict, None])
+    rows[0][3] = data.decode()
+    return rows
 
 
 def edit_totals(applied: DataFrame) -> DataFrame:

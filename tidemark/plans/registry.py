@@ -322,6 +322,18 @@ def _applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edits.apply_edits(docs, _word_edits(docs))
 
 
+_HEAD = r"'^([\t\n\x0B\f\r ]*)([^\t\n\x0B\f\r ]+)([\t\n\x0B\f\r ]*)([^\t\n\x0B\f\r ]*)'"
+
+
+@query("applied_edits", f"""with h as (select doc_id, text, regexp_extract(text, {_HEAD}, 0) as w, regexp_extract(text, {_HEAD}, 1) as a, regexp_extract(text, {_HEAD}, 2) as b, regexp_extract(text, {_HEAD}, 3) as c, regexp_extract(text, {_HEAD}, 4) as d from documents)
+select doc_id::varchar as file_path, ((b <> 'X')::int + (d <> '' and d <> 'X')::int)::bigint as applied, ((b = 'X')::int + (d = 'X')::int)::bigint as skipped,
+  sha256(a || 'X' || c || case when d = '' then '' else 'X' end || substring(text, length(w) + 1)) as new_hash from h where b <> ''""")
+def _applied_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same edits, counted by file, with a hash of each rewritten text."""
+    one = lambda status: F.count_if(F.col("status") == status).alias(status)
+    return _applied(spark, sf_dir).groupBy("file_path").agg(one("applied"), one("skipped"), F.sha2(F.max("new_text"), 256).alias("new_hash"))
+
+
 # Streams.
 query("stream_tail", "select event_id, event_type from events where event_id > 500")(lambda spark, sf_dir: logs.drained(logs.tail(logs.stream(spark, sf_dir, "events"), "event_id", 500).select("event_id", "event_type"), "tail"))
 query("stream_progress", "select event_type, max(event_id) as last_seq, count(*) as n from events group by 1")(lambda spark, sf_dir: logs.drained_totals(logs.progress(logs.stream(spark, sf_dir, "events"), "event_type", "event_id"), "progress"))
