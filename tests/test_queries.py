@@ -6,7 +6,7 @@ import pytest
 from tidemark.plans import registry
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents pages".split()
+TABLES = "region nation customer supplier part orders lineitem events documents pages benchmark".split()
 
 
 @pytest.fixture(scope="module")
