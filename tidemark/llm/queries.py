@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from tidemark.llm.bpe import op12_bpe_codec
 from tidemark.llm.decontamination import op10_decontamination
 from tidemark.llm.html_text import op7_html_extraction
+from tidemark.llm.importance import OP13_SQL, op13_importance_resampling
 from tidemark.llm.near_dedup import OP5_SQL, op5_minhash_near_dedup
 from tidemark.llm.packing import op2_best_fit_packing
 from tidemark.llm.pii import op9_personal_data
@@ -24,10 +26,13 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_personal_data": op9_personal_data,
     "op10_decontamination": op10_decontamination,
+    "op12_bpe_codec": op12_bpe_codec,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 ORACLES: dict[str, str] = {
     "op1_suffix_dedup": OP1_SQL,
     "op4_quality_rules": OP4_SQL,
     "op5_minhash_near_dedup": OP5_SQL,
+    "op13_importance_resampling": OP13_SQL,
 }
