@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidemark.llm.bpe import op12_bpe_codec
+from tidemark.llm.conversations import OP11_SQL, op11_conversation_repair
 from tidemark.llm.decontamination import op10_decontamination
 from tidemark.llm.html_text import op7_html_extraction
 from tidemark.llm.importance import OP13_SQL, op13_importance_resampling
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_personal_data": op9_personal_data,
     "op10_decontamination": op10_decontamination,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_bpe_codec": op12_bpe_codec,
     "op13_importance_resampling": op13_importance_resampling,
 }
@@ -34,5 +36,6 @@ ORACLES: dict[str, str] = {
     "op1_suffix_dedup": OP1_SQL,
     "op4_quality_rules": OP4_SQL,
     "op5_minhash_near_dedup": OP5_SQL,
+    "op11_conversation_repair": OP11_SQL,
     "op13_importance_resampling": OP13_SQL,
 }
