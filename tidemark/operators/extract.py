@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Callable, Iterator
@@ -10,8 +11,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SYMBOLS = "file_path string, language string, symbol_type string, fqn string, name string, parent_symbol string, signature_json string, signature_hash string, line_start int, byte_start int, byte_end int, metadata_json string"
+from tidemark.operators.php import Offsets, scan, tokens
+
+SYMBOLS = (
+    "file_path string, language string, symbol_type string, fqn string, name string, namespace string, parent_symbol string, visibility string, is_static int, "
+    "signature_json string, signature_hash string, line_start int, line_end int, byte_start int, byte_end int, source_text string, docblock string, "
+    "is_deprecated int, deprecation_version string, removal_version string, deprecation_message string, metadata_json string"
+)
 _COLUMNS = [x.split()[0] for x in SYMBOLS.split(", ")]
+_ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
+
+
+def arrow_schema(ddl: str) -> pa.Schema:
+    return pa.schema([(n, _ARROW[t]) for n, t in (x.split() for x in ddl.split(", "))])
 
 
 def css_selectors(files: DataFrame) -> DataFrame:
@@ -62,94 +74,39 @@ def symbols(files: DataFrame, parsers: dict[str, Parser] | None = None) -> DataF
     """
     by_language = dict(PARSERS if parsers is None else parsers)
 
+    schema = arrow_schema(SYMBOLS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[dict] = []
             for path, lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if lang in by_language and text is not None:
-                    rows += [_row(path, lang, text, x) for x in by_language[lang](path, text)]
-            schema = pa.schema([(c, pa.int32() if c in ("line_start", "byte_start", "byte_end") else pa.string()) for c in _COLUMNS])
-            yield pa.RecordBatch.from_pylist(rows, schema)
+                    yield pa.RecordBatch.from_pylist(_rows(path, lang, text, list(by_language[lang](path, text))), schema)
 
     known = files.where(F.col("language").isin(*by_language)) if by_language else files
     return known.select("file_path", "language", "text").mapInArrow(run, SYMBOLS)
 
 
-def _row(path: str, language: str, text: str, found: dict) -> dict:
-    import hashlib
-
-    start, end = found.pop("start", -1), found.pop("end", -1)
-    out = dict.fromkeys(_COLUMNS) | {"file_path": path, "language": language, "name": found["fqn"]} | found
-    if start >= 0:
-        before = text[:start].encode()
-        out |= {"line_start": text.count("\n", 0, start) + 1, "byte_start": len(before), "byte_end": len(before) + len(text[start:end].encode())}
-    out["signature_hash"] = out["signature_hash"] or hashlib.sha256((out["signature_json"] or out["fqn"]).encode()).hexdigest()
+def _rows(path: str, language: str, text: str, found: list[dict]) -> list[dict]:
+    """Symbols with places in bytes and lines, counted once over the text."""
+    places, out = Offsets(text, [x[k] for x in found for k in ("start", "end") if x.get(k, -1) >= 0]), []
+    for x in found:
+        start, end = x.pop("start", -1), x.pop("end", -1)
+        row = dict.fromkeys(_COLUMNS) | {"file_path": path, "language": language, "name": x["fqn"], "is_deprecated": 0} | x
+        if start >= 0:
+            row |= {"line_start": places.line(start), "line_end": places.line(max(start, end)), "byte_start": places.byte(start), "byte_end": places.byte(end)}
+        row["signature_hash"] = row["signature_hash"] or hashlib.sha256("|".join(str(row[k]) for k in ("symbol_type", "fqn", "visibility", "signature_json")).encode()).hexdigest()
+        out.append(row)
     return out
 
 
-_PHP = re.compile(
-    r"""(?P<skip>/\*(?!\*).*?\*/|(?<![:"'])//[^\n]*|\#(?!\[)[^\n]*|"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*')"""
-    r"""|(?P<doc>/\*\*.*?\*/)|(?P<hook>\#\[\s*Hook\(\s*['"](?P<hookname>\w+)['"][^\]]*\])"""
-    r"""|namespace\s+(?P<ns>[\w\\]+)\s*[;{]"""
-    r"""|(?P<kind>class|interface|trait)\s+(?P<cls>\w+)(?:\s+extends\s+(?P<parent>[\w\\,\s]+?))?(?:\s+implements\s+(?P<ifaces>[\w\\,\s]+?))?\s*\{"""
-    r"""|(?P<mods>(?:(?:public|protected|private|static|abstract|final)\s+)*)function\s+&?(?P<fn>\w+)\s*\((?P<params>(?:[^()]|\([^()]*\))*)\)(?:\s*:\s*(?P<ret>[\w\\?|]+))?"""
-    r"""|const\s+(?:\w+\s+)?(?P<const>[A-Z_]\w*)\s*=|(?P<open>\{)|(?P<close>\})""",
-    re.S | re.X,
-)
-_PARAM = re.compile(r"^(?:(?:public|protected|private|readonly)\s+)*(?P<type>[\w\\?|]+\s+)?&?(?:\.\.\.)?(?P<name>\$\w+)(?:\s*=\s*(?P<default>.+))?$", re.S)
-
-
-def _signature(params: str, returns: str | None) -> str:
-    from tidemark.operators.edits import split_arguments
-
-    out = []
-    for part in split_arguments(f"({params})"):
-        m = _PARAM.match(part)
-        if m:
-            out.append({"name": m["name"], "type": (m["type"] or "").strip() or None, "default": m["default"]})
-    return json.dumps({"params": out, "return_type": returns})
-
-
 @parser("php")
 def php_symbols(path: str, text: str) -> Iterator[dict]:
-    """Classes, interfaces, traits, functions, methods, constants and hooks, with docblock deprecations."""
-    namespace, depth, owner, owner_depth, doc = "", 0, None, -1, None
-    for m in _PHP.finditer(text):
-        if m["skip"]:
-            continue
-        where = {"start": m.start(), "end": m.end()}
-        extra = {"metadata_json": json.dumps({"deprecated": True})} if doc and "@deprecated" in doc else {}
-        if m["doc"]:
-            doc = m["doc"]
-            continue
-        if m["ns"]:
-            namespace = m["ns"]
-            depth += m.group().endswith("{")
-        elif m["cls"]:
-            fqn = f"{namespace}\\{m['cls']}" if namespace else m["cls"]
-            ifaces = [x.strip() for x in (m["ifaces"] or "").split(",") if x.strip()]
-            shape = json.dumps({"parent": m["parent"], "interfaces": ifaces})
-            yield {"symbol_type": m["kind"], "fqn": fqn, "name": m["cls"], "parent_symbol": m["parent"], "signature_json": shape} | where | extra
-            owner, owner_depth = fqn, depth
-            depth += 1
-        elif m["fn"]:
-            kind, fqn = ("method", f"{owner}::{m['fn']}") if owner else ("function", f"{namespace}\\{m['fn']}" if namespace else m["fn"])
-            yield {"symbol_type": kind, "fqn": fqn, "name": m["fn"], "parent_symbol": owner, "signature_json": _signature(m["params"], m["ret"])} | where | extra
-            base = path.rsplit("/", 1)[-1].split(".")[0]
-            if kind == "function" and m["fn"].startswith(base + "_") and not re.match(r"(?:pre)?process(?:_|$)", m["fn"][len(base) + 1 :]):
-                yield {"symbol_type": "hook", "fqn": m["fn"][len(base) + 1 :], "parent_symbol": fqn} | where
-        elif m["const"]:
-            yield {"symbol_type": "constant", "fqn": f"{owner}::{m['const']}" if owner else m["const"], "name": m["const"], "parent_symbol": owner} | where
-        elif m["hook"]:
-            yield {"symbol_type": "hook", "fqn": m["hookname"], "parent_symbol": owner} | where
-            continue
-        elif m["open"]:
-            depth += 1
-        elif m["close"]:
-            depth -= 1
-            if owner and depth <= owner_depth:
-                owner = None
-        doc = None
+    """Classes, interfaces, traits, functions, methods, constants, events, hooks, plugins and event subscribers.
+
+    Each has its place from first modifier to closing brace, its docblock, and what that or a
+    triggered deprecation tells. Tokens decide: what stands in comments and strings is no code.
+    """
+    yield from scan(path, text).symbols
 
 
 @parser("javascript")
@@ -227,17 +184,74 @@ def library_symbols(path: str, text: str) -> Iterator[dict]:
         yield {"symbol_type": "library", "fqn": f"{owner}/{key}", "name": str(key), "signature_json": json.dumps(canonical(value), sort_keys=True, default=str), "metadata_json": json.dumps(shape)}
 
 
+_USAGE = "file_path string, fqn string, byte_start long, line_start long"
+_LIBRARY = re.compile(r"\w+/[\w.-]+")
+_TWIG_PART = re.compile(r"\{#.*?#\}|(\{[%{].*?[%}]\})", re.S)
+_TWIG_TOKEN = re.compile(r"'(?>\\.|[^'\\])*+'|\"(?>\\.|[^\"\\])*+\"|\w+|\S", re.S)
+
+
+def _attached_in_php(text: str) -> Iterator[tuple[str, int]]:
+    """Strings that are put under a key ``library``: by an append, or in the list or alone behind an arrow."""
+    code = [t for t in tokens(text) if t[0] not in ("comment", "doc")]
+    for k, (kind, start, _, t) in enumerate(code):
+        if kind != "string" or t.strip("\"'") != "library":
+            continue
+        after = [x[3] for x in code[k + 1 : k + 5]]
+        if after == ["]", "[", "]", "="] and k + 5 < len(code) and code[k + 5][0] == "string":
+            yield code[k + 5][3].strip("\"'"), code[k + 5][1] + 1
+        elif after[:1] == ["=>"]:
+            j, depth = k + 2, 0
+            while j < len(code) and (code[j][3] in ("[", "]", ",", "array", "(", ")") or code[j][0] == "string"):
+                depth += (code[j][3] in "[(") - (code[j][3] in "])")
+                if code[j][0] == "string":
+                    yield code[j][3].strip("\"'"), code[j][1] + 1
+                if depth <= 0:
+                    break
+                j += 1
+
+
+def _attached_in_twig(text: str) -> Iterator[tuple[str, int]]:
+    """First arguments of attach_library in tags and outputs, comments left out."""
+    for part in _TWIG_PART.finditer(text):
+        if part[1]:
+            words = list(_TWIG_TOKEN.finditer(part[1]))
+            for name, opening, first in zip(words, words[1:], words[2:], strict=False):
+                if name[0] == "attach_library" and opening[0] == "(" and first[0][0] in "'\"":
+                    yield first[0][1:-1], part.start(1) + first.start() + 1
+
+
+def _attached_in_yaml(text: str) -> Iterator[tuple[str, int]]:
+    """Items of lists, by the nodes of the parsed text."""
+    import yaml
+
+    try:
+        waiting = [yaml.compose(text, yaml.SafeLoader)]
+    except yaml.YAMLError:
+        return
+    while waiting:
+        node = waiting.pop()
+        if isinstance(node, yaml.MappingNode):
+            waiting += [v for _, v in node.value]
+        elif isinstance(node, yaml.SequenceNode):
+            waiting += node.value
+            for item in node.value:
+                if isinstance(item, yaml.ScalarNode):
+                    yield item.value, item.start_mark.index + (item.style in ("'", '"'))
+
+
 def library_usage(files: DataFrame) -> DataFrame:
-    """(file_path, fqn, byte_start, line_start) of libraries that templates and code attach."""
-    pattern = re.compile(r"""attach_library\s*\(\s*['"]([\w_]+/[\w_.-]+)['"]|\['library'\]\s*\[\s*\]\s*=\s*['"]([\w_]+/[\w_.-]+)['"]|^\s*-\s+['"]?([\w_]+/[\w_.-]+)['"]?\s*$""", re.M)
+    """(file_path, fqn, byte_start, line_start) of libraries that templates, code and lists in YAML attach.
+
+    The file's name tells how it is read; a file of another kind, or one that can't be parsed, has none.
+    """
+    schema = arrow_schema(_USAGE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
             for path, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for m in pattern.finditer(text or ""):
-                    group = m.lastindex
-                    rows.append({"file_path": path, "fqn": m[group], "byte_start": len(text[: m.start(group)].encode()), "line_start": text.count("\n", 0, m.start(group)) + 1})
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("file_path", pa.string()), ("fqn", pa.string()), ("byte_start", pa.int64()), ("line_start", pa.int64())]))
+                read = next((f for ends, f in ((".twig", _attached_in_twig), ((".yml", ".yaml"), _attached_in_yaml), ((".php", ".module", ".inc", ".install", ".theme", ".profile"), _attached_in_php)) if path and path.endswith(ends)), None)
+                found = {x for x in read(text) if _LIBRARY.fullmatch(x[0])} if read and text else set()
+                places = Offsets(text or "", [p for _, p in found])
+                yield pa.RecordBatch.from_pylist([{"file_path": path, "fqn": fqn, "byte_start": places.byte(p), "line_start": places.line(p)} for fqn, p in found], schema)
 
-    return files.select("file_path", "text").mapInArrow(run, "file_path string, fqn string, byte_start long, line_start long").dropDuplicates(["file_path", "fqn", "byte_start"])
+    return files.select("file_path", "text").mapInArrow(run, _USAGE).dropDuplicates(["file_path", "fqn", "byte_start"])

@@ -343,4 +343,4 @@ query("stream_changed_only", "select user_id, event_id, event_type from events q
 )
 
 
-from tidemark.plans import report_queries  # noqa: E402, F401  (registers its queries above)
+from tidemark.plans import report_queries, scan_queries  # noqa: E402, F401  (register their queries above)

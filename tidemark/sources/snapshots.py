@@ -56,3 +56,86 @@ from lineitem
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches of several scan runs, derived from ``lineitem``."""
     return spark.sql(MATCHES_SQL.replace("from lineitem", "from {lineitem}"), lineitem=read(spark, sf_dir, "lineitem"))
+
+
+def project_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PHP files of a project, one an order, with a statement for each of its lines.
+
+    Names f_<part> stand in them as functions, methods, static methods, properties, strings and
+    classes, and in comments and longer strings, where they are no use of anything.
+    """
+    lines = read(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey",
+        "l_linenumber",
+        "l_suppkey % 8 as form",
+        "concat('f_', l_partkey) as f",
+        "array_join(slice(array('$a', '[1, 2]', \"'x, (y'\", 'g(3, $b)', '$c'), 1, cast(l_quantity % 6 as int)), ', ') as args",
+    )
+    f, args = F.col("f"), F.col("args")
+    forms = (
+        F.concat(f, F.lit("("), args, F.lit(");")),
+        F.concat(F.lit("$o->"), f, F.lit("("), args, F.lit(");")),
+        F.concat(F.lit("// "), f, F.lit("(1, 2);")),
+        F.concat(F.lit("$s = '"), f, F.lit("';")),
+        F.concat(F.lit("C::"), f, F.lit("("), args, F.lit(");")),
+        F.concat(F.lit("$o->"), f, F.lit(" = 1;")),
+        F.concat(F.lit("$x = new \\Lib\\N"), F.substring_index(f, "_", -1), F.lit("\\"), f, F.lit("();")),
+        F.concat(F.lit('$h = "see '), f, F.lit('(2)"; /* '), f, F.lit("() */")),
+    )
+    statement = F.element_at(F.array(*forms), (F.col("form") + 1).cast("int"))
+    rows = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", statement.alias("s")))).alias("rows"))
+    text = F.concat(F.lit("<?php\n"), F.array_join(F.col("rows.s"), "\n"))
+    return rows.select(F.concat(F.lit("src/o"), "l_orderkey", F.lit(".php")).alias("file_path"), F.lit("php").alias("language"), text.alias("text"))
+
+
+def project_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of seven kinds to what ``project_files`` uses, one a part, four of them with a template."""
+    rows = read(spark, sf_dir, "part").selectExpr("p_partkey as id", "p_partkey % 7 as form", "concat('f_', p_partkey) as f", "p_size")
+    pick = lambda *values: F.element_at(F.array(*(v if not isinstance(v, str) else F.lit(v) for v in values)), (F.col("form") + 1).cast("int"))
+    params = lambda n: F.concat(F.lit('{"params":['), F.array_join(F.array_repeat(F.lit('{"name":"$p"}'), n.cast("int")), ","), F.lit("]}"))
+    template = lambda kind, letter: F.to_json(F.struct(F.lit(kind).alias("type"), F.col("f").alias("old"), F.regexp_replace("f", "^f", letter).alias("new")))
+    none = F.lit(None).cast("string")
+    return rows.select(
+        "id",
+        F.lit("php").alias("language"),
+        pick("function_removed", "method_renamed", "signature_changed", "service_removed", "class_renamed", "constant_replaced", "deprecated_added").alias("change_type"),
+        pick("function", "method", "function", "service", "class", "constant", "function").alias("symbol_type"),
+        pick(F.col("f"), F.concat(F.lit("Lib\\K::"), "f"), F.col("f"), F.col("f"), F.concat(F.lit("\\Lib\\N"), F.substring_index("f", "_", -1), F.lit("\\"), "f"), F.col("f"), F.col("f")).alias("old_fqn"),
+        pick(F.col("f"), none, *[F.col("f")] * 5).alias("name"),
+        none.alias("parent_symbol"),
+        F.when(F.col("form") == 2, F.concat(F.lit('{"old":'), params(F.col("p_size") % 3), F.lit(',"new":'), params(F.col("p_size") % 5), F.lit("}"))).alias("diff_json"),
+        pick(template("function_rename", "g"), template("string_replace", "m"), none, template("string_replace", "s"), none, template("constant_replace", "k"), none).alias("fix_template"),
+    )
+
+
+def class_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PHP files that declare things, one a part: a class with members, a function, an interface."""
+    return read(spark, sf_dir, "part").select(F.concat(F.lit("src/c"), "p_partkey", F.lit(".module")).alias("file_path"), F.lit("php").alias("language"), F.expr(CLASS_TEXT).alias("text"))
+
+
+CLASS_TEXT = r"""concat('<?php
+namespace Lib\\B', p_size, ';
+/**
+ * @Block(
+ *   id = "b_', p_partkey, '",
+ * )', case when p_partkey % 3 = 0 then '
+ * @deprecated in core:9.2.0 and is removed from core:10.0.0. Use Next instead.' else '' end, '
+ */
+final class C', p_partkey, ' extends Base', case when p_partkey % 2 = 0 then ' implements A, EventSubscriberInterface' else '' end, ' {
+  const LIMIT = [1, "; }"], OTHER = 2;
+  // function hidden() {}
+  protected static function make', p_partkey, '(?int $a, array $b = [1, "x, )"], ...$rest): ?self {
+    $this->run("function {$this->x} {", <<<END
+      class Fake {
+      END);
+    return new class extends Base { private function inner() {} };
+  }
+  public static function getSubscribedEvents() { return ["ev.', p_partkey, '" => ["on", 3], Lib\\Events::SAVE => "on"]; }
+}
+#[Action(label: "x", id: "a_', p_partkey, '")]
+class D', p_partkey, 'Events { const SAVE = "s"; }
+function fn_', p_partkey, '($x) {', case when p_partkey % 4 = 0 then '
+  @trigger_error("fn_() is deprecated in core:8.1.0 and is removed from core:9.0.0. Use other() instead.");' else '' end, '
+}
+interface I', p_partkey, ' { }
+')"""
