@@ -59,17 +59,19 @@ def modernised(old: DataFrame, new: DataFrame, old_type: str, new_type: str) ->
 
 
 def all_changes(old: DataFrame, new: DataFrame, key=KEY) -> DataFrame:
-    """(key, change_type, old_id, new_id) of every key that differs, from one full outer join."""
+    """(key, change_type, old_id, new_id) of every key that differs, from one full outer join.
+
+    What is in both versions can change its signature and become deprecated: that is two rows.
+    """
     left = old.select(*key, F.col("id").alias("old_id"), F.col("signature_hash").alias("oh"), F.col("is_deprecated").alias("od"))
     right = new.select(*key, F.col("id").alias("new_id"), F.col("signature_hash").alias("nh"), F.col("is_deprecated").alias("nd"))
-    kind = (
-        F.when(F.col("new_id").isNull() & (F.col("od") == 1), "deprecated_removed")
-        .when(F.col("new_id").isNull(), "symbol_removed")
-        .when(F.col("old_id").isNull(), "symbol_added")
-        .when(F.col("oh") != F.col("nh"), "signature_changed")
-        .when((F.col("od") == 0) & (F.col("nd") == 1), "deprecated_added")
+    gone = F.when(F.col("od") == 1, "deprecated_removed").otherwise("symbol_removed")
+    kinds = (
+        F.when(F.col("new_id").isNull(), gone).when(F.col("old_id").isNull(), "symbol_added").when(F.col("oh") != F.col("nh"), "signature_changed"),
+        F.when((F.col("od") == 0) & (F.col("nd") == 1), "deprecated_added"),
     )
-    return left.join(right, list(key), "full_outer").select(*key, kind.alias("change_type"), "old_id", "new_id").where("change_type is not null")
+    both = left.join(right, list(key), "full_outer")
+    return both.select(*key, F.explode(F.array_compact(F.array(*kinds))).alias("change_type"), "old_id", "new_id")
 
 
 _SIGNATURE = "struct<params:array<struct<name:string,type:string,default:string>>,return_type:string>"

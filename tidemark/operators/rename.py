@@ -82,8 +82,3 @@ def assign(pairs: DataFrame, accept: float = ACCEPT) -> DataFrame:
         held = checkpointed(held.unionByName(wish).groupBy("new_id").agg(F.min("holder").alias("holder")))
     return asked.join(held.withColumnRenamed("holder", "old_id"), ["old_id", "new_id"]).select("old_id", "new_id", "old_fqn", "new_fqn", "score")
 
-
-def structured_score(signature: str = "signature_json"):
-    """Score of renamed structured entries: 0.65 equal content, 0.20 names, 0.15 sources."""
-    equal = F.when(F.col(f"old_{signature}") == F.col(f"new_{signature}"), 0.65).otherwise(0.0)
-    return equal + 0.20 * similarity(F.col("old_fqn"), F.col("new_fqn")) + 0.15 * similarity(F.col("old_source_text"), F.col("new_source_text"))

@@ -68,10 +68,12 @@ query("deprecated_then_removed", V + _REMOVED.format(c="id, fqn") + " and o.is_d
 query("modernised", V + "select o.id, o.name as fqn, max(n.id) as new_id from o join n on n.name = o.name where o.symbol_type = 'Brand#12' and n.symbol_type = 'Brand#23' group by 1, 2")(
     _versions(lambda o, n: diff.modernised(o.withColumn("fqn", F.col("name")), n.withColumn("fqn", F.col("name")), "Brand#12", "Brand#23").select("id", "fqn", "new_id"))
 )
-_ALL = """, c as (select coalesce(o.fqn, n.fqn) as fqn, coalesce(o.symbol_type, n.symbol_type) as symbol_type, o.id as old_id, n.id as new_id,
-  case when n.id is null and o.is_deprecated = 1 then 'deprecated_removed' when n.id is null then 'symbol_removed' when o.id is null then 'symbol_added'
-    when o.signature_hash <> n.signature_hash then 'signature_changed' when o.is_deprecated = 0 and n.is_deprecated = 1 then 'deprecated_added' end as change_type
-  from o full outer join n on o.fqn = n.fqn and o.symbol_type = n.symbol_type)
+# Each stream by itself, over the two versions.
+_ALL = """, c as (
+  select fqn, symbol_type, o.id as old_id, null as new_id, case when o.is_deprecated = 1 then 'deprecated_removed' else 'symbol_removed' end as change_type from o where not exists (select 1 from n where n.fqn = o.fqn and n.symbol_type = o.symbol_type)
+  union all select fqn, symbol_type, null, n.id, 'symbol_added' from n where not exists (select 1 from o where n.fqn = o.fqn and n.symbol_type = o.symbol_type)
+  union all select fqn, symbol_type, o.id, n.id, 'signature_changed' from o join n using (fqn, symbol_type) where o.signature_hash <> n.signature_hash
+  union all select fqn, symbol_type, o.id, n.id, 'deprecated_added' from o join n using (fqn, symbol_type) where o.is_deprecated = 0 and n.is_deprecated = 1)
 """
 query("all_changes", V.rstrip() + _ALL + "select fqn, symbol_type, change_type, old_id, new_id from c where change_type is not null")(_versions(diff.all_changes))
 query("diff_summary", V.rstrip() + _ALL + f"select change_type, {CATEGORY} as category, count(*) as n from c where change_type is not null group by 1, 2")(
@@ -343,4 +345,4 @@ query("stream_changed_only", "select user_id, event_id, event_type from events q
 )
 
 
-from tidemark.plans import report_queries, scan_queries  # noqa: E402, F401  (register their queries above)
+from tidemark.plans import change_queries, report_queries, scan_queries  # noqa: E402, F401  (register their queries above)

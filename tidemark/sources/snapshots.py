@@ -139,3 +139,40 @@ function fn_', p_partkey, '($x) {', case when p_partkey % 4 = 0 then '
 }
 interface I', p_partkey, ' { }
 ')"""
+
+
+#: A version of symbols of nine types; what Spark and DuckDB both read. The second has one item more in two tenths.
+TYPED_SQL = """
+with p as (select *, p_size % 4 + {more} as n from part where p_partkey % 10 <> {gone}),
+q as (select *, substr(repeat(',{{"name":"$p"}}', cast(n as int)), 2) as params, substr(repeat(',"x"', cast(n as int)), 2) as items from p)
+select p_partkey + {shift} as id,
+  case when p_partkey % 9 in (2, 3, 7, 8) then 'yaml' else 'php' end as language,
+  case p_partkey % 9 when 0 then 'function' when 1 then 'method' when 2 then 'service' when 3 then 'config_export' when 4 then 'hook'
+    when 5 then 'library' when 6 then 'event' when 7 then 'module_info' else 'permission' end as symbol_type,
+  concat(p_name, '#', p_partkey) as fqn, p_name as name,
+  case when p_partkey % {spaced} = 0 then 'N' end as namespace,
+  case when p_partkey % 9 = 1 and p_partkey % 4 <> 0 then 'Parent' end as parent_symbol,
+  case p_partkey % 9 when 2 then concat('{{"arguments":[', items, '],"class":"C', n, '"}}') when 3 then concat('{{"dependencies":{{"m":1}},"k', n, '":', n, '}}')
+    when 5 then concat('{{"js":', n, '}}') when 7 then concat('{{"dependencies":["d', n, '"],"name":"x"}}') when 8 then concat('{{"t":', n, '}}')
+    else concat('{{"params":[', params, '],"return_type":"int"}}') end as signature_json,
+  case when {deprecated} then 1 else 0 end as is_deprecated,
+  case when {deprecated} then concat('use ', p_type) end as deprecation_message,
+  concat(p_name, ' ', p_type) as source_text,
+  case when p_partkey % 9 = 5 then concat('{{"css_assets":["c', n, '"],"javascript_assets":["j"],"dependency_libraries":["a","b', n % 2, '"]}}') end as metadata_json
+from q
+"""
+TYPED = (
+    TYPED_SQL.format(more="0", gone=0, shift=0, spaced=2, deprecated="p_partkey % 17 = 0"),
+    TYPED_SQL.format(more="case when p_partkey % 10 in (2, 5) then 1 else 0 end", gone=1, shift=1000000, spaced=3, deprecated="p_partkey % 13 = 0 or p_partkey % 17 = 0"),
+)
+
+
+def typed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two versions of symbols of nine types, some of code and some structured, derived from ``part``."""
+    return tuple(over_part(spark, sf_dir, sql).withColumn("signature_hash", F.sha2("signature_json", 256)) for sql in TYPED)
+
+
+def over_part(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """SQL text that reads ``part``, over that table; braces in it are text."""
+    plain = sql.replace("{", "{{").replace("}", "}}").replace("from part", "from {part}")
+    return spark.sql(plain, part=read(spark, sf_dir, "part"))
