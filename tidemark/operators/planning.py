@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,16 +29,100 @@ def closure(edges: DataFrame, most: int = 64) -> DataFrame:
     raise ValueError("paths are longer than 2 ** most")
 
 
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component): the least node of those that a node reaches and is reached by, itself if there is none.
+
+    Nodes that no edge enters or none leaves are on no cycle and are taken off in rounds. Of
+    the rest each round settles at least one component of every group that hangs together: the
+    greatest node that reaches a node is carried forward as its label until nothing changes, and
+    what reaches a label's own node inside that label is its component.
+    """
+    open_ = checkpointed(_inside(nodes, edges).where("node <> reached"))
+    settled = None
+    while True:
+        open_ = _trimmed(open_)
+        if open_.isEmpty():
+            break
+        label = _spread(open_, open_.select("node").distinct().withColumn("label", F.col("node")))
+        same = open_.join(label, "node").join(label.select(F.col("node").alias("reached"), F.col("label").alias("other")), "reached").where("label = other").select("node", "reached", "label")
+        found = _reaching(checkpointed(same), label.where("node = label"))
+        settled = found if settled is None else checkpointed(settled.unionByName(found))
+        gone = found.select("node")
+        open_ = checkpointed(open_.join(gone, "node", "left_anti").join(gone.withColumnRenamed("node", "reached"), "reached", "left_anti").select("node", "reached"))
+    if settled is None:
+        return nodes.select("node").distinct().withColumn("component", F.col("node"))
+    least = settled.groupBy("label").agg(F.min("node").alias("component"))
+    own = settled.join(least, "label").select("node", "component")
+    return nodes.select("node").distinct().join(own, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def _inside(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Distinct edges between given nodes."""
+    ends = nodes.select("node").distinct()
+    return edges.select("node", "reached").distinct().join(ends, "node", "left_semi").join(ends.withColumnRenamed("node", "reached"), "reached", "left_semi").select("node", "reached")
+
+
+def _trimmed(open_: DataFrame) -> DataFrame:
+    """Edges whose start is entered and whose end is left by other edges, in rounds."""
+    while True:
+        kept = open_.join(open_.select(F.col("reached").alias("node")).distinct(), "node", "left_semi").join(open_.select(F.col("node").alias("reached")).distinct(), "reached", "left_semi")
+        kept = checkpointed(kept.select("node", "reached"))
+        if kept.count() == open_.count():
+            return kept
+        open_ = kept
+
+
+def _spread(edges: DataFrame, label: DataFrame) -> DataFrame:
+    """Each node's greatest label among itself and all that reach it."""
+    label = checkpointed(label)
+    while True:
+        told = edges.join(label, "node").groupBy("reached").agg(F.max("label").alias("told"))
+        new = label.join(told, label["node"] == told["reached"], "left").select("node", F.greatest("label", F.coalesce("told", "label")).alias("label"), (F.col("told") > F.col("label")).alias("up"))
+        new = checkpointed(new)
+        label = new.select("node", "label")
+        if new.where("up").isEmpty():
+            return label
+
+
+def _reaching(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, label) of all that reach their label's root by edges inside the label."""
+    found = fresh = checkpointed(roots.select("node", "label"))
+    while True:
+        before = edges.join(fresh.select(F.col("node").alias("reached"), "label"), ["reached", "label"]).select("node", "label").distinct()
+        fresh = checkpointed(before.join(found, ["node", "label"], "left_anti"))
+        if fresh.isEmpty():
+            return found
+        found = checkpointed(found.unionByName(fresh))
+
+
 def plan_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``nodes`` with a ``level``: dependencies come first, and any cycle is broken by the number of dependencies.
+    """``nodes`` with ``component``, ``level`` and ``direct``: dependencies come first, a cycle is one step.
 
-    In an acyclic graph a node has more reachable nodes than any it depends on, so that
-    number orders the plan; nodes of a cycle all reach each other and tie.
+    The level is the longest path of dependencies between components, so every node stands
+    behind all it depends on, but for those of its own cycle; these go by ``direct``, the number
+    of dependencies. Components without an open dependency are taken off round by round: a job
+    a level, each over the edges that are left, and no pair of nodes that an edge doesn't have.
+    Edges to other nodes, and repeated ones, don't count.
     """
-    inside = edges.join(nodes.select(F.col("node").alias("reached")), "reached", "left_semi")
-    reach = closure(inside).where("node <> reached").groupBy("node").agg(F.count("*").alias("level"))
+    inside = checkpointed(_inside(nodes, edges))
+    of = checkpointed(components(nodes, inside))
+    above = of.select(F.col("node").alias("reached"), F.col("component").alias("needs"))
+    waiting = inside.join(of, "node").join(above, "reached").where("component <> needs").select("component", "needs").distinct()
+    waiting = checkpointed(waiting)
+    open_, levels, level = of.select("component").distinct(), [], 0
+    while True:
+        ready = checkpointed(open_.join(waiting.select("component").distinct(), "component", "left_anti").withColumn("level", F.lit(level)))
+        if ready.isEmpty():
+            break
+        levels.append(ready)
+        open_ = checkpointed(open_.join(ready.select("component"), "component", "left_anti"))
+        waiting = checkpointed(waiting.join(ready.select(F.col("component").alias("needs")), "needs", "left_anti"))
+        level += 1
     direct = inside.groupBy("node").agg(F.count("*").alias("direct"))
-    return nodes.join(reach, "node", "left").join(direct, "node", "left").fillna(0, ["level", "direct"])
+    if not levels:
+        return nodes.withColumns({"component": F.col("node"), "level": F.lit(0), "direct": F.lit(0).cast("long")})
+    known = reduce(DataFrame.unionByName, levels)
+    return nodes.join(of, "node", "left").join(known, "component", "left").join(direct, "node", "left").fillna(0, ["direct"]).select(*nodes.columns, "component", "level", "direct")
 
 
 def hotspots(nodes: DataFrame, edges: DataFrame) -> DataFrame:

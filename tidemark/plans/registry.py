@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import jsonpath
 from tidemark.functions.classify import category, language, namespace_moved, risk, severity_score
-from tidemark.functions.similarity import similarity
-from tidemark.operators import diff, edits, extract, matches, merge, planning, relations, rename, reports
+from tidemark.operators import diff, edits, extract, matches, merge, planning, relations, rename, reports, similar
 from tidemark.sources import files, snapshots
 from tidemark.streaming import logs
 
@@ -100,18 +99,12 @@ _SCORE = "round(case when o.name = n.name then 1.0 else 1 - levenshtein(o.name,
 
 @query("similar_names", V + f"select o.id as old_id, n.id as new_id, {_SCORE} as score from o join n using (symbol_type) where {_SCORE} > 0.7")
 def _similar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every old symbol against every new one of its type, name by name.
-
-    A score over 0.7 bounds the other name's length, so distinct names meet by type and
-    length; symbols are joined to the names that agree.
-    """
+    """Every old symbol against every new one of its type: distinct names meet by shared pieces, symbols by their names."""
     old, new = (v.select("symbol_type", "id", "name") for v in snapshots.both(spark, sf_dir))
-    a, b = (v.select("symbol_type", F.col("name").alias(f"{side}_name"), F.octet_length("name").alias("size")).distinct() for v, side in ((old, "old"), (new, "new")))
-    sizes = F.explode(F.sequence(F.floor(F.col("size") * 0.7).cast("int"), F.ceil(F.col("size") / 0.7).cast("int"))).alias("size")
-    score = F.round(similarity(F.col("old_name"), F.col("new_name")), 6)
-    names = a.select("symbol_type", "old_name", sizes).join(b, ["symbol_type", "size"]).withColumn("score", score).where("score > 0.7").drop("size")
-    o, n = (v.select("symbol_type", F.col("id").alias(f"{side}_id"), F.col("name").alias(f"{side}_name")) for v, side in ((old, "old"), (new, "new")))
-    return o.join(names, ["symbol_type", "old_name"]).join(n, ["symbol_type", "new_name"]).select("old_id", "new_id", "score")
+    names = similar.similar_pairs(old, new, ["symbol_type"], 0.7)
+    o, n = (v.select("symbol_type", F.col("id").alias(f"{side}_id"), F.col("name").alias(f"{side}_name")) for v, side in ((old, "left"), (new, "right")))
+    met = o.join(names, ["symbol_type", "left_name"]).join(n, ["symbol_type", "right_name"])
+    return met.select(F.col("left_id").alias("old_id"), F.col("right_id").alias("new_id"), F.round("score", 6).alias("score"))
 
 
 _GONE = """, r as (select * replace (case when id % 5 = 0 then fqn || 's' else fqn end as fqn, case when id % 5 = 0 then name || 's' else name end as name, case when id % 5 = 0 then name || 's ' || namespace else source_text end as source_text) from n),
@@ -242,7 +235,8 @@ query("claim_next", "select o_orderkey as id, case when o_orderkey = (select min
 
 # Dependencies. Every part depends on those of a half and a third of its number.
 _EDGES = "e as (select distinct p_partkey as node, p_partkey // k as reached from part, (values (2), (3)) t(k) where p_partkey // k > 0)"
-_CLOSURE = f"with recursive {_EDGES}, c as (select node, reached from e union select c.node, e.reached from c join e on e.node = c.reached)\n"
+_EDGES_SQL = f"with recursive {_EDGES}"
+_CLOSURE = f"{_EDGES_SQL}, c as (select node, reached from e union select c.node, e.reached from c join e on e.node = c.reached)\n"
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,10 +249,17 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query("dependency_closure", _CLOSURE + "select node, count(distinct reached) as n from c group by 1")(lambda spark, sf_dir: planning.closure(_edges(spark, sf_dir)).groupBy("node").agg(F.count("*").alias("n")))
-query("upgrade_plan", _CLOSURE + """, d as (select node, count(*) as direct from e group by 1)
-select p.p_partkey as node, count(distinct c.reached) filter (c.reached <> c.node) as level, coalesce(max(d.direct), 0) as direct
-from part p left join c on c.node = p.p_partkey left join d on d.node = p.p_partkey group by 1""")(
-    lambda spark, sf_dir: planning.plan_order(_nodes(spark, sf_dir).select("node"), _edges(spark, sf_dir))
+_LEVELS = """, comp as (select p_partkey as node, {comp} as component from part),
+g as (select distinct a.component as c, b.component as d from e join comp a on a.node = e.node join comp b on b.node = e.reached where a.component <> b.component),
+r as (select distinct component as c, 0 as depth from comp union select g.c, depth + 1 from r join g on g.d = r.c),
+l as (select c, max(depth) as level from r group by 1), x as (select node, count(*) as direct from e where reached in (select p_partkey from part) group by 1)
+select comp.node, component, level, coalesce(direct, 0) as direct from comp join l on l.c = component left join x on x.node = comp.node"""
+query("upgrade_plan", _EDGES_SQL + _LEVELS.format(comp="p_partkey"))(lambda spark, sf_dir: planning.plan_order(_nodes(spark, sf_dir).select("node"), _edges(spark, sf_dir)))
+# Every fortieth part and the next one depend on each other.
+_RING = "select p_partkey as node, p_partkey + 1 as reached from part where p_partkey % 40 = 20 union all select p_partkey, p_partkey - 1 from part where p_partkey % 40 = 21"
+_PAIRS = "case when p_partkey % 40 = 21 and p_partkey - 1 in (select p_partkey from part) then p_partkey - 1 else p_partkey end"
+query("plan_with_cycles", _EDGES_SQL.replace("select distinct", f"select * from ({_RING}) union select distinct") + _LEVELS.format(comp=_PAIRS))(
+    lambda spark, sf_dir: planning.plan_order(_nodes(spark, sf_dir).select("node"), _edges(spark, sf_dir).unionByName(snapshots.over_part(spark, sf_dir, _RING)))
 )
 query("hotspots", _CLOSURE + """select p.p_partkey as node, p.p_size::int as score, coalesce(sum(d.p_size), 0)::bigint as dependency_score, (p.p_size + coalesce(sum(d.p_size), 0))::bigint as hotspot
 from part p left join (select distinct node, reached from c where node <> reached) c on c.node = p.p_partkey left join part d on d.p_partkey = c.reached group by 1, 2, p.p_size""")(
