@@ -119,20 +119,27 @@ GRAM = 3
 def contained(paths: DataFrame, names: DataFrame) -> DataFrame:
     """(file_path, machine_name) of all paths that hold a name somewhere, whatever the case.
 
-    Distinct paths are cut into their grams and meet names by the gram that these start
-    with, an equi-join; only such pairs are compared. Names shorter than a gram meet paths
-    by grams of their own length.
+    Distinct paths are cut into their grams, and every name meets them by that one of its own
+    grams which the fewest paths have, an equi-join; only such pairs are compared. So what
+    names begin with alike doesn't bring them together. Names shorter than a gram meet paths by
+    grams of their own length.
     """
     each = names.select("machine_name").distinct().where("machine_name <> ''")
-    key = F.lower(F.substring("machine_name", 1, GRAM))
     sizes = F.explode(F.array(*(F.lit(k) for k in range(1, GRAM + 1)))).alias("size")
     cut = paths.select("file_path").distinct().select("file_path", sizes).where(F.length("file_path") >= F.col("size"))
-    at = F.sequence(F.lit(1), F.length("file_path") - F.col("size") + 1)
-    grams = cut.select("file_path", F.explode(F.array_distinct(F.transform(at, lambda k: F.lower(F.substr("file_path", k, F.col("size")))))).alias("gram"))
-    met = grams.join(each.withColumn("gram", key), "gram").where(F.lower("file_path").contains(F.lower("machine_name")))
+    grams = cut.select("file_path", F.explode(F.array_distinct(_grams("file_path", F.col("size")))).alias("gram"))
+    common = grams.groupBy("gram").agg(F.count("*").alias("paths"))
+    own = each.select("machine_name", F.explode(F.array_distinct(_grams("machine_name", F.least(F.length("machine_name"), F.lit(GRAM))))).alias("gram"))
+    # A gram that no path has is the rarest of all: its name is nowhere.
+    rarest = own.join(common, "gram", "left").groupBy("machine_name").agg(F.min_by("gram", F.struct(F.coalesce("paths", F.lit(0)), F.col("gram"))).alias("gram"))
+    met = grams.join(rarest, "gram").where(F.lower("file_path").contains(F.lower("machine_name")))
     return met.select("file_path", "machine_name").distinct()
 
 
+def _grams(text: str, size: Column) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda k: F.lower(F.substr(text, k, size)))
+
+
 def changes_by_extension(changes: DataFrame, extensions: DataFrame) -> DataFrame:
     """(machine_name, n): changes whose file's path holds the extension's name; changes are counted by path first."""
     by_path = changes.groupBy("file_path").agg(F.count("*").alias("n"))

@@ -176,3 +176,29 @@ def over_part(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     """SQL text that reads ``part``, over that table; braces in it are text."""
     plain = sql.replace("{", "{{").replace("}", "}}").replace("from part", "from {part}")
     return spark.sql(plain, part=read(spark, sf_dir, "part"))
+
+
+#: Symbols of eight kinds that name each other; what Spark and DuckDB both read.
+LINKED_SQL = r"""
+select p_partkey as id, 1 as version_id,
+  case p_partkey % 8 when 0 then 'php' when 2 then 'libraries' when 3 then 'javascript' when 4 then 'css' else 'yaml' end as language,
+  case p_partkey % 8 when 0 then 'class' when 1 then 'service' when 2 then 'library' when 3 then 'function' when 4 then 'selector' when 5 then 'component' when 6 then 'route' else 'module_info' end as symbol_type,
+  case p_partkey % 8 when 0 then concat('App', chr(92), 'C', p_partkey % 40) when 5 then concat('t:c', p_partkey % 25) else concat('e', p_partkey) end as fqn,
+  case when p_partkey % 8 = 0 then concat('C', p_partkey % 40) else concat('e', p_partkey) end as name,
+  case p_partkey % 8 when 3 then concat('js/a', p_partkey % 30, '.js') when 4 then concat('css/b', p_partkey % 20, '.css') else concat('src/f', p_partkey, '.x') end as file_path,
+  case p_partkey % 8 when 1 then concat('{"class":"', chr(92), chr(92), 'App', chr(92), chr(92), 'C', p_partkey % 40 - 1, '","path":"/p', p_partkey, '"}')
+    when 6 then concat('{"path":"/r/', p_partkey, '","controller":"App', chr(92), chr(92), 'C', p_partkey % 9, '::m","dependencies":{"module":["mod', p_partkey % 6, '"],"theme":["th', p_partkey % 4, '"]}}')
+    when 7 then concat('{"dependencies":["mod', p_partkey % 7, '"]}') end as signature_json,
+  case p_partkey % 8 when 1 then concat('{"owner":"mod', p_partkey % 5, '","label":"Label ', p_partkey, '"}')
+    when 2 then concat('{"asset_paths":["js/a', p_partkey % 30 + 1, '.js","css/b', p_partkey % 20, '.css"],"dependency_libraries":["l', p_partkey % 9, '"],"javascript_assets":["js/a', p_partkey % 30, '.js"]}')
+    when 4 then concat('{"sdc_component":"t:c', p_partkey % 25, '"}')
+    when 5 then case when p_partkey % 16 = 5 then concat('{"sdc_component":"t:c', p_partkey % 10, '"}') end
+    when 6 then concat('{"base_route":"r', p_partkey % 11, '","route_refs":["r1","r', p_partkey % 3, '"]}')
+    when 7 then concat('{"mentioned_extensions":["mod', p_partkey % 5, '"],"install":["l', p_partkey % 9, '"]}') end as metadata_json
+from part
+"""
+
+
+def linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes, services, libraries, assets, components, routes and manifests that name each other."""
+    return over_part(spark, sf_dir, LINKED_SQL)
