@@ -14,18 +14,13 @@ PRUNED = ("vendor", "node_modules", ".git", ".cache", ".data")
 def read_tree(spark: SparkSession, root: str, pruned: tuple[str, ...] = PRUNED, dropped: tuple[str, ...] = ()) -> DataFrame:
     """file_path (relative), language, text, byte_size and file_hash of classified files under a folder.
 
-    ``dropped`` prefixes of relative paths are left out too (a project's own core, say).
+    ``dropped`` prefixes of relative paths are left out too (a project's own core, say). Folders
+    that are left out are never opened.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    clean = root.rstrip("/")
-    path = F.substring_index(F.col("path"), clean + "/", -1)
-    files = raw.select(path.alias("file_path"), "content", "length")
-    inner = F.concat(F.lit("/"), F.col("file_path"))
-    for name in pruned:
-        files = files.where(~inner.contains(f"/{name}/"))
-    for prefix in dropped:
-        files = files.where(~F.col("file_path").startswith(prefix))
-    out = files.select("file_path", language(F.col("file_path")).alias("language"), F.decode("content", "UTF-8").alias("text"), F.col("length").alias("byte_size"), F.sha2("content", 256).alias("file_hash"))
+    from tidemark.sources.tree import source_tree
+
+    files = source_tree(spark, root, pruned=",".join(pruned), dropped=",".join(dropped))
+    out = files.select("file_path", language(F.col("file_path")).alias("language"), "text", "byte_size", "file_hash")
     return out.where(F.col("language").isNotNull())
 
 

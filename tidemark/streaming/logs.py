@@ -23,19 +23,26 @@ def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(f"{sf_dir}/{name}.parquet*")
 
 
-def drained(rows: DataFrame, name: str) -> DataFrame:
-    """All that an append stream gives for what is there now, exactly once, as a table."""
+def drained(rows: DataFrame, name: str, place: str | None = None) -> DataFrame:
+    """All that an append stream gives for what is there now, exactly once, as a table.
+
+    With a ``place`` of the caller's, a later call goes on from where the last one ended, also
+    after a driver is lost; without one the stream starts anew.
+    """
     spark = rows.sparkSession
-    out = _place(spark, name)
+    out = place or _place(spark, name)
     query = rows.writeStream.format("parquet").option("checkpointLocation", out + "-offsets").trigger(availableNow=True).start(out)
     query.awaitTermination()
     return spark.read.schema(rows.schema).parquet(out)
 
 
-def drained_totals(totals: DataFrame, name: str) -> DataFrame:
-    """The last full result of a streaming aggregation; a batch that runs again replaces its own result."""
+def drained_totals(totals: DataFrame, name: str, place: str | None = None) -> DataFrame:
+    """The last full result of a streaming aggregation; a batch that runs again replaces its own result.
+
+    ``place`` as for ``drained``.
+    """
     spark = totals.sparkSession
-    out = _place(spark, name)
+    out = place or _place(spark, name)
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number:08d}")
@@ -51,8 +58,14 @@ def tail(rows: DataFrame, seq: str, after: int) -> DataFrame:
     return rows.where(F.col(seq) > after)
 
 
-def once(rows: DataFrame, group: str, seq: str) -> DataFrame:
-    """Rows without those of a group and number that came before; works on streams and tables alike."""
+def once(rows: DataFrame, group: str, seq: str, at: str | None = None, lateness: str = "1 hour") -> DataFrame:
+    """Rows without those of a group and number that came before; works on streams and tables alike.
+
+    A stream that names its time column keeps numbers for ``lateness`` only; without one it keeps
+    all there have been.
+    """
+    if at and rows.isStreaming:
+        return rows.withWatermark(at, lateness).dropDuplicatesWithinWatermark([group, seq])
     return rows.dropDuplicates([group, seq])
 
 
