@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.similarity import similarity
+from tidemark.functions.similarity import similarity, text_similarity
 from tidemark.operators.lineage import checkpointed
 
 #: Score from which a pair counts as a rename.
@@ -51,7 +51,7 @@ def score():
     same = F.when(F.col("old_namespace").eqNullSafe(F.col("new_namespace")), 0.1).otherwise(0.0)
     plain = lambda side: F.regexp_replace(F.replace(F.col(f"{side}_source_text"), F.col(f"{side}_name"), F.lit("__RENAMED__")), r"\s+", " ")
     long = F.greatest(F.octet_length("old_source_text"), F.octet_length("new_source_text")) > 1000
-    source = F.when(long, 0.1).otherwise(similarity(plain("old"), plain("new")))
+    source = F.when(long, 0.1).otherwise(text_similarity(plain("old"), plain("new")))
     more = F.when((base > 0.4) & (names > 0.5), same + 0.1 * F.coalesce(source, F.lit(0.0))).otherwise(0.0)
     return F.when(F.col("old_fqn") == F.col("new_fqn"), 0.0).otherwise(F.least(F.lit(1.0), base + more))
 
