@@ -2,6 +2,8 @@ import random
 import re
 import zlib
 
+from pyspark.sql import functions as F
+
 from tests.llm.helpers import docs
 from tidemark.llm import decontamination, html_text, pii, quality, secrets, toxicity
 
@@ -201,6 +203,15 @@ def test_short_items_are_found_whole(spark):
     assert {(r.doc_id, r.item_id): r.match_end for r in rows}[0, 0] == len("q: what is the capital of france?")
 
 
+def test_items_of_one_id_are_all_looked_for(spark):
+    items = [(1, "the quick brown fox jumps over the lazy dog near the river"), (1, "a wholly other question about the mountains of the north"), (None, "what follows has no identifier, and is looked for all the same"), (None, "this one has none either but says something else again"), (1, "short")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(3))
+    texts = [(k, f"before {t} after") for k, (_, t) in enumerate(items)] + [(9, "nothing"), (10, f"{items[0][1]} {items[1][1][:-1]}")]
+    for a_pass in ({}, {"items_a_pass": 1}):
+        found = {(r.doc_id, r.item_id): (r.distance, r.budget) for r in decontamination.contaminated(docs(spark, texts), benchmark, **a_pass).collect()}
+        assert found == {(0, 1): (0, 2), (1, 1): (0, 2), (2, None): (0, 3), (3, None): (0, 2), (4, 1): (0, 0), (10, 1): (0, 2)}
+
+
 PAGE = """<html><head><title>T</title><script>var a = "<p>x</p>";</script><style>p{}</style></head><body><header><h1>Site</h1></header>
 <nav><ul><li><a href="/">Home</a></li></ul></nav><div class="cookie-notice"><p>We use cookies on this site for many good reasons.</p></div>
 <div id="content"><h2>Title</h2><p>First  <b>bold</b> &amp; more&nbsp;text.</p><div class="ad">Buy now!</div><p>Short.</p><ul><li>one<li>two</ul>

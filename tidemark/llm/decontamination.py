@@ -76,17 +76,17 @@ def _bounded(text: str, begin: int, end: int) -> bool:
 
 
 class Matcher:
-    """Finds the items of one pass in normalised texts."""
+    """Finds the items of one pass in normalised texts; an item is its place in ``items``, whatever ids repeat."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
+    def __init__(self, items: list[str], rate: float):
         import ahocorasick
 
-        self.rate, self.items, self.myers = rate, dict(items), {}
-        self.budgets: dict[int, int] = {}
-        self.short = {item for item, text in items if len(text) < SHORTEST_ITEM}
+        self.rate, self.items, self.myers = rate, items, {}
+        self.budgets: list[int] = []
         places: dict[str, list[tuple[int, int]]] = defaultdict(list)
-        for item, text in items:
-            self.budgets[item], parts = pieces(text, rate)
+        for item, text in enumerate(items):
+            budget, parts = pieces(text, rate)
+            self.budgets.append(budget)
             for at, part in parts:
                 places[part].append((item, at))
         self.machine = ahocorasick.Automaton()
@@ -104,7 +104,7 @@ class Matcher:
         found = {}
         for end, (size, uses) in self.machine.iter(text):
             for item, at in uses:
-                if item in self.short:
+                if not self.budgets[item]:
                     if item not in found and _bounded(text, end + 1 - size, end + 1):
                         found[item] = (0, end + 1)
                     continue
@@ -140,8 +140,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = EDITS_PER_
 
     ``benchmark`` has item_id and text. Texts and items are lower-cased and their white
     space made single spaces; ``match_end`` counts code points of that normal form. Items
-    of under 40 characters have no budget and match whole words alone; null ones and those
-    of white space are not looked for. Null and empty documents
+    of under 40 characters have no budget and match whole words alone; null ones and those of
+    white space are not looked for. Every row is an item: of several rows of one id, null included, the best
+    match counts, with that row's budget. Null and empty documents
     hold nothing; rows of one doc_id are searched each and give their best match; empty
     tables give no rows. One pass over the documents for each ``items_a_pass`` items or
     ``characters_a_pass`` characters of them, without a shuffle of texts; the driver holds
@@ -162,21 +163,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = EDITS_PER_
         block.append((r.item_id, text))
         size += len(text)
     found = joined(_search(docs, block, rate))
-    best = F.min(F.struct("distance", "match_end")).alias("m")
-    return found.groupBy("doc_id", "item_id").agg(best, F.first("budget").alias("budget")).select("doc_id", "item_id", "m.distance", "budget", "m.match_end")
+    best = F.min(F.struct("distance", "match_end", "budget")).alias("m")
+    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "m.distance", "m.budget", "m.match_end")
 
 
 def _search(docs: DataFrame, items: list[tuple[int, str]], rate: float) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(shared.value, rate)
+        matcher = Matcher([text for _, text in shared.value], rate)
+        ids = [item for item, _ in shared.value]
         names = ["doc_id", "item_id", "distance", "budget", "match_end"]
         for batch in batches:
             rows: list[list] = [[] for _ in names]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 for item, (distance, end) in matcher.hits(normalised(text.as_py())).items():
-                    for to, x in zip(rows, (doc, item, distance, matcher.budgets[item], end), strict=True):
+                    for to, x in zip(rows, (doc, ids[item], distance, matcher.budgets[item], end), strict=True):
                         to.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], names)
 
