@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import json
 import re
 from collections.abc import Callable, Iterator
 
@@ -11,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.manifests import library_symbols, twig_symbols, yaml_symbols
 from tidemark.operators.php import Offsets, scan, tokens
 
 SYMBOLS = (
@@ -116,72 +116,7 @@ def js_symbols(path: str, text: str) -> Iterator[dict]:
         yield {"symbol_type": kind, "fqn": m[kind], "start": m.start(kind), "end": m.end(kind)}
 
 
-@parser("twig")
-def twig_symbols(path: str, text: str) -> Iterator[dict]:
-    for m in re.finditer(r"\{%-?\s*(\w+)(?:\s+['\"]([\w-]+:[\w-]+)['\"])?|\|\s*(\w+)|\b(\w+)\s*\(", text):
-        for group, kind in ((2, "component"), (1, "twig_tag"), (3, "twig_filter"), (4, "twig_function")):
-            if m[group]:
-                yield {"symbol_type": kind, "fqn": m[group], "start": m.start(group), "end": m.end(group)}
-
-
-def canonical(value, sorted_lists: tuple[str, ...] = ("dependencies", "install", "tags"), key: str = ""):
-    """Strings trimmed, maps by key, and lists of scalars sorted under the keys that don't mean an order."""
-    if isinstance(value, dict):
-        return {str(k): canonical(v, sorted_lists, str(k)) for k, v in sorted(value.items(), key=lambda x: str(x[0]))}
-    if isinstance(value, list):
-        items = [canonical(v, sorted_lists) for v in value]
-        return sorted(items, key=str) if key in sorted_lists and all(not isinstance(v, dict | list) for v in items) else items
-    return value.strip() if isinstance(value, str) else value
-
-
-def _yaml(text: str):
-    import yaml
-
-    class Loader(yaml.SafeLoader):
-        pass
-
-    Loader.add_multi_constructor("", lambda loader, suffix, node: loader.construct_scalar(node) if isinstance(node, yaml.ScalarNode) else None)
-    try:
-        return yaml.load(text, Loader)
-    except yaml.YAMLError:
-        return None
-
-
-@parser("yaml")
-def yaml_symbols(path: str, text: str) -> Iterator[dict]:
-    """Services, routes, permissions, manifests and link entries; any other mapping as exported configuration."""
-    data, name = _yaml(text), path.rsplit("/", 1)[-1]
-    if not isinstance(data, dict):
-        return
-    kinds = ((".services.yml", "service", data.get("services")), (".routing.yml", "route", data), (".permissions.yml", "permission", data), (".links.menu.yml", "link_menu", data), (".links.task.yml", "link_task", data), (".links.action.yml", "link_action", data), (".links.contextual.yml", "link_contextual", data))
-    for ending, kind, entries in kinds:
-        if name.endswith(ending) or name == ending[1:]:
-            for key, value in (entries if isinstance(entries, dict) else {}).items():
-                yield {"symbol_type": kind, "fqn": str(key), "signature_json": json.dumps(canonical(value), sort_keys=True, default=str)}
-            return
-    if name.endswith(".info.yml"):
-        targets = sorted({re.sub(r"^.*:", "", re.sub(r"\s*\(.*\)$", "", str(d))) for d in data.get("dependencies") or []})
-        yield {"symbol_type": f"{data.get('type', 'module')}_info", "fqn": name[: -len(".info.yml")], "signature_json": json.dumps(canonical(data), sort_keys=True, default=str), "metadata_json": json.dumps({"dependency_targets": targets})}
-    elif name == "recipe.yml":
-        yield {"symbol_type": "recipe_manifest", "fqn": path.rsplit("/", 2)[-2] if "/" in path else "recipe", "signature_json": json.dumps(canonical(data), sort_keys=True, default=str)}
-    elif name.endswith(".component.yml"):
-        yield {"symbol_type": "component", "fqn": name[: -len(".component.yml")], "signature_json": json.dumps(canonical(data), sort_keys=True, default=str)}
-    else:
-        kept = {k: v for k, v in data.items() if k not in ("uuid", "langcode")}
-        if isinstance(kept.get("_core"), dict):
-            kept["_core"] = {k: v for k, v in kept["_core"].items() if k != "default_config_hash"}
-        yield {"symbol_type": "config_export", "fqn": re.sub(r"\.ya?ml$", "", name), "signature_json": json.dumps(canonical(kept), sort_keys=True, default=str)}
-
-
-@parser("libraries")
-def library_symbols(path: str, text: str) -> Iterator[dict]:
-    """Libraries with their style sheets, scripts and dependencies."""
-    data, owner = _yaml(text), path.rsplit("/", 1)[-1].removesuffix(".libraries.yml")
-    for key, value in (data if isinstance(data, dict) else {}).items():
-        value = value if isinstance(value, dict) else {}
-        css = sorted(str(f) for group in (value.get("css") or {}).values() if isinstance(group, dict) for f in group)
-        shape = {"css_assets": css, "javascript_assets": sorted(map(str, value.get("js") or {})), "dependency_libraries": sorted(map(str, value.get("dependencies") or []))}
-        yield {"symbol_type": "library", "fqn": f"{owner}/{key}", "name": str(key), "signature_json": json.dumps(canonical(value), sort_keys=True, default=str), "metadata_json": json.dumps(shape)}
+PARSERS |= {"twig": twig_symbols, "yaml": yaml_symbols, "libraries": library_symbols}
 
 
 _USAGE = "file_path string, fqn string, byte_start long, line_start long"

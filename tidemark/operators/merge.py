@@ -22,6 +22,11 @@ def keep_last(df: DataFrame, key: list[str], order: str = "id") -> DataFrame:
     return last.select("row.*")
 
 
+def repeated(df: DataFrame, key: list[str], order: str = "id") -> DataFrame:
+    """Keys that more than one row has, with how many and the greatest ``order`` of them."""
+    return df.groupBy(*key).agg(F.count("*").alias("n"), F.max(order).alias("last_id")).where("n > 1")
+
+
 def upsert(target: DataFrame, rows: DataFrame, key: list[str], null_safe: bool = True) -> DataFrame:
     """``rows`` in place of the target's rows of the same key. Keys in ``rows`` are unique (see keep_last)."""
     kept = target.join(rows, _same(target, rows, key, null_safe), "left_anti")

@@ -111,6 +111,21 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def status_counts(tables: dict[str, DataFrame], active: dict[str, Column]) -> DataFrame:
+    """(relation, n, active): the rows of several tables, and for some how many of them a condition holds for."""
+    out = None
+    for name, df in tables.items():
+        some = F.count_if(active[name]) if name in active else F.lit(None).cast("long")
+        one = df.agg(F.count("*").alias("n"), some.alias("active")).select(F.lit(name).alias("relation"), "n", "active")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def type_totals(symbols: DataFrame) -> DataFrame:
+    """(language, symbol_type, n) with the totals of each language and of all, where type, and then language, are null."""
+    return symbols.rollup("language", "symbol_type").agg(F.count("*").alias("n"))
+
+
 def opportunities(symbols: DataFrame, hook_files: tuple[str, ...] = (".module", ".inc", ".install"), annotations: tuple[str, ...] = ()) -> DataFrame:
     """Virtual matches: functions with an underscore in hook files, and classes under legacy annotations."""
     in_hook_file = F.lit(False)

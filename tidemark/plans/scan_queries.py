@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import collector, edits, extract
+from tidemark.operators import collector, edits, extract, merge, relations
 from tidemark.plans.registry import query
 from tidemark.sources import snapshots
 
@@ -104,3 +104,47 @@ def _php_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     shape = F.from_json("signature_json", "struct<params:array<struct<name:string,type:string,default:string>>,return_type:string>")
     joined = lambda c: F.array_join(F.transform(shape["params"][c], lambda x: F.coalesce(x, F.lit(""))), ",").alias(f"{c}s")
     return found.select("file_path", "name", "line_start", "line_end", joined("name"), joined("type"), joined("default"), shape["return_type"].alias("return_type"))
+
+
+@query(
+    "manifest_symbols",
+    r"""with p as (select p_partkey as k, p_size as z, p_partkey % 5 as form from part),
+d as (
+  select k, 'm' || k || '/m' || k || '.info.yml' as file_path, case when k % 2 = 0 then 'theme_info' else 'module_info' end as symbol_type, 'm' || k as fqn, 1 as line_start, 9 as line_end,
+    json_object('x', list_sort(['views' || z % 3, 'block', 'b' || z % 4, 'own' || z % 2])) as told from p where form = 0
+  union all select k, 'm' || k || '.services.yml', 'service', 's.' || k, 3, 6, json_object('x', 'App\C' || z) from p where form = 1
+  union all select k, 'm' || k || '.services.yml', 'event_subscriber', 's.' || k, 3, 6, json_object('x', 'App\C' || z) from p where form = 1 and k % 2 = 0
+  union all select k, 'm' || k || '.routing.yml', 'route', 'r.' || k, 1, 5, json_object('x', 'App\C' || z || '::show') from p where form = 2
+  union all select k, 'm' || k || '.links.task.yml', 'link_task', 'l.' || k, 1, 4, json_object('x', list_sort(list_distinct(['r' || z % 7, 'r' || z % 5]))) from p where form = 3
+  union all select k, 'm' || k || '.links.task.yml', 'link_task', 'l2.' || k, 4, 4, json_object('x', []) from p where form = 3
+  union all select k, 'lib/m' || k || '.libraries.yml', 'library', 'm' || k || '/lib', 1, 5, json_object('x', ['c.css', 'lib/js/a' || z % 9 || '.js']) from p where form = 4)
+select file_path, symbol_type, fqn, line_start, line_end, json_extract_string(told, '$.x') as told from d""",
+)
+def _manifest_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols of made manifests with their lines and what their kind tells: extensions, classes, controllers, routes or assets."""
+    found = extract.symbols(snapshots.manifest_files(spark, sf_dir))
+    paths = {"event_subscriber": "class", "service": "class", "route": "controller", "link_task": "route_refs", "library": "asset_paths"}
+    told = F.get_json_object("metadata_json", "$.mentioned_extensions")
+    for kind, path in paths.items():
+        told = F.when(F.col("symbol_type") == kind, F.get_json_object("metadata_json", f"$.{path}")).otherwise(told)
+    return found.select("file_path", "symbol_type", "fqn", "line_start", "line_end", told.alias("told"))
+
+
+@query(
+    "status_counts",
+    """select 'symbols' as relation, count(*) as n, null::bigint as active from part union all select 'changes', count(*), null from orders union all select 'matches', count(*), null from lineitem
+union all select 'projects', count(*), null from customer union all select 'jobs', count(*), count(*) filter (event_type in ('click', 'view')) from events""",
+)
+def _status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of all relations, and how many jobs are queued or running."""
+    tables = {name: snapshots.read(spark, sf_dir, table) for name, table in (("symbols", "part"), ("changes", "orders"), ("matches", "lineitem"), ("projects", "customer"), ("jobs", "events"))}
+    return relations.status_counts(tables, {"jobs": F.col("event_type").isin("click", "view")})
+
+
+query(
+    "symbols_by_type_and_language",
+    f"with o as ({snapshots.TYPED[0]}) select language, symbol_type, count(*) as n from o group by 1, 2 union all select language, null, count(*) from o group by 1 union all select null, null, count(*) from o",
+)(lambda spark, sf_dir: relations.type_totals(snapshots.typed(spark, sf_dir)[0]))
+query("repeated_keys", "select user_id, event_type, count(*) as n, max(event_id) as last_id from events group by 1, 2 having count(*) > 1")(
+    lambda spark, sf_dir: merge.repeated(snapshots.read(spark, sf_dir, "events"), ["user_id", "event_type"], "event_id")
+)

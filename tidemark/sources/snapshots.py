@@ -202,3 +202,47 @@ from part
 def linked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes, services, libraries, assets, components, routes and manifests that name each other."""
     return over_part(spark, sf_dir, LINKED_SQL)
+
+
+#: A manifest for each part, of five kinds; what Spark and DuckDB both read.
+MANIFEST_SQL = """
+select p_partkey as k,
+  case p_partkey % 5 when 0 then concat('m', p_partkey, '/m', p_partkey, '.info.yml') when 1 then concat('m', p_partkey, '.services.yml') when 2 then concat('m', p_partkey, '.routing.yml')
+    when 3 then concat('m', p_partkey, '.links.task.yml') else concat('lib/m', p_partkey, '.libraries.yml') end as file_path,
+  case when p_partkey % 5 = 4 then 'libraries' else 'yaml' end as language,
+  case p_partkey % 5 when 0 then concat('name: "', p_name, '"
+type: ', case when p_partkey % 2 = 0 then 'theme' else 'module' end, '
+# dependencies: [no]
+dependencies:
+  - core:views', p_size % 3, ' (>=2)
+  - block
+base theme: b', p_size % 4, '
+libraries: [own', p_size % 2, '/x]
+')
+    when 1 then concat('services:
+  _defaults: {autowire: true}
+  s.', p_partkey, ':
+    class: ''App', chr(92), 'C', p_size, '''
+    tags: [{name: ', case when p_partkey % 2 = 0 then 'event_subscriber' else 'cache' end, '}]
+')
+    when 2 then concat('r.', p_partkey, ':
+  path: ''/p/', p_size, '''
+  defaults:
+    _controller: ''App', chr(92), 'C', p_size, '::show''
+')
+    when 3 then concat('l.', p_partkey, ':
+  route_name: r', p_size % 7, '
+  base_route: r', p_size % 5, '
+l2.', p_partkey, ': {title: x}
+')
+    else concat('lib:
+  js: { js/a', p_size % 9, '.js: {}, //cdn.test/b.js: {} }
+  css: { theme: { ../c.css: {} } }
+  dependencies: [core/jquery]
+') end as text
+from part
+"""
+
+
+def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return over_part(spark, sf_dir, MANIFEST_SQL)
