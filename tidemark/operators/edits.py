@@ -146,26 +146,37 @@ def apply_edits(files: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def _walk(data: bytes, found: list[dict]) -> list[list]:
-    """[match id, status, conflict, text] of a file's edits from its end to its start; the text on the first alone."""
+    """[match id, status, conflict, text] of a file's edits from its end to its start; the text on the first alone.
+
+    What lies behind the last edit is kept in pieces and joined once; only an edit whose place
+    isn't known needs the text as it has become.
+    """
     least = len(data) + 1  # where the nearest edit that was applied at its own place starts
+    end, behind = len(data), []  # the text is data[:end] and, in reverse, what is behind
     rows: list[list] = []
     for m in sorted(found, key=lambda m: (-m["byte_start"], m["id"])):
         old, a, b = (m["matched_source"] or "").encode(), m["byte_start"], m["byte_end"]
         new = rewritten(m["matched_source"] or "", m["fix_template"])
         status, conflict = "failed", 0 <= a < b and b > least
         if not conflict and new is not None:
-            known = a >= 0 and data[a:b] == old
+            known = a >= 0 and b <= end and data[a:b] == old
             if not known:
+                data = data[:end] + b"".join(reversed(behind))
+                end, behind = len(data), []
                 a = data.find(old) if old and data.count(old) == 1 else -1
             if a >= 0 and new.encode() == old:
                 status = "skipped"
             elif a >= 0:
                 status = "applied"
-                data = data[:a] + new.encode() + data[a + len(old) :]
+                behind += [data[a + len(old) : end], new.encode()]
+                end = a
                 if known:
                     least = a
+                else:
+                    data = data[:end] + b"".join(reversed(behind))
+                    end, behind = len(data), []
         rows.append([m["id"], status, conflict, None])
-    rows[0][3] = data.decode()
+    rows[0][3] = (data[:end] + b"".join(reversed(behind))).decode()
     return rows
 
 

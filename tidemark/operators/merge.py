@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.lineage import checkpointed
+
 
 def _same(left: DataFrame, right: DataFrame, key: list[str], null_safe: bool) -> Column:
     pairs = [left[k].eqNullSafe(right[k]) if null_safe else left[k] == right[k] for k in key]
@@ -48,10 +50,22 @@ def partial_update(target: DataFrame, updates: DataFrame, key: list[str]) -> Dat
 
 
 def append_sequence(log: DataFrame, rows: DataFrame, group: str, order: str, seq: str = "seq") -> DataFrame:
-    """``rows`` numbered on from their group's greatest number in ``log``."""
-    base = log.groupBy(group).agg(F.max(seq).alias("_base"))
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(order))
-    return rows.withColumn(seq, rank).join(base, group, "left").withColumn(seq, F.coalesce("_base", F.lit(0)) + F.col(seq)).drop("_base")
+    """``rows`` numbered on from their group's greatest number in ``log``; a null group is one too.
+
+    Rows are sorted by ranges of group and order, so a hot group is spread over many. A row's
+    number is its place in the range, less that of its group's first row there, after what
+    earlier ranges have of the group; of that one count a range and group is joined.
+    """
+    keys = [F.col(group).asc_nulls_first(), F.col(order).asc_nulls_first()]
+    placed = rows.drop(seq).repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    placed = checkpointed(placed).withColumn("_range", F.shiftright("_at", 33))
+    counts = placed.groupBy(F.col(group).alias("_group"), "_range").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy("_group").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).withColumnRenamed("_range", "_of")
+    base = log.groupBy(F.col(group).alias("_logged")).agg(F.max(seq).alias("_base"))
+    starts = counts.join(base, F.col("_group").eqNullSafe(F.col("_logged")), "left").select("_group", "_of", (F.coalesce("_base", F.lit(0)) + F.col("_before") - F.col("_first") + 1).alias("_shift"))
+    out = placed.join(starts, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_of")))
+    return out.withColumn(seq, F.col("_at") + F.col("_shift")).drop("_at", "_range", "_group", "_of", "_shift")
 
 
 def exclusive_flag(df: DataFrame, group: list[str], flag: str, order: str = "id") -> DataFrame:

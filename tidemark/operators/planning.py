@@ -132,3 +132,40 @@ def hotspots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     total = far.groupBy("node").agg(F.sum("s").alias("dependency_score"))
     out = own.join(total, "node", "left").fillna(0, ["dependency_score"])
     return out.withColumn("hotspot", F.col("score") + F.col("dependency_score")).orderBy(F.desc("hotspot"), F.desc("score"), "node")
+
+
+def project_nodes(extensions: DataFrame, groups: DataFrame) -> DataFrame:
+    """What a report shows of each extension of a project.
+
+    ``extensions`` has machine_name, label, extension_type, file_path and dependencies; ``groups``
+    the matches by path: extension (a path), count and score. An extension has the group of its
+    folder, or else the largest of its name's folder. Dependencies on others than the project's
+    extensions are left out. Columns: machine_name, label, type, path, dependencies, dependents,
+    match_count, score, transitive_dependencies, impact (extension, match_count and score of each,
+    the highest score first), dependency_match_count, dependency_score, hotspot_score.
+
+    Lists hold what one extension depends on, or what depends on it, which a row has to show.
+    """
+    from tidemark.operators.relations import match_group
+
+    of = match_group(extensions, groups).withColumnRenamed("extension", "group_path")
+    told = groups.select(F.col("extension").alias("group_path"), F.col("count").alias("match_count"), "score")
+    folder = F.when(F.col("file_path").contains("/"), F.regexp_replace("file_path", "/[^/]*$", "")).otherwise(F.col("machine_name"))
+    nodes = extensions.join(of, "machine_name", "left").join(told, "group_path", "left").fillna(0, ["match_count", "score"])
+    nodes = nodes.select("machine_name", F.coalesce("label", "machine_name").alias("label"), F.col("extension_type").alias("type"), F.coalesce("group_path", folder).alias("path"), F.col("match_count").cast("long"), F.col("score").cast("long"))
+    nodes = checkpointed(nodes)
+    names = nodes.select(F.col("machine_name").alias("node"))
+    edges = checkpointed(_inside(names, extensions.select(F.col("machine_name").alias("node"), F.explode("dependencies").alias("reached"))))
+    listed = lambda by, what, name: edges.groupBy(F.col(by).alias("machine_name")).agg(F.array_sort(F.collect_list(what)).alias(name))
+    far = closure(edges).where("node <> reached").join(nodes.select(F.col("machine_name").alias("reached"), F.col("match_count").alias("n"), F.col("score").alias("s")), "reached")
+    impact = far.groupBy(F.col("node").alias("machine_name")).agg(
+        F.array_sort(F.collect_list("reached")).alias("transitive_dependencies"),
+        F.transform(F.array_sort(F.collect_list(F.struct((-F.col("s")).alias("rank"), F.col("reached").alias("extension"), F.col("n").alias("match_count"), F.col("s").alias("score")))), lambda x: F.struct(x["extension"], x["match_count"], x["score"])).alias("impact"),
+        F.sum("n").alias("dependency_match_count"),
+        F.sum("s").alias("dependency_score"),
+    )
+    out = nodes.join(listed("node", "reached", "dependencies"), "machine_name", "left").join(listed("reached", "node", "dependents"), "machine_name", "left").join(impact, "machine_name", "left")
+    out = out.fillna(0, ["dependency_match_count", "dependency_score"]).withColumn("hotspot_score", F.col("score") + F.col("dependency_score"))
+    none = F.array().cast("array<string>")
+    lists = {c: F.coalesce(c, none) for c in ("dependencies", "dependents", "transitive_dependencies")}
+    return out.withColumns(lists | {"impact": F.coalesce("impact", F.array().cast("array<struct<extension:string,match_count:bigint,score:bigint>>"))})

@@ -139,16 +139,6 @@ def opportunities(symbols: DataFrame, hook_files: tuple[str, ...] = (".module",
     return hooks.unionByName(marked).withColumn("severity", F.lit("info"))
 
 
-def import_rules(documents: DataFrame) -> DataFrame:
-    """Change rows from (file_path, rules) where ``rules`` is a JSON map of name to rule."""
-    rule = "struct<type:string,severity:string,replacement:string,hint:string,confidence:double>"
-    rows = documents.select("file_path", F.explode(F.from_json("rules", f"map<string,{rule}>")).alias("old_fqn", "r"))
-    return rows.select(
-        "file_path", "old_fqn", F.col("r.replacement").alias("new_fqn"), F.coalesce("r.type", F.lit("deprecated_added")).alias("change_type"),
-        F.coalesce("r.severity", F.lit("deprecation")).alias("severity"), F.coalesce("r.confidence", F.lit(1.0)).alias("confidence"), F.col("r.hint").alias("migration_hint"),
-    )
-
-
 def pattern(change_type: Column, name: Column) -> Column:
     """What a scan looks for: kind of match, literal, and a regular expression that finds it."""
     quoted = F.concat(F.lit(r"\Q"), name, F.lit(r"\E"))

@@ -67,3 +67,42 @@ def project_type(files: DataFrame) -> DataFrame:
     seen = files.groupBy("project").agg(has(path == "core/lib", "x"), has(path.startswith("core/"), "core"), has(path.startswith("sites/") | path.startswith("web/"), "site"), has(path.rlike(r"^[^/]+\.info\.yml$"), "info"), has(path == "composer.json", "composer"))
     kind = F.when(F.col("core") == 1, "core").when(F.col("site") == 1, "site").when(F.col("info") == 1, "module").when(F.col("composer") == 1, "library").otherwise("unknown")
     return seen.select("project", kind.alias("type"))
+
+
+def project_metadata(files: DataFrame, core_package: str, framework: str | None = None, core_mark: str = "core/lib/core.php") -> DataFrame:
+    """(project, type, package_name, root_name) of each project by its files: core, site, module, theme, profile, framework or null.
+
+    ``files``: project, file_path and text. Core has a file ``core_mark`` or the package
+    ``core_package`` in core/; a site has settings; an extension has a manifest of that type at
+    its top, of several the first by name, or else a file with such an ending; a framework's
+    project has locked its package. Earlier kinds win. The package's name is that of composer.json.
+    """
+    path, text = F.col("file_path"), F.col("text")
+    top = ~path.contains("/")
+    kind = F.regexp_extract(text, r"(?m)^\s*type\s*:\s*(\w+)", 1)
+    manifest = top & path.endswith(".info.yml") & kind.isin("module", "theme", "profile")
+    name = F.regexp_replace(F.trim(F.regexp_extract(text, r"(?m)^\s*name\s*:\s*(.+)$", 1)), "^[\"']+|[\"']+$", "")
+    ending = F.when(top & path.rlike(r"\.(module|theme|profile)$"), F.struct(path, F.substring_index(path, ".", -1).alias("kind")))
+    package = F.get_json_object(text, "$.name")
+    items = F.from_json(text, "struct<packages:array<struct<name:string>>,`packages-dev`:array<struct<name:string>>>")
+    locked = F.lit(False)
+    if framework:
+        one = lambda k: F.coalesce(F.exists(items[k], lambda p: p["name"] == framework), F.lit(False))
+        locked = (path == "composer.lock") & (one("packages") | one("packages-dev"))
+    seen = files.groupBy("project").agg(
+        F.max((path == core_mark) | ((path == "core/composer.json") & (package == core_package))).alias("core"),
+        F.max(path == core_mark).alias("marked"),
+        F.max(path == "sites/default/settings.php").alias("site"),
+        F.min(F.when(manifest, F.struct(path, kind.alias("kind"), name.alias("name")))).alias("manifest"),
+        F.min(ending).alias("ending"),
+        F.max(locked).alias("framework"),
+        F.max(F.when(path == "composer.json", package)).alias("package"),
+    )
+    core, site = F.coalesce("core", F.lit(False)), F.coalesce(F.col("site") & ~F.col("marked"), F.lit(False))
+    found = F.when(core, "core").when(site, "site").otherwise(F.coalesce("manifest.kind", "ending.kind", F.when(F.col("framework"), "framework")))
+    return seen.select(
+        "project",
+        found.alias("type"),
+        F.when(core, core_package).when(found.isNotNull(), F.col("package")).alias("package_name"),
+        F.when(~core & ~site, F.nullif(F.col("manifest.name"), F.lit(""))).alias("root_name"),
+    )
