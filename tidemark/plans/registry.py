@@ -346,4 +346,4 @@ query("stream_changed_only", "select user_id, event_id, event_type from events q
 )
 
 
-from tidemark.plans import change_queries, link_queries, project_queries, report_queries, scan_queries, stream_queries, table_queries  # noqa: E402, F401  (register their queries above)
+from tidemark.plans import change_queries, link_queries, project_queries, report_queries, scan_queries, stream_queries, table_queries, text_queries  # noqa: E402, F401  (register their queries above)
