@@ -2,6 +2,7 @@ import random
 import re
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import docs
@@ -401,3 +402,34 @@ def test_toxicity_labels_that_disagree(spark):
 def test_thresholds_step_up():
     cells = [(0, 0, 90), (0, 15, 6), (0, 40, 4), (1, 3, 50)]
     assert secrets.thresholds(cells, rate=0.5) == {0: 15}
+
+
+def story(inner):
+    return f"<html><body><nav><a href=/>x</a></nav><article><h1>Title of it</h1><p>{'Some sentences of the story go on. ' * 6}</p>{inner}<p>{'More sentences follow here and there. ' * 6}</p></article></body></html>"
+
+
+BLOCK_NAMES = "comment-thread comment-body user-comments reader-comments responses discussion ad-300x250 adsbygoogle inline-ad advert--mid disclaimer copyright commentBody cookie-bar".split()
+
+
+@pytest.mark.parametrize("name", BLOCK_NAMES)
+def test_blocks_inside_an_article_go_by_evidence(name):
+    plain = html_text.main_text(story(""))
+    assert html_text.main_text(story(f"<div class='{name}'><p>Text of a block that is not the story.</p></div>")) == plain
+    assert html_text.main_text(story(f"<div><div class='x {name} y'>Loose text.</div></div>")) == plain
+    # Who names everything so has nothing else to keep.
+    whole = f"<body><div class='{name.replace('comment', 'share')}'><p>{'All there is on this page. ' * 9}</p></div></body>"
+    assert "All there is" in html_text.main_text(whole)
+
+
+def test_loose_notices_and_words_of_controls_inside_an_article():
+    plain = html_text.main_text(story(""))
+    assert html_text.main_text(story("<div>We use cookies. Accept</div>")) == plain
+    assert html_text.main_text(story("<div>A loose line of the story itself.</div>")) != plain
+    said = html_text.main_text(story("<p>Use <label>this</label> now and <button>that</button>.</p>")).split("\n")
+    assert said[2] == "Use this now and that."
+    assert html_text.main_text(story("<form><p>Use <label>this</label></p></form>")) == plain and html_text.main_text(story("<div><button>Share</button></div>")) == plain
+
+
+@pytest.mark.parametrize("name", "post-content story-body with-sidebar share-price adhoc tagline reading admin".split())
+def test_weak_names_keep_running_text(name):
+    assert "belongs to it" in html_text.main_text(story(f"<div class='{name}'><p>{'This block belongs to it. ' * 10}</p></div>"))

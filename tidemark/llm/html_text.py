@@ -9,8 +9,10 @@ the last dive in it, with the short paragraphs and headings that go on from ther
 
 Tags only support this. Elements that by HTML's rules hold no article (scripts, menus,
 headers, ...) or are hidden give no lines. An element whose class, id or role names
-boilerplate is left out unless nearly all text of the page is in it. Where article or main
-elements hold a region, they are the article and are kept whole.
+boilerplate is left out unless nearly all text of the page is in it; where a name says so only in
+part, its text must be little or mostly links as well. Article and main elements that hold a
+region only move the edges: inside them, loose lines in a dive between surges are left out too,
+and short notices that stand between paragraphs.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ WINDOW, SURGE, CORE, MOST, LEAST = 3, 0.125, 0.8, 4, 200
 # HTML's element kinds.
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "plaintext"}
 CONTROLS = {"select", "button", "datalist", "label", "legend", "option", "optgroup", "output", "progress", "meter"}
+#: Controls whose words belong to a sentence that they stand in, outside forms.
+SPOKEN = {"label", "button", "output", "meter", "progress"}
 NEVER = RAW | CONTROLS | {"head", "nav", "aside", "footer", "header", "noscript", "template", "svg", "math", "object", "dialog", "menu", "canvas", "audio", "video", "map"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCKS = frozenset(
@@ -41,18 +45,23 @@ BLOCKS = frozenset(
     "head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table caption thead tbody tfoot tr td th ul".split()
 )
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Blocks whose lines are text even where they are short.
+KEPT = {"td", "th", "caption", "address"}
 #: Blocks of running text, and those whose end tag may be left out: they end where one of the named starts.
 RUNNING = HEADINGS | {"p", "blockquote", "pre", "li", "dd", "dt", "figcaption"}
 _IMPLIED = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}}
 
-#: Words in a class, id or role that mark boilerplate where a whole name is made of them,
-#: and words that may stand beside them in one.
+#: Words in a class, id or role that mark boilerplate: surely where a whole name is made of them and
+#: of words that may stand beside them, and as weak evidence beside other words.
 _HINT = (
     r"nav|navbar|navigation|menu|menubar|sidebar|sidenav|footer|header|masthead|breadcrumbs?|cookies?|consent|gdpr|banner|notices?|alert|"
     r"ad|ads|advert|adverts|advertisement|advertising|adbox|sponsor|sponsored|promo|promotion|newsletter|subscribe|subscription|share|sharing|social|"
     r"related|recommended|comments?|commentlist|replies|disqus|popup|modal|overlay|widget|pagination|pager|login|signup|search|toolbar|tags|"
-    r"contentinfo|complementary|skip"
+    r"contentinfo|complementary|skip|disclaimer|copyright|responses?|discussions?|adsbygoogle|adsense|adsanity"
 )
+#: Words that tell readers' comments and adverts whatever stands beside them.
+_STRONG = re.compile(r"comments?|commentlist|repl(?:y|ies)|responses?|discussions?|disqus|ads?|adverts?|advertis(?:ement|ing)|adbox|adsbygoogle|adsense|sponsor(?:ed)?|cookies?|consent|gdpr", re.I)
+_COMMENTS = re.compile(r"comments?|commentlist|repl(?:y|ies)|responses?|discussions?|disqus", re.I)
 _BESIDE = r"site|main|page|global|top|bottom|left|right|primary|secondary|box|bar|block|list|links?|buttons?|form|area|slot|unit|container|wrap|wrapper|inner|items?|section|post|posts|articles?"
 _HINTS, _NAMES = re.compile(_HINT, re.I), re.compile(rf"(?:{_HINT}|{_BESIDE})?", re.I)
 _NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -72,7 +81,7 @@ class Line(NamedTuple):
 class Page(NamedTuple):
     lines: list[Line]
     parents: list[int]  # of each block, by its number; block 0 is the page
-    hinted: dict[int, bool]  # blocks named like boilerplate, and whether they are readers' comments
+    hinted: dict[int, int]  # blocks named like boilerplate, and how surely
 
 
 class _Open(NamedTuple):
@@ -82,13 +91,28 @@ class _Open(NamedTuple):
     before: int | None  # how many skipped elements were open where an article reopened them
 
 
-def boilerplate(named: str) -> bool:
-    """Whether one of the names, each taken whole, says that the element isn't the article."""
+#: How surely a name tells that an element isn't the article.
+NOT_NAMED, WEAKLY, SURELY, AS_COMMENTS = range(4)
+
+
+def boilerplate(named: str) -> int:
+    """The strongest evidence among an element's names that it isn't the article.
+
+    Names are cut at dashes, underscores and changes of case. A name that is made of hints and of
+    what may stand beside them is sure; among other words, a hint is weak evidence, but for
+    words that name comments, adverts and consent alone.
+    """
+    best = NOT_NAMED
     for name in named.split():
-        parts = [x.rstrip("0123456789") for x in re.split("[_-]+", name)]
-        if all(map(_NAMES.fullmatch, parts)) and any(map(_HINTS.fullmatch, parts)):
-            return True
-    return False
+        parts = [x for x in (y.rstrip("0123456789") for y in re.split(r"[_-]+|(?<=[a-z])(?=[A-Z])", name) if not re.fullmatch(r"[0-9]+(?:x[0-9]+)?", y)) if x]
+        hints = [x for x in parts if _HINTS.fullmatch(x)]
+        if any(map(_COMMENTS.fullmatch, hints)):
+            best = max(best, AS_COMMENTS)
+        elif hints and (all(map(_NAMES.fullmatch, parts)) or any(map(_STRONG.fullmatch, hints))):
+            best = max(best, SURELY)
+        elif hints:
+            best = max(best, WEAKLY)
+    return best
 
 
 class _Reader:
@@ -153,16 +177,19 @@ class _Reader:
                 self.articles += 1
             self.depth += 1
         named = " ".join(next(x for x in (*m.groups(), "") if x is not None) for m in _NAMED.finditer(attributes)) if attributes else ""
-        hint = bool(named) and name not in ("html", "body", "article", "main") and boilerplate(named)
+        hint = boilerplate(named) if named and name not in ("html", "body", "article", "main") else NOT_NAMED
         never = name in NEVER and not (name == "header" and self.depth)
-        skips = before is None and (never or (hint and not is_block) or bool(attributes and _HIDDEN.search(attributes)))
+        if name in SPOKEN and not self.names.get("form"):
+            at = self.block()
+            never = not (at and at.name in RUNNING)  # in a sentence it is a word of that
+        skips = before is None and (never or (hint >= SURELY and not is_block) or bool(attributes and _HIDDEN.search(attributes)))
         number = 0
         if is_block:
             number = len(self.page.parents)
             at = self.block()
             self.page.parents.append(at.block if at else 0)
             if (hint or name == "form") and not skips:
-                self.page.hinted[number] = bool(re.search("comment|repl(?:y|ies)|disqus", named, re.I))
+                self.page.hinted[number] = max(hint, SURELY if name == "form" else hint)
         if is_block or skips or before is not None:
             self.open.append(_Open(name, number, skips, before))
             self.names[name] = self.names.get(name, 0) + 1
@@ -220,15 +247,19 @@ def read_page(page: str) -> Page:
     got, parents, hinted = found = _Reader().read(page)
     if not hinted:
         return found
-    inside = [0] * len(parents)
+    inside, shown = [0] * len(parents), [0] * len(parents)  # characters outside links, and all
     for x in got:
         inside[x.block] += x.weight
+        shown[x.block] += len(x.text)
     for k in range(len(parents) - 1, 0, -1):  # children have greater numbers than their parents
         inside[parents[k]] += inside[k]
+        shown[parents[k]] += shown[k]
     out = [False] * len(parents)
     for k in range(1, len(parents)):
-        rest = inside[0] - inside[k]
-        named = k in hinted and rest > 0 and (hinted[k] or inside[k] < max(MOST * rest, LEAST))
+        rest, sure = inside[0] - inside[k], hinted.get(k, NOT_NAMED)
+        # Weak evidence needs more: little text, or most of it in links.
+        little = sure == WEAKLY and (inside[k] < min(LEAST, rest) or 2 * inside[k] < shown[k])
+        named = rest > 0 and (sure == AS_COMMENTS or (sure == SURELY and inside[k] < max(MOST * rest, LEAST)) or little)
         out[k] = out[parents[k]] or named
     return Page([x for x in got if not out[x.block]], parents, hinted)
 
@@ -281,21 +312,43 @@ def core(weights: dict[int, int], parents: list[int], running: set[int]) -> int:
 def main_text(page: str) -> str:
     """The page's main text; blocks are joined by a new line. A page without any has none.
 
-    Article and main elements that hold a region are kept whole. Those in a skipped wrapper
+    Article and main elements that hold a region are kept but for what dives. Those in a skipped wrapper
     count where they hold most of the page; on other pages the blocks alone tell.
     """
     got, parents, _ = read_page(page)
     held = [x for x in got if x.held > 0]
     if held:
         weights = [x.weight if x.held > 0 else 0 for x in got]
-        marked = {got[k].held for a, b in regions(weights) for k in range(a, b) if weights[k]}
-        return "\n".join(x.text for x in held if x.held in marked or not marked)
+        found = regions(weights)
+        marked = {got[k].held for a, b in found for k in range(a, b) if weights[k]}
+        kept = [k for k, x in enumerate(got) if x.held > 0 and (x.held in marked or not marked)]
+        return "\n".join(got[k].text for k in kept if not _dived(k, got, weights, found))
     wrapped = [x for x in got if x.held < 0]
     if wrapped and 2 * sum(x.weight for x in wrapped) >= sum(x.weight for x in got):
         return "\n".join(x.text for x in wrapped)
     return "\n".join(x.text for x in article([x for x in got if not x.held], parents))
 
 
+#: Words of consent and of offers; a loose line beside running text that has some of them is a notice.
+_NOTICE = re.compile(r"\b(?:cookies?|consent|gdpr|newsletter|subscribe|sign up|log in|accept all|privacy policy|advertisement|cookie-einstellungen|datenschutz|abonnieren|s'abonner|suscr[ií]bete)\b", re.I)
+
+
+def _dived(k: int, got: list[Line], weights: list[int], found: list[tuple[int, int]]) -> bool:
+    """Whether a line inside an article isn't of its text, by its line blocks.
+
+    Lines of running text stay. A loose line (of no paragraph, heading, list item or cell) goes
+    where the sums of its lines dive below the page's bound between two surges, as lists of links
+    and bars do; and where it is short against the windows around it and words tell a notice.
+    """
+    x = got[k]
+    if x.tag in RUNNING or x.tag in KEPT or not found:
+        return False
+    if found[0][0] < k < found[-1][1] and not any(a <= k < b for a, b in found):
+        return True
+    around = sum(weights[max(0, k - WINDOW) : k]) + sum(weights[k + 1 : k + 1 + WINDOW])
+    return len(x.text) < LEAST and 4 * len(x.text) < around and bool(_NOTICE.search(x.text))
+
+
 def article(got: list[Line], parents: list[int]) -> list[Line]:
     """The article's lines among a page's, from the first surge to the last dive in the block that holds it."""
     weights = [x.weight for x in got]
