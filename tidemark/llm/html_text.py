@@ -61,6 +61,7 @@ _HINT = (
 )
 #: Words that tell readers' comments and adverts whatever stands beside them.
 _STRONG = re.compile(r"comments?|commentlist|repl(?:y|ies)|responses?|discussions?|disqus|ads?|adverts?|advertis(?:ement|ing)|adbox|adsbygoogle|adsense|sponsor(?:ed)?|cookies?|consent|gdpr", re.I)
+_STATES = {"has", "with", "without", "no", "not", "is", "open", "opened", "closed", "enabled", "disabled", "layout"}
 _COMMENTS = re.compile(r"comments?|commentlist|repl(?:y|ies)|responses?|discussions?|disqus", re.I)
 _BESIDE = r"site|main|page|global|top|bottom|left|right|primary|secondary|box|bar|block|list|links?|buttons?|form|area|slot|unit|container|wrap|wrapper|inner|items?|section|post|posts|articles?"
 _HINTS, _NAMES = re.compile(_HINT, re.I), re.compile(rf"(?:{_HINT}|{_BESIDE})?", re.I)
@@ -95,17 +96,23 @@ class _Open(NamedTuple):
 NOT_NAMED, WEAKLY, SURELY, AS_COMMENTS = range(4)
 
 
-def boilerplate(named: str) -> int:
+def boilerplate(named: str) -> bool:
+    """Whether an element's names say surely that it isn't the article."""
+    return evidence(named) >= SURELY
+
+
+def evidence(named: str) -> int:
     """The strongest evidence among an element's names that it isn't the article.
 
     Names are cut at dashes, underscores and changes of case. A name that is made of hints and of
     what may stand beside them is sure; among other words, a hint is weak evidence, but for
-    words that name comments, adverts and consent alone.
+    words that name comments, adverts and consent alone. A name that tells what an element has
+    or in which state it is (has-sidebar) says nothing of the element itself.
     """
     best = NOT_NAMED
     for name in named.split():
         parts = [x for x in (y.rstrip("0123456789") for y in re.split(r"[_-]+|(?<=[a-z])(?=[A-Z])", name) if not re.fullmatch(r"[0-9]+(?:x[0-9]+)?", y)) if x]
-        hints = [x for x in parts if _HINTS.fullmatch(x)]
+        hints = [] if any(x.lower() in _STATES for x in parts) else [x for x in parts if _HINTS.fullmatch(x)]
         if any(map(_COMMENTS.fullmatch, hints)):
             best = max(best, AS_COMMENTS)
         elif hints and (all(map(_NAMES.fullmatch, parts)) or any(map(_STRONG.fullmatch, hints))):
@@ -177,7 +184,7 @@ class _Reader:
                 self.articles += 1
             self.depth += 1
         named = " ".join(next(x for x in (*m.groups(), "") if x is not None) for m in _NAMED.finditer(attributes)) if attributes else ""
-        hint = boilerplate(named) if named and name not in ("html", "body", "article", "main") else NOT_NAMED
+        hint = evidence(named) if named and name not in ("html", "body", "article", "main") else NOT_NAMED
         never = name in NEVER and not (name == "header" and self.depth)
         if name in SPOKEN and not self.names.get("form"):
             at = self.block()
