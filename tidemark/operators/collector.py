@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.extract import arrow_schema
+from tidemark.operators.extract import arrow_schema, batched
 from tidemark.operators.matches import passes_argument_count
 from tidemark.operators.php import Offsets, scan
 
@@ -54,14 +54,16 @@ def places(files: DataFrame) -> DataFrame:
     """
     schema = arrow_schema(PLACES)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for path, language, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                found = list(READERS[language](path or "", text))
-                at = Offsets(text, [p for x in found for p in x[2:4]])
-                rows = [(path, language, kind, literal, text[a:b], n, at.byte(a), at.byte(b), at.line(a), at.line(b)) for kind, literal, a, b, n in found]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                stand = list(READERS[language](path or "", text))
+                at = Offsets(text, [p for x in stand for p in x[2:4]])
+                for kind, literal, a, b, n in stand:
+                    yield path, language, kind, literal, text[a:b], n, at.byte(a), at.byte(b), at.line(a), at.line(b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batched(found(batches), schema, lambda row: len(row[4]))
 
     return files.where(F.col("language").isin(*READERS) & F.col("text").isNotNull()).select("file_path", "language", "text").mapInArrow(run, PLACES)
 

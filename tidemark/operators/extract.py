@@ -26,6 +26,27 @@ def arrow_schema(ddl: str) -> pa.Schema:
     return pa.schema([(n, _ARROW[t]) for n, t in (x.split() for x in ddl.split(", "))])
 
 
+#: Rows that parsers of files give to Spark at once, and characters of text in them.
+ROWS, CHARACTERS = 5_000, 4_000_000
+
+
+def batched(rows: Iterator[tuple], schema: pa.Schema, size: Callable[[tuple], int] = lambda row: 0) -> Iterator[pa.RecordBatch]:
+    """Record batches of ``ROWS`` rows, or of fewer once their ``size`` adds up to ``CHARACTERS``."""
+    waiting, held = [], 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*waiting, strict=True), schema, strict=True)], schema=schema)
+
+    for row in rows:
+        waiting.append(row)
+        held += size(row)
+        if len(waiting) >= ROWS or held >= CHARACTERS:
+            yield batch()
+            waiting, held = [], 0
+    if waiting:
+        yield batch()
+
+
 def css_selectors(files: DataFrame) -> DataFrame:
     """(file_path, fqn, line_start, signature_hash) of class and id selectors, declarations left out."""
     # What is left out keeps its new lines, so that lines stay those of the file.
@@ -74,13 +95,16 @@ def symbols(files: DataFrame, parsers: dict[str, Parser] | None = None) -> DataF
     """
     by_language = dict(PARSERS if parsers is None else parsers)
 
-    schema = arrow_schema(SYMBOLS)
+    schema, text_at = arrow_schema(SYMBOLS), _COLUMNS.index("source_text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for path, lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if lang in by_language and text is not None:
-                    yield pa.RecordBatch.from_pylist(_rows(path, lang, text, list(by_language[lang](path, text))), schema)
+                    yield from (tuple(row[c] for c in _COLUMNS) for row in _rows(path, lang, text, list(by_language[lang](path, text))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batched(parsed(batches), schema, lambda row: len(row[text_at] or ""))
 
     known = files.where(F.col("language").isin(*by_language)) if by_language else files
     return known.select("file_path", "language", "text").mapInArrow(run, SYMBOLS)
@@ -180,13 +204,17 @@ def library_usage(files: DataFrame) -> DataFrame:
     The file's name tells how it is read; a file of another kind, or one that can't be parsed, has none.
     """
     schema = arrow_schema(_USAGE)
+    readers = ((".twig", _attached_in_twig), ((".yml", ".yaml"), _attached_in_yaml), ((".php", ".module", ".inc", ".install", ".theme", ".profile"), _attached_in_php))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for path, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                read = next((f for ends, f in ((".twig", _attached_in_twig), ((".yml", ".yaml"), _attached_in_yaml), ((".php", ".module", ".inc", ".install", ".theme", ".profile"), _attached_in_php)) if path and path.endswith(ends)), None)
-                found = {x for x in read(text) if _LIBRARY.fullmatch(x[0])} if read and text else set()
-                places = Offsets(text or "", [p for _, p in found])
-                yield pa.RecordBatch.from_pylist([{"file_path": path, "fqn": fqn, "byte_start": places.byte(p), "line_start": places.line(p)} for fqn, p in found], schema)
+                read = next((f for ends, f in readers if path and path.endswith(ends)), None)
+                uses = {x for x in read(text) if _LIBRARY.fullmatch(x[0])} if read and text else set()
+                places = Offsets(text or "", [p for _, p in uses])
+                yield from ((path, fqn, places.byte(p), places.line(p)) for fqn, p in uses)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batched(found(batches), schema)
 
     return files.select("file_path", "text").mapInArrow(run, _USAGE).dropDuplicates(["file_path", "fqn", "byte_start"])

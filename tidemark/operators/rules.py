@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.extract import arrow_schema
+from tidemark.operators.extract import arrow_schema, batched
 from tidemark.operators.lineage import checkpointed
 from tidemark.operators.manifests import as_json, load
 
@@ -86,14 +86,16 @@ def import_rule_files(files: DataFrame) -> DataFrame:
     schema = arrow_schema(RULE.replace("double", "string"))
     schema = schema.set(schema.get_field_index("confidence"), pa.field("confidence", pa.float64()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for path, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 reader = next((r for end, r in KINDS.items() if (path or "").endswith(end)), None)
                 data = load(text)[0] if reader and text else None
-                rows = [(path, *x) for x in reader(data)] if isinstance(data, dict) else []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                if isinstance(data, dict):
+                    yield from ((path, *x) for x in reader(data))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batched(told(batches), schema)
 
     found = checkpointed(files.select("file_path", "text").mapInArrow(run, RULE))
     rewritten = found.where("change_type = 'function_call_rewrite'").select(F.col("old_fqn").alias("known")).distinct()

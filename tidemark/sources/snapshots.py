@@ -58,6 +58,11 @@ def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(MATCHES_SQL.replace("from lineitem", "from {lineitem}"), lineitem=read(spark, sf_dir, "lineitem"))
 
 
+def spread(files: DataFrame) -> DataFrame:
+    """Made files over all cores: what is parsed costs more than its few bytes tell the planner."""
+    return files.repartition(files.sparkSession.sparkContext.defaultParallelism, "file_path")
+
+
 def project_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PHP files of a project, one an order, with a statement for each of its lines.
 
@@ -85,7 +90,7 @@ def project_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     statement = F.element_at(F.array(*forms), (F.col("form") + 1).cast("int"))
     rows = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", statement.alias("s")))).alias("rows"))
     text = F.concat(F.lit("<?php\n"), F.array_join(F.col("rows.s"), "\n"))
-    return rows.select(F.concat(F.lit("src/o"), "l_orderkey", F.lit(".php")).alias("file_path"), F.lit("php").alias("language"), text.alias("text"))
+    return spread(rows.select(F.concat(F.lit("src/o"), "l_orderkey", F.lit(".php")).alias("file_path"), F.lit("php").alias("language"), text.alias("text")))
 
 
 def project_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +115,7 @@ def project_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def class_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PHP files that declare things, one a part: a class with members, a function, an interface."""
-    return read(spark, sf_dir, "part").select(F.concat(F.lit("src/c"), "p_partkey", F.lit(".module")).alias("file_path"), F.lit("php").alias("language"), F.expr(CLASS_TEXT).alias("text"))
+    return spread(read(spark, sf_dir, "part").select(F.concat(F.lit("src/c"), "p_partkey", F.lit(".module")).alias("file_path"), F.lit("php").alias("language"), F.expr(CLASS_TEXT).alias("text")))
 
 
 CLASS_TEXT = r"""concat('<?php
@@ -245,4 +250,4 @@ from part
 
 
 def manifest_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return over_part(spark, sf_dir, MANIFEST_SQL)
+    return spread(over_part(spark, sf_dir, MANIFEST_SQL))
