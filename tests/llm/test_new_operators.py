@@ -97,6 +97,16 @@ def test_fix_up_passes_reach_what_one_chunk_gives(spark):
     assert report(spark, table, 4) == report(spark, table, 4096)
 
 
+def test_passes_grow_with_the_logarithm_of_the_chunks(spark, monkeypatch):
+    """A long conversation whose rows must all go but the first hands the end's vector through every chunk."""
+    passes, rerun = [], conversations._rerun
+    monkeypatch.setattr(conversations, "_rerun", lambda *a: passes.append(1) or rerun(*a))
+    monkeypatch.setattr(conversations, "WIDER", 4)
+    table = [(7, 0, "user", "First.")] + [(7, t, "user", " ") for t in range(1, 400)] + [(7, 400, "assistant", "Last.")]
+    assert report(spark, table, 3) == plain_report(table)
+    assert len(passes) <= 6
+
+
 def test_codec_equals_the_library(spark):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -250,29 +250,61 @@ def with_later_duplicates(pieces: DataFrame) -> DataFrame:
     return marked.withColumn("faults", _with_duplicates("faults", "more")).drop("in_chunk", "more")
 
 
+#: How many times as many neighbouring chunks a pass runs through in one go than the pass before.
+WIDER = 32
+
+
 def converged(programs: DataFrame) -> DataFrame:
-    """(conv_id, chunk, behind, last): each chunk's true cost vector behind its rows, up to a constant.
+    """(chunk, behind, last): each chunk's true cost vector behind its rows, up to a constant.
 
-    ``programs`` has conv_id, chunk and codes. Each pass reruns only chunks whose vector was wrong.
+    ``programs`` has conv_id, chunk and codes. A pass reruns the chunks whose vector was wrong,
+    and no others. Chunks of most conversations forget what was behind them, so one pass is the
+    rule; where vectors pass through unchanged (rows that all must go, say) a pass hands them on
+    along runs of chunks, ``WIDER`` times as long in each pass, a chunk in memory at a time. So
+    passes grow with the logarithm of a conversation's chunks.
     """
     along = Window.partitionBy("conv_id").orderBy("chunk")
     at_end = F.array(*map(F.lit, AT_END))
-    start = programs.select("conv_id", "chunk", F.lead("chunk").over(along).isNull().alias("last"), at_end.alias("behind"))
-    vectors = staged(_rerun(start, programs), "viterbi")
+    start = programs.select("conv_id", "chunk", (F.row_number().over(along) - 1).alias("number"), F.lead("chunk").over(along).isNull().alias("last"), at_end.alias("behind"))
+    first = start.join(programs.select(F.col("chunk").alias("of"), "codes"), F.col("chunk") == F.col("of")).withColumn("before", _vector_before("codes", "behind"))
+    vectors, width = staged(first.select(*_VECTOR), "viterbi"), 1
     while True:
-        actual = F.coalesce(F.lead("before").over(along), at_end)
-        wrong = vectors.withColumn("actual", actual).where("actual <> behind")
+        led = vectors.withColumns({"actual": F.coalesce(F.lead("before").over(along), at_end), "run": F.floor(F.col("number") / width)})
+        wrong = staged(led.where("actual <> behind").select(F.col("conv_id").alias("c"), F.col("run").alias("r")).distinct(), "viterbi-wrong")
         if wrong.isEmpty():
             return vectors.select("chunk", "behind", "last")
-        wrong = staged(wrong.drop("behind", "before").withColumnRenamed("actual", "behind"), "viterbi-wrong")
-        kept = vectors.join(wrong.select("chunk"), "chunk", "left_anti").select("conv_id", "chunk", "last", "behind", "before")
-        vectors = staged(kept.unionByName(_rerun(wrong, programs)), "viterbi")
+        touched = F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("run") == F.col("r"))
+        again = _rerun(led.join(wrong, touched, "left_semi"), programs)
+        vectors = staged(led.join(wrong, touched, "left_anti").select(*_VECTOR).unionByName(again), "viterbi")
+        width *= WIDER
+
+
+_VECTOR = ("conv_id", "chunk", "number", "last", "behind", "before")
+
 
+def _rerun(runs: DataFrame, programs: DataFrame) -> DataFrame:
+    """Vectors of whole runs of chunks from what is behind each run; a chunk that had the right one keeps its own."""
+    small_batches(runs.sparkSession)
+    joined = runs.join(programs.select(F.col("chunk").alias("of"), "codes"), F.col("chunk") == F.col("of"))
+    kind = T.StructType([runs.schema[c] for c in _VECTOR])
 
-def _rerun(starts: DataFrame, programs: DataFrame) -> DataFrame:
-    codes = programs.select(F.col("chunk").alias("of"), "codes")
-    found = starts.join(codes, starts["chunk"] == codes["of"]).withColumn("before", _vector_before("codes", "behind"))
-    return found.select("conv_id", "chunk", "last", "behind", "before")
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        schema, run, vector = to_arrow_schema(kind), None, None
+        for batch in batches:
+            done = []
+            for conv, chunk, number, last, behind, before, actual, at, codes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (conv, at) != run:
+                    run, vector = (conv, at), tuple(actual)
+                if vector != tuple(behind):
+                    behind, before = list(vector), list(backward(codes, vector)[0])
+                done.append((conv, chunk, number, last, behind, before))
+                vector = tuple(before)
+            yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], f.type) for k, f in enumerate(schema)], schema=schema)
+
+    ordered = joined.repartition("conv_id", "run").sortWithinPartitions("conv_id", "run", F.desc("chunk"))
+    return ordered.select(*_VECTOR, "actual", "run", "codes").mapInArrow(go, kind)
 
 
 def entries(programs: DataFrame, vectors: DataFrame) -> DataFrame:
