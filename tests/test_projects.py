@@ -103,3 +103,16 @@ def test_edits_by_pieces_equal_edits_one_by_one():
             new = draw.choice([piece, "X", "long new text", ""])
             found.append({"id": k, "byte_start": place[0], "byte_end": place[1], "matched_source": piece, "fix_template": draw.choice([json.dumps({"type": "string_replace", "old": piece, "new": new})] * 4 + ["{}", None])})
         assert edits._walk(data, found) == slow_walk(data, found)
+
+
+def test_calls_of_a_long_file_meet_the_symbol_before(spark):
+    from tidemark.operators import reports
+
+    draw = random.Random(12)
+    row = lambda k: (k, draw.choice(["hot"] * 6 + ["b", None]), draw.randrange(200))
+    symbols, calls = [row(k) for k in range(120)], [row(k + 1000) for k in range(300)]
+    kind = "id long, file_path string, line_start long"
+    found = {r.call_id: r.symbol_id for r in reports.attached(spark.createDataFrame(calls, kind).repartition(5), spark.createDataFrame(symbols, kind)).collect()}
+    want = {c: max(((line, s) for s, g, line in symbols if g == f and line <= at), default=(0, None))[1] for c, f, at in calls}
+    assert found == want
+    assert reports.attached(spark.createDataFrame([], kind), spark.createDataFrame(symbols, kind)).count() == 0

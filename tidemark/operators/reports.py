@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.classify import category
+from tidemark.operators.lineage import checkpointed
 
 # Change types of removed structured entries and of what libraries lost, and their severities.
 REMOVAL_TYPES = {
@@ -217,12 +218,21 @@ def backfilled(matches: DataFrame) -> DataFrame:
 def attached(calls: DataFrame, symbols: DataFrame) -> DataFrame:
     """(call id, symbol id): each call of a file with the last symbol that starts before it there, as-of by line.
 
-    One window over the file's symbols and calls together; a call before all symbols has none.
+    Symbols and calls are sorted together by ranges of file and line, so a long file is spread
+    over many. A range looks back in itself first, and then to the last symbol that earlier
+    ranges have of the file, one row a range and file. A call before all symbols has none.
     """
     both = symbols.select("file_path", "line_start", F.col("id").alias("symbol_id"), F.lit(None).cast("long").alias("call_id"))
     both = both.unionByName(calls.select("file_path", "line_start", F.lit(None).cast("long").alias("symbol_id"), F.col("id").alias("call_id")))
-    before = Window.partitionBy("file_path").orderBy("line_start", F.col("call_id").asc_nulls_first(), "symbol_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return both.withColumn("symbol_id", F.last("symbol_id", ignorenulls=True).over(before)).where("call_id is not null").select("call_id", "symbol_id")
+    order = [F.col("file_path").asc_nulls_first(), F.col("line_start").asc_nulls_first(), F.col("call_id").asc_nulls_first(), F.col("symbol_id").asc_nulls_first()]
+    placed = checkpointed(both.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())).withColumn("range_no", F.shiftright("at", 33))
+    inside = Window.partitionBy("range_no", "file_path").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = placed.withColumn("near", F.last("symbol_id", ignorenulls=True).over(inside))
+    earlier = Window.partitionBy("file_path").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
+    every = placed.groupBy("file_path", "range_no").agg(F.max_by("symbol_id", F.when(F.col("symbol_id").isNotNull(), F.col("at"))).alias("end"))
+    far = every.select(F.col("file_path").alias("of"), F.col("range_no").alias("no"), F.last("end", ignorenulls=True).over(earlier).alias("far"))
+    met = near.where("call_id is not null").join(far, F.col("file_path").eqNullSafe(F.col("of")) & (F.col("range_no") == F.col("no")), "left")
+    return met.select("call_id", F.coalesce("near", "far").alias("symbol_id"))
 
 
 def library_matches(usage: DataFrame, changes: DataFrame) -> DataFrame:
