@@ -76,3 +76,24 @@ def test_plan_of_nothing(spark):
     assert planning.plan_order(n, e).count() == 0
     one = spark.createDataFrame([(1,)], "node long")
     assert [tuple(r) for r in planning.plan_order(one, e).collect()] == [(1, 1, 0, 0)]
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_hotspots_with_cycles(spark, seed):
+    draw = random.Random(seed)
+    score = {x: draw.randrange(9) for x in range(18)}
+    edges = [(draw.randrange(20), draw.randrange(20)) for _ in range(26)]
+    near = {x: {b for a, b in edges if a == x and b in score} for x in score}
+
+    def reach(x):
+        seen, todo = set(), [x]
+        while todo:
+            for y in near[todo.pop()] - seen:
+                seen.add(y)
+                todo.append(y)
+        return seen - {x}
+
+    n = spark.createDataFrame(list(score.items()), "node long, score long")
+    found = [tuple(r) for r in planning.hotspots(n, spark.createDataFrame(edges, "node long, reached long")).collect()]
+    want = [(x, s, sum(score[y] for y in reach(x)), s + sum(score[y] for y in reach(x))) for x, s in score.items()]
+    assert found == sorted(want, key=lambda r: (-r[3], -r[1], r[0]))

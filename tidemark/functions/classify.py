@@ -42,9 +42,16 @@ def severity_score(severity: Column, n: Column | None = None) -> Column:
     return out * (F.lit(1) if n is None else n)
 
 
-def language(path: Column) -> Column:
-    """The language of a file by the ending of its name, whatever its case; null if none."""
+
+
+def language(path: Column, ecosystem: str = "cms") -> Column:
+    """The language of a file by the ending of its name, whatever its case; null if none.
+
+    A framework's project is scanned for files that end in .php alone.
+    """
     name, out = F.lower(F.element_at(F.split(path, "/"), -1)), None
+    if ecosystem == "framework":
+        return F.when(name.endswith(".php"), "php")
     for lang, endings in LANGUAGES:
         fits = F.lit(False)
         for ending in endings:

@@ -126,12 +126,21 @@ def plan_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def hotspots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Per node its own score, the scores of all it depends on, and their sum; the hottest first."""
+    """Per node its own score, the scores of all it depends on, and their sum; the hottest first.
+
+    The members of a cycle depend on the same nodes, so only components are followed: pairs are
+    of components, and a cycle of any size is one.
+    """
     own = nodes.select("node", "score")
-    far = closure(edges).where("node <> reached").join(own.select(F.col("node").alias("reached"), F.col("score").alias("s")), "reached")
-    total = far.groupBy("node").agg(F.sum("s").alias("dependency_score"))
-    out = own.join(total, "node", "left").fillna(0, ["dependency_score"])
-    return out.withColumn("hotspot", F.col("score") + F.col("dependency_score")).orderBy(F.desc("hotspot"), F.desc("score"), "node")
+    of = checkpointed(components(nodes, edges))
+    scored = own.join(of, "node")
+    totals = scored.groupBy("component").agg(F.sum("score").alias("total"))
+    far_ends = of.select(F.col("node").alias("reached"), F.col("component").alias("needs"))
+    between = edges.join(of, "node").join(far_ends, "reached").where("component <> needs").select(F.col("component").alias("node"), F.col("needs").alias("reached"))
+    far = closure(between).join(totals.select(F.col("component").alias("reached"), F.col("total").alias("s")), "reached").groupBy(F.col("node").alias("component")).agg(F.sum("s").alias("beyond"))
+    out = scored.join(totals, "component").join(far, "component", "left").withColumn("dependency_score", F.col("total") - F.col("score") + F.coalesce("beyond", F.lit(0)))
+    out = out.select("node", "score", "dependency_score").withColumn("hotspot", F.col("score") + F.col("dependency_score"))
+    return out.orderBy(F.desc("hotspot"), F.desc("score"), "node")
 
 
 def project_nodes(extensions: DataFrame, groups: DataFrame) -> DataFrame:
