@@ -175,3 +175,14 @@ def test_a_long_text_takes_linear_time():
 
     took(100)
     assert took(16000) < 12 * took(4000)
+
+
+def test_ids_of_annotations_and_versions_of_triggered_deprecations():
+    from tidemark.operators.php import annotated_id
+
+    assert annotated_id('/**\n * @Block(\n *   id = "a_b",\n *   label = @T("x")\n * )\n */') == ("Block", "a_b")
+    assert annotated_id("@X(label = @T(\"id\"), id: 'q')") == ("X", "q") and annotated_id('@see id = "no" (id = "no")') is None
+    assert annotated_id('@One(a = "b") @Two(valid = "x", id="two")') == ("Two", "two") and annotated_id("@X(id = '')") is None and annotated_id("@X(id = \"open") is None
+    calls = "<?php function f() { trigger_deprecation('my/pack', '5.1', 'Use %s instead.', g(1, 2)); } function h() { trigger_deprecation($p, VERSION, ''); }"
+    f, h = scan("x.php", calls).symbols
+    assert (f["is_deprecated"], f["deprecation_version"], json.loads(f["metadata_json"])) == (1, "5.1", {"replacement_hint": "%s"}) and (h["is_deprecated"], h["deprecation_version"]) == (1, None)

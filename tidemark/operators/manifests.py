@@ -187,6 +187,10 @@ def _component(path: str, data: dict, whole: tuple[int, int]) -> dict:
     return _symbol("component", path.rsplit("/", 1)[-1].removesuffix(".component.yml"), canonical(data), metadata, whole)
 
 
+# Fixed value: the folders of exported configuration.
+EXPORTS = ("db/config", "config/sync")
+
+
 def yaml_symbols(path: str, text: str) -> Iterator[dict]:
     """Manifests, link entries, recipes, components, exported configuration, services, routes, permissions and schemas.
 
@@ -203,7 +207,7 @@ def yaml_symbols(path: str, text: str) -> Iterator[dict]:
         yield _recipe(path, data, whole)
     elif name.endswith(".component.yml"):
         yield _component(path, data, whole)
-    elif re.search(r"(^|/)(db/config|config/sync)/[^/]+\.ya?ml$", path):
+    elif name.endswith((".yml", ".yaml")) and f"/{path.rpartition('/')[0]}".endswith(tuple(f"/{x}" for x in EXPORTS)):
         yield _config(path, data, whole)
     elif name.endswith("services.yml"):
         yield from _services(data, places)

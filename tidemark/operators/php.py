@@ -261,9 +261,9 @@ class _Reader:
         mine.append(symbol)
         if kind != "class":
             return
-        told = re.search(r"""@(\w+)\s*\(\s*.*?\bid\s*[:=]\s*["']([^"']+)["']""", symbol["docblock"] or "", re.S)
+        told = annotated_id(symbol["docblock"] or "")
         if told:
-            mine.append(self.again(symbol, "plugin_definition", told[2], told[1], {"plugin_type": told[1], "plugin_id": told[2]}))
+            mine.append(self.again(symbol, "plugin_definition", told[1], told[0], {"plugin_type": told[0], "plugin_id": told[1]}))
         if any(i.rsplit("\\", 1)[-1] == "EventSubscriberInterface" for i in interfaces):
             mine.append(self.again(symbol, "event_subscriber", fqn, name, {"events": self.subscribed(j)}))
         for plugin in self.waiting_attributes(first, k):
@@ -414,13 +414,23 @@ class _Reader:
             j += 1
         return first
 
+    def plain_arguments(self, opening: int) -> list[str | None]:
+        """The arguments between two parentheses that are a single string, as what that holds; None for others."""
+        close, found, first, j = self.pairs[opening][0], [], opening + 1, opening + 1
+        while j <= close:
+            if j == close or self.at(j) == ",":
+                found.append(self.literal(first) if j == first + 1 else None)
+                first = j + 1
+            j = self.pairs[j][0] + 1 if j in self.pairs and j != close else j + 1
+        return found
+
     def deprecated_by_call(self, k: int, name: str) -> None:
         """A call that triggers a deprecation tells about the declaration that was read last."""
         if name not in ("trigger_error", "trigger_deprecation") or not self.out.symbols:
             return
         told = self.text[self.code[k + 1][1] : self.end_of(self.pairs[k + 1][0])]
-        if name == "trigger_deprecation":
-            versions = (_one(r""",\s*['"](\d+\.\d+)['"],""", told), None)
+        if name == "trigger_deprecation":  # (package, version, message, ...)
+            versions = (next(iter([v for v in self.plain_arguments(k + 1)[1:2] if v]), None), None)
         else:
             versions = (_one(rf"is deprecated in {self.package}:(\d+\.\d+\.\d+)", told), _one(rf"is removed from {self.package}:(\d+\.\d+\.\d+)", told))
         last, hint = self.out.symbols[-1], _one(r"Use (.+?) instead", told)
@@ -429,6 +439,31 @@ class _Reader:
             last["metadata_json"] = json.dumps({"replacement_hint": hint})
 
 
+_ANNOTATION = re.compile(r"@(?P<name>\w+)\s*\(|(?P<text>\"[^\"]*\"|'[^']*')|(?P<word>\w+)|(?P<mark>\S)")
+
+
+def annotated_id(doc: str) -> tuple[str, str] | None:
+    """Name and id of the first annotation of a docblock whose own arguments name an id.
+
+    Words are read one by one with the open annotations; ``id`` counts where an equals sign or a
+    colon and a text follow it, and belongs to the outermost annotation that is open.
+    """
+    names: list[str] = []
+    depth, last = 0, []
+    for m in _ANNOTATION.finditer(doc):
+        if m["name"]:
+            names.append(m["name"])
+            depth += 1
+        elif m["mark"] in ("(", ")"):
+            depth += 1 if m["mark"] == "(" else -1
+            names = names if depth > 0 else []
+            depth = max(depth, 0)
+        elif names and m["text"] and last[-2:] in (["id", "="], ["id", ":"]) and len(m["text"]) > 2:
+            return names[0], m["text"][1:-1]
+        last = [*last[-1:], m.group()]
+    return None
+
+
 def _one(pattern: str, text: str) -> str | None:
     found = re.search(pattern, text, re.S)
     return found[1].strip() if found else None
