@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.classify import category
-from tidemark.operators.lineage import checkpointed
+from tidemark.operators.lineage import checkpointed, meet
 
 # Change types of removed structured entries and of what libraries lost, and their severities.
 REMOVAL_TYPES = {
@@ -123,17 +123,19 @@ def contained(paths: DataFrame, names: DataFrame) -> DataFrame:
     Distinct paths are cut into their grams, and every name meets them by that one of its own
     grams which the fewest paths have, an equi-join; only such pairs are compared. So what
     names begin with alike doesn't bring them together. Names shorter than a gram meet paths by
-    grams of their own length.
+    grams of their own length. Grams that no name has are dropped where paths are cut: the
+    names' distinct grams are sent to all tasks, as many as letters make, not as there are names.
     """
     each = names.select("machine_name").distinct().where("machine_name <> ''")
     sizes = F.explode(F.array(*(F.lit(k) for k in range(1, GRAM + 1)))).alias("size")
     cut = paths.select("file_path").distinct().select("file_path", sizes).where(F.length("file_path") >= F.col("size"))
+    own = each.select("machine_name", F.explode(F.array_distinct(_grams("machine_name", F.least(F.length("machine_name"), F.lit(GRAM))))).alias("gram"))
     grams = cut.select("file_path", F.explode(F.array_distinct(_grams("file_path", F.col("size")))).alias("gram"))
+    grams = grams.join(F.broadcast(own.select("gram").distinct()), "gram", "left_semi")
     common = grams.groupBy("gram").agg(F.count("*").alias("paths"))
-    own = each.select("machine_name", F.explode(F.array_distinct(_grams("machine_name", F.least(F.length("machine_name"), F.lit(GRAM))))).alias("gram"))
     # A gram that no path has is the rarest of all: its name is nowhere.
-    rarest = own.join(common, "gram", "left").groupBy("machine_name").agg(F.min_by("gram", F.struct(F.coalesce("paths", F.lit(0)), F.col("gram"))).alias("gram"))
-    met = grams.join(rarest, "gram").where(F.lower("file_path").contains(F.lower("machine_name")))
+    rarest = meet(own, common, "gram", "left").groupBy("machine_name").agg(F.min_by("gram", F.struct(F.coalesce("paths", F.lit(0)), F.col("gram"))).alias("gram"))
+    met = meet(grams, rarest, "gram").where(F.lower("file_path").contains(F.lower("machine_name")))
     return met.select("file_path", "machine_name").distinct()
 
 
