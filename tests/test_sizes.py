@@ -3,6 +3,7 @@
 import re
 
 from tidemark.operators import references
+from tidemark.operators.lineage import blocked
 from tidemark.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -15,3 +16,21 @@ def plan(frame):
 def test_a_search_sends_no_references_through_the_driver(spark):
     joins = re.findall(r"BroadcastHashJoin .*", plan(registry.QUERIES["semantic_search"](spark, SF)))
     assert all("LeftSemi, BuildRight" in x for x in joins)
+
+
+def test_links_are_given_once_where_they_are_made(spark):
+    """A pair that shares two keys comes once, and no pass over all pairs stands behind the joins."""
+    rows = [(1, 1, "libraries", "library", "l", "x", None, '{"asset_paths":["a.js","b.js"]}')]
+    rows += [(1, 2, "javascript", "function", f"f{p}", p, None, None) for p in ("a.js", "b.js")] + [(1, 3, "css", "selector", "s", "a.js", None, None)]
+    frame = spark.createDataFrame(rows, "version_id int, id long, language string, symbol_type string, fqn string, file_path string, signature_json string, metadata_json string")
+    found = references.links(frame)
+    want = [(1, 1, "css_asset_symbol", 3), (1, 1, "javascript_asset_symbol", 2), (1, 2, "declared_by_library", 1), (1, 3, "declared_by_library", 1)]
+    assert sorted(map(tuple, found.collect())) == want
+    assert re.match(r"(AdaptiveSparkPlan.*\n\+- (== Final Plan ==\n)?\s*)?Union|AdaptiveSparkPlan[^\n]*\n\+- [^\n]*\n\s+(\w+QueryStage[^\n]*\n\s+\+- )?Union", plan(references.links(frame)))
+
+
+def test_blocks_keep_their_tasks(spark):
+    a, b = (spark.range(9000).selectExpr(f"id as {c}", "concat('k', id % 2) as k") for c in "xy")
+    met = blocked(a, b, ["k"], "x", "y")
+    assert met.rdd.getNumPartitions() == 16 * spark.sparkContext.defaultParallelism
+    assert met.count() == 2 * 4500**2
