@@ -2,6 +2,8 @@
 
 import re
 
+import pytest
+
 from tidemark.operators import references
 from tidemark.operators.lineage import blocked
 from tidemark.plans import registry
@@ -34,3 +36,8 @@ def test_blocks_keep_their_tasks(spark):
     met = blocked(a, b, ["k"], "x", "y")
     assert met.rdd.getNumPartitions() == 16 * spark.sparkContext.defaultParallelism
     assert met.count() == 2 * 4500**2
+
+
+@pytest.mark.parametrize("name", ["structured_renames", "similar_names", "rename_scores"])
+def test_pairs_are_made_in_many_tasks(spark, name):
+    assert registry.QUERIES[name](spark, SF).rdd.getNumPartitions() >= 16 * spark.sparkContext.defaultParallelism
