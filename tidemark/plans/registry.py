@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import jsonpath
 from tidemark.functions.classify import category, language, namespace_moved, risk, severity_score
 from tidemark.operators import diff, edits, extract, matches, merge, planning, relations, rename, reports, similar
+from tidemark.operators.lineage import blocked, meet
 from tidemark.sources import files, snapshots
 from tidemark.streaming import logs
 
@@ -103,7 +104,7 @@ def _similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = (v.select("symbol_type", "id", "name") for v in snapshots.both(spark, sf_dir))
     names = similar.similar_pairs(old, new, ["symbol_type"], 0.7)
     o, n = (v.select("symbol_type", F.col("id").alias(f"{side}_id"), F.col("name").alias(f"{side}_name")) for v, side in ((old, "left"), (new, "right")))
-    met = o.join(names, ["symbol_type", "left_name"]).join(n, ["symbol_type", "right_name"])
+    met = blocked(meet(o, names, ["symbol_type", "left_name"]), n, ["symbol_type", "right_name"], "left_id", "right_id")
     return met.select(F.col("left_id").alias("old_id"), F.col("right_id").alias("new_id"), F.round("score", 6).alias("score"))
 
 
