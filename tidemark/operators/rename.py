@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.similarity import similarity, text_similarity
-from tidemark.operators.lineage import checkpointed
+from tidemark.operators.lineage import blocked, checkpointed, meet
 
 #: Score from which a pair counts as a rename.
 ACCEPT = 0.70
@@ -24,9 +24,10 @@ def candidates(gone: DataFrame, fresh: DataFrame, accept: float = ACCEPT) -> Dat
     empty) and, at the least, names that are half alike: pairs without are never looked
     at, and none that reaches ``accept`` (0.65 or more) is lost.
 
-    Distinct names of a signature meet first, by lengths that allow such a similarity;
-    symbols are joined to the names that agree. A common signature's names are dealt over
-    ``SALTS`` tasks.
+    Distinct names of a signature meet first, by lengths that allow such a similarity, dealt
+    over ``SALTS`` tasks if a signature is common. Symbols of equal name, namespace and source
+    are one variant: each pair of variants is scored once, and symbols meet by the variants
+    that agree.
     """
     if accept < 0.65:
         raise ValueError("pairs below 0.65 are not looked for")
@@ -38,13 +39,26 @@ def candidates(gone: DataFrame, fresh: DataFrame, accept: float = ACCEPT) -> Dat
     size = lambda side: F.octet_length(f"{side}_name")
     near = 2 * F.least(size("old"), size("new")) > F.greatest(size("old"), size("new"))
     alike = names.join(others, [*block, "salt"]).where(near).where(similarity(F.col("old_name"), F.col("new_name")) > 0.5).drop("salt")
-    pairs = a.join(alike, [*block, "old_name"]).join(b, [*block, "new_name"])
+    told = ["name", "namespace", "source_text"]
+    variants = {}
+    for df, side in ((a, "old"), (b, "new")):
+        own = [F.coalesce(F.col(f"{side}_{c}"), F.lit("")) for c in told] + [F.col(f"{side}_{c}").isNull() for c in told]
+        variants[side] = df.withColumn(f"{side}_variant", F.sha2(F.to_json(F.array(*(x.cast("string") for x in own))), 256))
+    each = {side: df.select(*block, *(f"{side}_{c}" for c in (*told, "variant"))).distinct() for side, df in variants.items()}
+    agreed = meet(meet(each["old"], alike, [*block, "old_name"]), each["new"], [*block, "new_name"])
+    agreed = agreed.withColumns({f"{side}_signature_json": F.col("signature_json") for side in ("old", "new")})
+    agreed = checkpointed(agreed.withColumn("score", _variant_score()).where(F.col("score") >= accept).select(*block, "old_variant", "new_variant", "score"))
+    asking = meet(variants["old"], agreed, [*block, "old_variant"]).drop("old_variant")
+    pairs = blocked(asking, variants["new"], [*block, "new_variant"], "old_id", "new_id").drop("new_variant").where("old_fqn is null or new_fqn is null or old_fqn <> new_fqn")
     sides = [F.col(c).alias(f"{side}_{c}") for side in ("old", "new") for c in block]
-    pairs = pairs.select(*sides, *(f"{side}_{c}" for side in ("old", "new") for c in keep if c not in block))
-    return pairs.withColumn("score", score()).where(F.col("score") >= accept)
+    return pairs.select(*sides, *(f"{side}_{c}" for side in ("old", "new") for c in keep if c not in block), "score")
 
 
 def score():
+    return F.when(F.col("old_fqn") == F.col("new_fqn"), 0.0).otherwise(_variant_score())
+
+
+def _variant_score():
     names = similarity(F.col("old_name"), F.col("new_name"))
     equal = F.coalesce((F.col("old_signature_json") == F.col("new_signature_json")) & (F.col("old_signature_json") != ""), F.lit(False))
     base = F.when(equal, 0.5).otherwise(0.0) + 0.3 * names
@@ -53,7 +67,7 @@ def score():
     long = F.greatest(F.octet_length("old_source_text"), F.octet_length("new_source_text")) > 1000
     source = F.when(long, 0.1).otherwise(text_similarity(plain("old"), plain("new")))
     more = F.when((base > 0.4) & (names > 0.5), same + 0.1 * F.coalesce(source, F.lit(0.0))).otherwise(0.0)
-    return F.when(F.col("old_fqn") == F.col("new_fqn"), 0.0).otherwise(F.least(F.lit(1.0), base + more))
+    return F.least(F.lit(1.0), base + more)
 
 
 def assign(pairs: DataFrame, accept: float = ACCEPT) -> DataFrame:
