@@ -69,5 +69,5 @@ union all select 'r/' || k || '.functions.yml', case when z % 2 = 0 then 'functi
 union all select 'r/' || k || '.rewriters.yml', 'variable_access_replaced', 'node.p' || k, 'N::get' || z || '()', '$node->p' || k || ' → $node->get' || z || '()', 0.7 from p where form = 2""",
 )
 def _imported_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = rules.import_rule_files(snapshots.over_part(spark, sf_dir, _RULES))
+    found = rules.import_rule_files(snapshots.spread(snapshots.over_part(spark, sf_dir, _RULES)))
     return found.select("file_path", "change_type", "old_fqn", "new_fqn", "migration_hint", "confidence")
