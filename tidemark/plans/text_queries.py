@@ -52,7 +52,7 @@ select 's' || k || '.html.twig' as file_path, fqn, (25 + strlen('{% include "inc
 union all select 's' || k || '.yml', fqn, (9 + 11 + 4)::bigint, 3 from p union all select 's' || k || '.module', fqn, (6 + strlen('// $x["library"][] = "no/no";') + 1 + strlen('$b["é"]["library"][] = "'))::bigint, 3 from p""",
 )
 def _library_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.library_usage(snapshots.over_part(spark, sf_dir, _TEXTS))
+    return extract.library_usage(snapshots.spread(snapshots.over_part(spark, sf_dir, _TEXTS)))
 
 
 _STYLES = """select concat('c', p_partkey, '.css') as file_path, concat('.a', p_partkey, ', #b', p_size, ' { color: #fff; margin: .5em }
