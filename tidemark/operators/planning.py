@@ -4,15 +4,77 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
-from tidemark.operators.lineage import checkpointed
+from tidemark.operators.lineage import checkpointed, meet
 
 
-def closure(edges: DataFrame, most: int = 64) -> DataFrame:
+#: Elements of its dependencies' sets up to which a node's own set is made in one row.
+SET = 10_000
+
+
+def closure(edges: DataFrame, most: int = 64, largest: int = SET) -> DataFrame:
     """(node, reached) of every node that a path of one or more edges leads to.
 
+    A node's set is made once, of those of its dependencies: nodes that nothing depends on are
+    taken off in rounds (``_ranked``), and in the opposite order each edge takes the set at its
+    end to its start. So a pair moves as often as its node has edges, not once for each node
+    between. Nodes on cycles or long chains, those with more than ``largest`` elements to unite,
+    and all that depend on them go by pairs (``_doubled``).
+    """
+    edges = checkpointed(edges.select("node", "reached").distinct())
+    ranks, left = _ranked(edges)
+    none = F.lit(None).cast(ArrayType(edges.schema["reached"].dataType))
+    sets = left.select("node").distinct().withColumn("far", none)
+    for rank in reversed(ranks):
+        sets = sets.unionByName(checkpointed(_united(rank, sets, largest)))
+    done = sets.where("far is not null").select("node", F.explode("far").alias("reached"))
+    open_ = sets.where("far is null").select("node")
+    if open_.isEmpty():
+        return done
+    own = checkpointed(meet(edges, open_, "node", "left_semi"))
+    known = sets.where("far is not null").select(F.col("node").alias("reached"), "far")
+    beyond = meet(own, known, "reached").select("node", F.explode("far").alias("reached"))
+    return done.unionByName(_doubled(own.unionByName(beyond), most))
+
+
+def _ranked(edges: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Edges by the round in which nothing enters their start any more, and those that are left.
+
+    Each round moves what is left and takes off an eighth of it at least; at less (cycles, long
+    chains) it stops, so all rounds together move no more than eight times the edges.
+    """
+    ranks, n = [], edges.count()
+    while n:
+        entered = edges.select(F.col("reached").alias("node")).distinct().withColumn("entered", F.lit(True))
+        marked = checkpointed(meet(edges, entered, "node", "left"))
+        inner = marked.where("entered").select("node", "reached")
+        kept = inner.count()
+        if (n - kept) * 8 < n:
+            break
+        ranks.append(marked.where("entered is null").select("node", "reached"))
+        edges, n = inner, kept
+    return ranks, edges
+
+
+def _united(rank: DataFrame, sets: DataFrame, largest: int) -> DataFrame:
+    """(node, far) of the starts of edges: all ends and what these reach; null if a set isn't known or they are too many."""
+    known = sets.select(F.col("node").alias("reached"), "far", F.lit(True).alias("known"))
+    met = meet(rank, known, "reached", "left")
+    far = F.when(F.col("known").isNull(), F.array().cast(sets.schema["far"].dataType)).otherwise(F.col("far"))
+    all_ = Window.partitionBy("node")
+    met = met.select("node", F.concat(F.array("reached"), far).alias("far"))
+    fits = F.bool_and(F.col("far").isNotNull()).over(all_) & (F.sum(F.size("far")).over(all_) <= largest)
+    met = met.select("node", fits.alias("fits"), "far")
+    united = F.array_distinct(F.flatten(F.collect_list(F.when(F.col("fits"), F.col("far")))))
+    return met.groupBy("node").agg(F.when(F.bool_and("fits"), united).alias("far"))
+
+
+def _doubled(edges: DataFrame, most: int) -> DataFrame:
+    """The closure by pairs.
+
     A round joins the pairs that were new in the last one with all pairs (so paths double
     while they grow), and only pairs not met before go on; cycles end. Rounds are
     checkpointed.
@@ -21,8 +83,8 @@ def closure(edges: DataFrame, most: int = 64) -> DataFrame:
     fresh = found
     for _ in range(most):
         ahead = found.select(F.col("node").alias("reached"), F.col("reached").alias("further"))
-        longer = fresh.join(ahead, "reached").select("node", F.col("further").alias("reached"))
-        fresh = checkpointed(longer.distinct().join(found, ["node", "reached"], "left_anti"))
+        longer = meet(fresh, ahead, "reached").select("node", F.col("further").alias("reached"))
+        fresh = checkpointed(meet(longer.distinct(), found, ["node", "reached"], "left_anti"))
         if fresh.isEmpty():
             return found
         found = checkpointed(found.unionByName(fresh))
