@@ -58,3 +58,10 @@ def test_closures_of_cycles_chains_and_large_sets(spark, largest):
 
 def test_no_edges_reach_nothing(spark):
     assert planning.closure(spark.createDataFrame([], EDGE)).count() == 0
+
+
+def test_hotspots_move_no_pairs(spark):
+    edges = spark.range(1, 3000).selectExpr("id as node", "explode(array(id div 2, id div 3)) as reached").where("reached > 0")
+    nodes = spark.range(1, 3000).selectExpr("id as node", "id % 7 as score")
+    n, rows = moved(spark, lambda: len(planning.hotspots(nodes, edges).collect()))
+    assert n == 2999 and rows < 60 * n

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
@@ -24,20 +22,27 @@ def closure(edges: DataFrame, most: int = 64, largest: int = SET) -> DataFrame:
     between. Nodes on cycles or long chains, those with more than ``largest`` elements to unite,
     and all that depend on them go by pairs (``_doubled``).
     """
+    sets, pairs = _reached(edges, most, largest)
+    done = sets.select("node", F.explode("far").alias("reached"))
+    return done if pairs is None else done.unionByName(pairs)
+
+
+def _reached(edges: DataFrame, most: int, largest: int) -> tuple[DataFrame, DataFrame | None]:
+    """(node, far) of nodes whose set is made in one row, and (node, reached) of the others if there are any."""
     edges = checkpointed(edges.select("node", "reached").distinct())
     ranks, left = _ranked(edges)
     none = F.lit(None).cast(ArrayType(edges.schema["reached"].dataType))
     sets = left.select("node").distinct().withColumn("far", none)
     for rank in reversed(ranks):
         sets = sets.unionByName(checkpointed(_united(rank, sets, largest)))
-    done = sets.where("far is not null").select("node", F.explode("far").alias("reached"))
+    done = sets.where("far is not null")
     open_ = sets.where("far is null").select("node")
     if open_.isEmpty():
-        return done
+        return done, None
     own = checkpointed(meet(edges, open_, "node", "left_semi"))
-    known = sets.where("far is not null").select(F.col("node").alias("reached"), "far")
+    known = done.select(F.col("node").alias("reached"), "far")
     beyond = meet(own, known, "reached").select("node", F.explode("far").alias("reached"))
-    return done.unionByName(_doubled(own.unionByName(beyond), most))
+    return done, _doubled(own.unionByName(beyond), most)
 
 
 def _ranked(edges: DataFrame) -> tuple[list[DataFrame], DataFrame]:
@@ -99,35 +104,36 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     greatest node that reaches a node is carried forward as its label until nothing changes, and
     what reaches a label's own node inside that label is its component.
     """
-    open_ = checkpointed(_inside(nodes, edges).where("node <> reached"))
+    _, open_ = _ranked(checkpointed(_inside(nodes, edges).where("node <> reached")))
     settled = None
     while True:
         open_ = _trimmed(open_)
         if open_.isEmpty():
             break
         label = _spread(open_, open_.select("node").distinct().withColumn("label", F.col("node")))
-        same = open_.join(label, "node").join(label.select(F.col("node").alias("reached"), F.col("label").alias("other")), "reached").where("label = other").select("node", "reached", "label")
+        same = meet(meet(open_, label, "node"), label.select(F.col("node").alias("reached"), F.col("label").alias("other")), "reached").where("label = other").select("node", "reached", "label")
         found = _reaching(checkpointed(same), label.where("node = label"))
         settled = found if settled is None else checkpointed(settled.unionByName(found))
         gone = found.select("node")
-        open_ = checkpointed(open_.join(gone, "node", "left_anti").join(gone.withColumnRenamed("node", "reached"), "reached", "left_anti").select("node", "reached"))
+        open_ = checkpointed(meet(meet(open_, gone, "node", "left_anti"), gone.withColumnRenamed("node", "reached"), "reached", "left_anti").select("node", "reached"))
     if settled is None:
         return nodes.select("node").distinct().withColumn("component", F.col("node"))
     least = settled.groupBy("label").agg(F.min("node").alias("component"))
-    own = settled.join(least, "label").select("node", "component")
-    return nodes.select("node").distinct().join(own, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    own = meet(settled, least, "label").select("node", "component")
+    return meet(nodes.select("node").distinct(), own, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def _inside(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Distinct edges between given nodes."""
     ends = nodes.select("node").distinct()
-    return edges.select("node", "reached").distinct().join(ends, "node", "left_semi").join(ends.withColumnRenamed("node", "reached"), "reached", "left_semi").select("node", "reached")
+    return meet(meet(edges.select("node", "reached").distinct(), ends, "node", "left_semi"), ends.withColumnRenamed("node", "reached"), "reached", "left_semi").select("node", "reached")
 
 
 def _trimmed(open_: DataFrame) -> DataFrame:
     """Edges whose start is entered and whose end is left by other edges, in rounds."""
     while True:
-        kept = open_.join(open_.select(F.col("reached").alias("node")).distinct(), "node", "left_semi").join(open_.select(F.col("node").alias("reached")).distinct(), "reached", "left_semi")
+        kept = meet(open_, open_.select(F.col("reached").alias("node")).distinct(), "node", "left_semi")
+        kept = meet(kept, open_.select(F.col("node").alias("reached")).distinct(), "reached", "left_semi")
         kept = checkpointed(kept.select("node", "reached"))
         if kept.count() == open_.count():
             return kept
@@ -138,8 +144,8 @@ def _spread(edges: DataFrame, label: DataFrame) -> DataFrame:
     """Each node's greatest label among itself and all that reach it."""
     label = checkpointed(label)
     while True:
-        told = edges.join(label, "node").groupBy("reached").agg(F.max("label").alias("told"))
-        new = label.join(told, label["node"] == told["reached"], "left").select("node", F.greatest("label", F.coalesce("told", "label")).alias("label"), (F.col("told") > F.col("label")).alias("up"))
+        told = meet(edges, label, "node").groupBy(F.col("reached").alias("node")).agg(F.max("label").alias("told"))
+        new = meet(label, told, "node", "left").select("node", F.greatest("label", F.coalesce("told", "label")).alias("label"), (F.col("told") > F.col("label")).alias("up"))
         new = checkpointed(new)
         label = new.select("node", "label")
         if new.where("up").isEmpty():
@@ -150,8 +156,8 @@ def _reaching(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(node, label) of all that reach their label's root by edges inside the label."""
     found = fresh = checkpointed(roots.select("node", "label"))
     while True:
-        before = edges.join(fresh.select(F.col("node").alias("reached"), "label"), ["reached", "label"]).select("node", "label").distinct()
-        fresh = checkpointed(before.join(found, ["node", "label"], "left_anti"))
+        before = meet(edges, fresh.select(F.col("node").alias("reached"), "label"), ["reached", "label"]).select("node", "label").distinct()
+        fresh = checkpointed(meet(before, found, ["node", "label"], "left_anti"))
         if fresh.isEmpty():
             return found
         found = checkpointed(found.unionByName(fresh))
@@ -162,29 +168,39 @@ def plan_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     The level is the longest path of dependencies between components, so every node stands
     behind all it depends on, but for those of its own cycle; these go by ``direct``, the number
-    of dependencies. Components without an open dependency are taken off round by round: a job
-    a level, each over the edges that are left, and no pair of nodes that an edge doesn't have.
-    Edges to other nodes, and repeated ones, don't count.
+    of dependencies. Components that nothing depends on are taken off in rounds (``_ranked``), and
+    in the opposite order each is one level above what it depends on; long chains are left to
+    ``_levels``. No pair of nodes that an edge doesn't have is made. Edges to other nodes, and
+    repeated ones, don't count.
     """
     inside = checkpointed(_inside(nodes, edges))
     of = checkpointed(components(nodes, inside))
     above = of.select(F.col("node").alias("reached"), F.col("component").alias("needs"))
-    waiting = inside.join(of, "node").join(above, "reached").where("component <> needs").select("component", "needs").distinct()
-    waiting = checkpointed(waiting)
-    open_, levels, level = of.select("component").distinct(), [], 0
+    between = meet(meet(inside, of, "node"), above, "reached").where("component <> needs")
+    ranks, left = _ranked(checkpointed(between.select(F.col("component").alias("node"), F.col("needs").alias("reached")).distinct()))
+    known = _levels(left)
+    for rank in reversed(ranks):
+        below = known.select(F.col("node").alias("reached"), "level")
+        met = meet(rank, below, "reached", "left").groupBy("node").agg(F.max(F.coalesce("level", F.lit(0)) + 1).alias("level"))
+        known = known.unionByName(checkpointed(met))
+    direct = inside.groupBy("node").agg(F.count("*").alias("direct"))
+    out = meet(meet(nodes, of, "node", "left"), known.withColumnRenamed("node", "component"), "component", "left")
+    return meet(out, direct, "node", "left").fillna(0, ["level", "direct"]).select(*nodes.columns, "component", "level", "direct")
+
+
+def _levels(edges: DataFrame) -> DataFrame:
+    """(node, level) of all ends of edges without cycles: those without an open dependency are taken off, a job a level."""
+    waiting = edges
+    open_ = edges.select("node").union(edges.select("reached")).distinct()
+    known, level = open_.where("false").withColumn("level", F.lit(0)), 0
     while True:
-        ready = checkpointed(open_.join(waiting.select("component").distinct(), "component", "left_anti").withColumn("level", F.lit(level)))
+        ready = checkpointed(meet(open_, waiting.select("node").distinct(), "node", "left_anti").withColumn("level", F.lit(level)))
         if ready.isEmpty():
-            break
-        levels.append(ready)
-        open_ = checkpointed(open_.join(ready.select("component"), "component", "left_anti"))
-        waiting = checkpointed(waiting.join(ready.select(F.col("component").alias("needs")), "needs", "left_anti"))
+            return known
+        known = known.unionByName(ready)
+        open_ = checkpointed(meet(open_, ready.select("node"), "node", "left_anti"))
+        waiting = checkpointed(meet(waiting, ready.select(F.col("node").alias("reached")), "reached", "left_anti").select("node", "reached"))
         level += 1
-    direct = inside.groupBy("node").agg(F.count("*").alias("direct"))
-    if not levels:
-        return nodes.withColumns({"component": F.col("node"), "level": F.lit(0), "direct": F.lit(0).cast("long")})
-    known = reduce(DataFrame.unionByName, levels)
-    return nodes.join(of, "node", "left").join(known, "component", "left").join(direct, "node", "left").fillna(0, ["direct"]).select(*nodes.columns, "component", "level", "direct")
 
 
 def hotspots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -195,12 +211,21 @@ def hotspots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     own = nodes.select("node", "score")
     of = checkpointed(components(nodes, edges))
-    scored = own.join(of, "node")
-    totals = scored.groupBy("component").agg(F.sum("score").alias("total"))
-    far_ends = of.select(F.col("node").alias("reached"), F.col("component").alias("needs"))
-    between = edges.join(of, "node").join(far_ends, "reached").where("component <> needs").select(F.col("component").alias("node"), F.col("needs").alias("reached"))
-    far = closure(between).join(totals.select(F.col("component").alias("reached"), F.col("total").alias("s")), "reached").groupBy(F.col("node").alias("component")).agg(F.sum("s").alias("beyond"))
-    out = scored.join(totals, "component").join(far, "component", "left").withColumn("dependency_score", F.col("total") - F.col("score") + F.coalesce("beyond", F.lit(0)))
+    scored = meet(own, of, "node")
+    totals = checkpointed(scored.groupBy("component").agg(F.sum("score").alias("total")))
+    # A component's name ends in its total, so that what it is worth goes with it and sums need no pairs.
+    named = F.concat_ws(" ", F.col("component").cast("string"), F.coalesce(F.col("total").cast("string"), F.lit("-")))
+    start = meet(of, totals, "component").select("node", named.alias("start"))
+    end = start.select(F.col("node").alias("reached"), F.col("start").alias("end"))
+    between = meet(meet(edges, start, "node"), end, "reached").where("start <> end").select(F.col("start").alias("node"), F.col("end").alias("reached"))
+    kind = totals.schema["total"].dataType
+    worth = lambda x: F.coalesce(F.substring_index(x, " ", -1).try_cast(kind), F.lit(0).cast(kind))
+    sets, pairs = _reached(between, 64, SET)
+    far = sets.select("node", F.aggregate("far", F.lit(0).cast(kind), lambda s, x: (s + worth(x)).cast(kind)).alias("beyond"))
+    if pairs is not None:
+        far = far.unionByName(pairs.groupBy("node").agg(F.sum(worth(F.col("reached"))).cast(kind).alias("beyond")))
+    out = meet(meet(scored, totals, "component").withColumn("name", named), far.withColumnRenamed("node", "name"), "name", "left")
+    out = out.withColumn("dependency_score", F.col("total") - F.col("score") + F.coalesce("beyond", F.lit(0)))
     out = out.select("node", "score", "dependency_score").withColumn("hotspot", F.col("score") + F.col("dependency_score"))
     return out.orderBy(F.desc("hotspot"), F.desc("score"), "node")
 
