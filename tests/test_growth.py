@@ -1,10 +1,12 @@
 """What moves and what a task holds grows no faster than the input."""
 
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 
-from tidemark.operators import planning
+from tidemark.operators import edits, planning, relations
 
 EDGE = "node long, reached long"
 
@@ -65,3 +67,13 @@ def test_hotspots_move_no_pairs(spark):
     nodes = spark.range(1, 3000).selectExpr("id as node", "id % 7 as score")
     n, rows = moved(spark, lambda: len(planning.hotspots(nodes, edges).collect()))
     assert n == 2999 and rows < 60 * n
+
+
+def test_edits_hold_a_few_texts_at_once():
+    edit = {"id": 1, "byte_start": 0, "byte_end": 1, "matched_source": "a", "fix_template": '{"type": "string_replace", "old": "a", "new": "b"}'}
+    batch = pa.RecordBatch.from_pylist([{"file_path": str(k), "text": "a" + "x" * 100_000, "edits": [edit]} for k in range(400)])
+    tracemalloc.start()
+    sizes = [b.num_rows for b in edits._applied_batches(iter([batch]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(sizes) == 400 and peak < 12_000_000

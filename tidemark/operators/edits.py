@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.extract import arrow_schema, batched
+
 
 def replace_text(source: Column, old: Column, new: Column) -> Column:
     return F.replace(source, old, new)
@@ -132,17 +134,19 @@ def apply_edits(files: DataFrame, matches: DataFrame) -> DataFrame:
     """
     places = (F.coalesce(c, F.lit(-1)).alias(c) for c in ("byte_start", "byte_end"))
     edits = matches.groupBy("file_path").agg(F.collect_list(F.struct("id", *places, "matched_source", "fix_template")).alias("edits"))
-    names = [x.split()[0] for x in _APPLIED.split(", ")]
+    return files.select("file_path", "text").join(edits, "file_path").mapInArrow(_applied_batches, _APPLIED)
+
+
+def _applied_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Files are walked one at a time: of a batch's texts, old and new, only a few are Python's at once."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows() -> Iterator[tuple]:
         for batch in batches:
-            rows: list[list] = []
-            for path, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows += [[path, *x] for x in _walk((text or "").encode(), found)]
-            kinds = (pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
+            for path, text, found in zip(*batch.columns, strict=True):
+                for x in _walk((text.as_py() or "").encode(), found.as_py()):
+                    yield path.as_py(), *x
 
-    return files.select("file_path", "text").join(edits, "file_path").mapInArrow(run, _APPLIED)
+    yield from batched(rows(), arrow_schema(_APPLIED), lambda row: len(row[4] or ""))
 
 
 def _walk(data: bytes, found: list[dict]) -> list[list]:

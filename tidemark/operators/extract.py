@@ -19,7 +19,7 @@ SYMBOLS = (
     "is_deprecated int, deprecation_version string, removal_version string, deprecation_message string, metadata_json string"
 )
 _COLUMNS = [x.split()[0] for x in SYMBOLS.split(", ")]
-_ARROW = {"string": pa.string(), "int": pa.int32(), "long": pa.int64()}
+_ARROW = {"boolean": pa.bool_(), "string": pa.string(), "int": pa.int32(), "long": pa.int64()}
 
 
 def arrow_schema(ddl: str) -> pa.Schema:
