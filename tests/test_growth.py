@@ -77,3 +77,13 @@ def test_edits_hold_a_few_texts_at_once():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert sum(sizes) == 400 and peak < 12_000_000
+
+
+def test_owners_of_a_large_folder_come_in_blocks(spark):
+    paths = ["a.php", "/x", "m", "m/0/s", "m/0/s/1.php", "m/1/2.php", "n/3.php", "m/0/s/1.php", None]
+    folders = [("m", "root"), ("m", "other"), ("m/0", "o0"), ("m/0/s/1.php", "self"), ("", "top"), ("n", None)]
+    files = spark.createDataFrame([(p,) for p in paths], "file_path string")
+    frame = relations.owner_of(files, spark.createDataFrame(folders, "folder string, owner string"))
+    assert sorted((r.file_path, r.owner or "-") for r in frame.collect()) == [("/x", "top"), ("m", "root"), ("m/0/s", "o0"), ("m/0/s/1.php", "self"), ("m/1/2.php", "root"), ("n/3.php", "-")]
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "block" in plan

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import jsonpath
+from tidemark.operators.lineage import blocked, meet
 
 # The JSON paths that a search looks at, by how their value is compared.
 EXACT_OR_PART = (("metadata_json", "$.owner"), ("signature_json", "$.class"), ("signature_json", "$.path"), ("signature_json", "$.controller"))
@@ -93,13 +94,22 @@ def match_group(extensions: DataFrame, groups: DataFrame) -> DataFrame:
 def owner_of(files: DataFrame, manifests: DataFrame) -> DataFrame:
     """(file_path, owner): the manifest of the deepest folder above a file.
 
-    A file is met with all folders on its path, which are few, by an equi-join.
+    Folders of files, which are far fewer, are met with all folders above them by an equi-join; a
+    file gets the owner of its own folder, in blocks, so that no task holds all files of a folder.
+    Of two manifests in one folder the greater owner counts.
     """
-    parts = F.split("file_path", "/")
+    parts = F.split("folder", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))
-    folders = files.select("file_path", F.explode(above).alias("folder"))
-    found = folders.join(manifests.select("folder", "owner"), "folder")
-    return found.groupBy("file_path").agg(F.max_by("owner", F.length("folder")).alias("owner"))
+    owners = manifests.groupBy("folder").agg(F.max("owner").alias("owner")).where("folder is not null")
+    split = files.select("file_path").where("file_path is not null").distinct().withColumn("folder", F.regexp_extract("file_path", "^(?s:(.*))/", 1))
+    folders = split.select("folder").distinct()
+    met = meet(folders.select("folder", F.explode(above).alias("upper")), owners.withColumnRenamed("folder", "upper"), "upper")
+    best = met.groupBy("folder").agg(F.max_by("owner", F.length("upper")).alias("owner"))
+    inherited = blocked(split.where(F.col("file_path").contains("/")), best, ["folder"], "file_path", "folder").select("file_path", "owner")
+    own = owners.select(F.col("folder").alias("file_path"), F.col("owner").alias("own"))
+    named = meet(split.select("file_path"), own, "file_path")
+    kept = meet(inherited, own, "file_path", "left_anti")
+    return kept.unionByName(named.select("file_path", F.col("own").alias("owner")))
 
 
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
