@@ -47,6 +47,34 @@ def test_a_closure_moves_no_more_rows_than_edges(spark):
     assert n > 60_000 and rows < n
 
 
+def test_plans_of_pairs_take_few_jobs(spark):
+    """Cycles below cycles were settled one after the other, with a walk over all of them each time."""
+    context = spark.sparkContext
+    nodes = spark.range(2, 64).withColumnRenamed("id", "node")
+    # A node and the one after it depend on each other, and the pair on another pair.
+    edges = nodes.selectExpr("node", "explode(array(node + if(node % 2 = 0, 1, -1), (node div 4) * 2)) as reached")
+    context.setJobGroup("plans", "")
+    found = {tuple(r) for r in planning.plan_order(nodes, edges).collect()}
+    context.setLocalProperty("spark.jobGroup.id", None)
+    level = lambda pair: 0 if pair == 1 else level(pair // 2) + 1
+    assert found == {(n, n // 2 * 2, level(n // 2), 1 + (n > 3)) for n in range(2, 64)}
+    assert len(context.statusTracker().getJobIdsForGroup("plans")) < 110
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_components_of_pairs_chains_and_cycles(spark, seed):
+    draw = random.Random(seed)
+    edges = [e for k in range(9) for e in ((k, k + 1), (k + 1, k))]  # each depends on the next, and the other way
+    edges += [(20, 21), (21, 22), (22, 20), (22, 21), (30, 20), (9, 30)]  # one of two inside one of three
+    edges += [(40 + k, 40 + (k + 1) % 6) for k in range(6)] + [(45, 0), (46, 45)]
+    names = draw.sample(range(100), 50)  # so that the least stands anywhere
+    edges = [(names[a], names[b]) for a, b in edges] + [(draw.randrange(100, 130), draw.randrange(100, 130)) for _ in range(40)]
+    nodes = {x for e in edges for x in e} | {999}
+    found = dict(tuple(r) for r in planning.components(spark.createDataFrame([(x,) for x in nodes], "node long"), spark.createDataFrame(edges, EDGE)).collect())
+    far = reach(edges)
+    assert found == {n: min([n, *(m for m in nodes if (n, m) in far and (m, n) in far)]) for n in nodes}
+
+
 @pytest.mark.parametrize("largest", [3, planning.SET])
 def test_closures_of_cycles_chains_and_large_sets(spark, largest):
     draw = random.Random(5)
