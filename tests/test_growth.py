@@ -115,3 +115,25 @@ def test_owners_of_a_large_folder_come_in_blocks(spark):
     assert sorted((r.file_path, r.owner or "-") for r in frame.collect()) == [("/x", "top"), ("m", "root"), ("m/0/s", "o0"), ("m/0/s/1.php", "self"), ("m/1/2.php", "root"), ("n/3.php", "-")]
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and "block" in plan
+
+
+def test_project_files_move_once(spark):
+    """As the numbers that they are made of; the texts were dealt out a second time."""
+    from tidemark.sources import snapshots
+
+    plan = snapshots.project_files(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_tokens_stand_where_their_lengths_tell():
+    """White space, lone quotes, heredocs and what no kind begins with are counted, so that places stay right."""
+    from tidemark.operators.php import tokens
+
+    text = "x ?> <?php\u00a0$a='b' . \u00e9\\f(1.5, $$ \\) # c\n/** d */ <<<A\n\u00df\nA; \u0663 ?->g \u203f \"e\\"
+    kinds = [(kind, t) for kind, _, _, t in tokens(text)]
+    assert all(text[a:b] == t for _, a, b, t in tokens(text))
+    assert kinds == [
+        ("var", "$a"), ("op", "="), ("string", "'b'"), ("op", "."), ("name", "\u00e9\\f"), ("op", "("), ("number", "1.5"), ("op", ","), ("op", "$"), ("op", "$"), ("op", "\\"), ("op", ")"),
+        ("comment", "# c"), ("doc", "/** d */"), ("heredoc", "<<<A\n\u00df\nA"), ("op", ";"), ("number", "\u0663"), ("op", "?->"), ("name", "g"), ("op", "\u203f"), ("op", '"'), ("name", "e"), ("op", "\\"),
+    ]
+    assert [t[0] for t in tokens("f('")] == ["name", "op", "string"]

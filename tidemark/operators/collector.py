@@ -58,7 +58,7 @@ def places(files: DataFrame) -> DataFrame:
         for batch in batches:
             for path, language, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 stand = list(READERS[language](path or "", text))
-                at = Offsets(text, [p for x in stand for p in x[2:4]])
+                at = Offsets(text, (p for x in stand for p in x[2:4]))
                 for kind, literal, a, b, n in stand:
                     yield path, language, kind, literal, text[a:b], n, at.byte(a), at.byte(b), at.line(a), at.line(b)
 
