@@ -3,9 +3,12 @@
 import json
 import random
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from tests.test_whole import distance
+from tidemark.functions.distance import edit_distances
 from tidemark.operators import changes, structure
 
 PAIRS = "id long, old_json string, new_json string"
@@ -97,6 +100,33 @@ def test_structured_renames_are_the_walk(spark):
     assert structure.renames(a.limit(0), b).count() == 0
 
 
+def test_copies_of_entries_are_scored_once(spark, monkeypatch):
+    """Each copy was compared with each of the other side; pairs of copies are only given out."""
+    gone, fresh = ([entry(at + k, "service", f"{name}{k}", "{}", source="a  b")[:4] + (name, *entry(0, "", "", "{}", source="a  b")[5:]) for k in range(n)] for at, n, name in ((0, 700, "long_name"), (1000, 600, "long_nam")))
+    gone += [entry(900, "service", "same", "{}", "é" * 40), entry(901, "service", None, "{}"), entry(902, "route", "same", "{}")]
+    fresh += [entry(1900, "service", "same", "{}", "é" * 40), entry(1901, "service", "sameé", "{}", "é" * 39), entry(1902, "service", "sameé" * 60, "{}", "é" * 40)]
+    a, b = (spark.createDataFrame(x, ENTRY) for x in (gone, fresh))
+    asked = []
+    monkeypatch.setattr(structure, "edit_distances", lambda x, y: asked.append((len(x), len(y))) or edit_distances(x, y))
+    packs = [pa.RecordBatch.from_pylist([{"symbol_type": "service"} | {side: [{"name": n, "plain": "a b", "shared": None, "rows": list(range(k))}] for side, n, k in (("old", "long_name", 700), ("new", "long_nam", 600))}])]
+    assert [(b.num_rows, len(b["met"][0])) for b in structure._scored_packs(0.78)(iter(packs))] == [(1, 1)] and asked == [(1, 1), (1, 1)]
+    monkeypatch.undo()
+    found = [(r.old_id, r.new_id, round(r.score, 6), r.change_type) for r in structure.rename_candidates(a, b).collect()]
+    want = [(o, 1000 + n, round(0.80 + 0.2 * 8 / 9, 6), "service_renamed") for o in range(700) for n in range(600)]
+    want += [(900, 1901, round(0.65 + 0.2 * 4 / 6 + 0.15 * 78 / 80, 6), "service_renamed"), (900, 1902, round(0.80 + 0.2 * 2 * 4 / (4 + 360), 6), "service_renamed")]
+    assert sorted(found) == sorted(want)
+
+
+@pytest.mark.parametrize("longest", [3, 20, 64, 70, 200, 255])
+def test_distances_of_many_texts(longest):
+    draw = random.Random(longest)
+    text = lambda: bytes(draw.choice(b"ab\xc3_") for _ in range(draw.randrange(longest + 1)))
+    a = [text() for _ in range(5)] + [b"", b"x" * longest]
+    a, b = a + [(x[: draw.randrange(len(x) + 1)] + text())[:longest] for x in a], [text() for _ in range(5)] + [b"", b"x" * longest]
+    for x, y in ((a, b), (b, a), (a, []), ([], b)):
+        assert edit_distances(x, y).tolist() == [[distance(s, t) for t in y] for s in x]
+
+
 def test_version_changes_has_every_stream(spark):
     call = lambda *p: json.dumps({"params": [{"name": f"${x}"} for x in p], "return_type": None})
     old = [

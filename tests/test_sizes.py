@@ -1,9 +1,11 @@
 """Plans of what is larger than its files tell, and joins of few keys with many rows."""
 
+import math
 import re
 
 import pytest
 
+from tests.test_growth import moved
 from tidemark.operators import references
 from tidemark.operators.lineage import blocked
 from tidemark.plans import registry
@@ -38,6 +40,13 @@ def test_blocks_keep_their_tasks(spark):
     assert met.count() == 2 * 4500**2
 
 
+def test_blocks_send_rows_no_more_often_than_tasks_need(spark):
+    """A row was sent once for each block of the other side, however many those were."""
+    a, b = (spark.range(9000).selectExpr(f"id as {c}", "'k' as k") for c in "xy")
+    n, rows = moved(spark, lambda: blocked(a, b, ["k"], "x", "y", block=100).count())
+    assert n == 9000**2 and rows < 18000 * (math.isqrt(16 * spark.sparkContext.defaultParallelism) + 4)
+
+
 @pytest.mark.parametrize("name", ["structured_renames", "similar_names", "rename_scores"])
 def test_pairs_are_made_in_many_tasks(spark, name):
     assert registry.QUERIES[name](spark, SF).rdd.getNumPartitions() >= 16 * spark.sparkContext.defaultParallelism
