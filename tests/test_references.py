@@ -1,5 +1,6 @@
 """References, searches over many terms, and links on odd rows."""
 
+from tests.test_growth import moved
 from tidemark.operators import references, reports
 
 SYMBOL = "id long, version_id long, language string, symbol_type string, fqn string, name string, file_path string, signature_json string, metadata_json string"
@@ -61,3 +62,10 @@ def test_names_that_begin_alike_meet_by_their_rarest_gram(spark):
     a, b = spark.createDataFrame([(x,) for x in paths], "file_path string"), spark.createDataFrame([(x,) for x in names], "machine_name string")
     found = {tuple(r) for r in reports.contained(a, b).collect()}
     assert found == {(p, n) for p in paths if p for n in names if n in p.lower()}
+
+
+def test_ids_of_one_key_are_sent_in_packs(spark):
+    """Each id was sent by itself, once for each block of the other side."""
+    a, b = (spark.range(5000).selectExpr("1 as version_id", f"id as {c}", "'k' as key").unionByName(spark.range(3).selectExpr("1 as version_id", f"id as {c}", "'l' as key")) for c in "xy")
+    n, rows = moved(spark, lambda: references._pairs(a, b, "key", "x", "y").count())
+    assert n == 5000**2 and rows < 24_000
