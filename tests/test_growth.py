@@ -6,7 +6,7 @@ import tracemalloc
 import pyarrow as pa
 import pytest
 
-from tidemark.operators import edits, planning, relations
+from tidemark.operators import edits, planning, relations, rename
 
 EDGE = "node long, reached long"
 
@@ -137,3 +137,32 @@ def test_tokens_stand_where_their_lengths_tell():
         ("comment", "# c"), ("doc", "/** d */"), ("heredoc", "<<<A\n\u00df\nA"), ("op", ";"), ("number", "\u0663"), ("op", "?->"), ("name", "g"), ("op", "\u203f"), ("op", '"'), ("name", "e"), ("op", "\\"),
     ]
     assert [t[0] for t in tokens("f('")] == ["name", "op", "string"]
+
+
+def test_assigned_renames_move_no_pairs(spark):
+    """Each pair of copies was written and shuffled before the walk."""
+    columns = "id long, language string, symbol_type string, fqn string, name string, namespace string, signature_json string, source_text string"
+    copies = [[(at + k, "php", "f", f"{name}#{at + k}", name, "N", "{}", f"{name} body") for k in range(500)] for at, name in ((0, "long_name"), (1000, "long_names"))]
+    gone, fresh = (spark.createDataFrame(x, columns) for x in copies)
+    found, rows = moved(spark, lambda: rename.renames(gone, fresh).collect())
+    assert sorted((r.old_id, r.new_id) for r in found) == [(k, 1000 + k) for k in range(500)] and rows < 20_000
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_renames_of_variants_are_the_walk_of_pairs(spark, seed):
+    draw = random.Random(seed)
+    columns = "id long, language string, symbol_type string, fqn string, name string, namespace string, signature_json string, source_text string"
+    names = ["load_all", "load_alls", "load_any", "lead_all", "say", "", None]
+
+    def some(at):
+        rows = []
+        for k in draw.sample(range(at, at + 200), 60):
+            name = draw.choice(names)
+            fqn = draw.choice([f"{name}#{k}", f"x{k % 9}", None])
+            rows.append((k, "php", "f", fqn, name, draw.choice(["N", None]), draw.choice(["{}", "{}", "[]", ""]), draw.choice([f"{name} body", "other", None])))
+        return spark.createDataFrame([*rows, (None,) * 8], columns)
+
+    gone, fresh = some(0), some(1000)
+    found = sorted(map(str, rename.renames(gone, fresh).collect()))
+    assert found == sorted(map(str, rename.assign(rename.candidates(gone, fresh)).collect())) and len(found) > 10
+    assert rename.renames(gone.limit(0), fresh).count() == 0

@@ -70,7 +70,7 @@ def version_changes(old: DataFrame, new: DataFrame, structured: str = "yaml", re
     entry = F.col("language") == structured
     streams = []
     if renames:
-        code = checkpointed(rename.assign(rename.candidates(gone, fresh)))
+        code = checkpointed(rename.renames(gone, fresh))
         kinds = gone.select(F.col("id").alias("old_id"), "language", "symbol_type")
         hint = F.concat(F.lit("This "), F.replace("symbol_type", F.lit("_"), F.lit(" ")), F.lit(" was renamed to "), "new_fqn", F.lit("."))
         change = F.concat("symbol_type", F.lit("_renamed"))

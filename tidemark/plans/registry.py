@@ -120,19 +120,19 @@ q as (select old_id, new_id, old_fqn, new_fqn, least(1.0, 0.5 + 0.3 * s + case w
 """
 
 
-def _renamed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates between the snapshots, where every fifth symbol of the second has another name."""
+def _renamed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """What is removed and added between the snapshots, where every fifth symbol of the second has another name."""
     old, new = snapshots.both(spark, sf_dir)
     other = lambda c, text: F.when(F.col("id") % 5 == 0, text).otherwise(F.col(c))
     named = {"fqn": other("fqn", F.concat("fqn", F.lit("s"))), "name": other("name", F.concat("name", F.lit("s"))), "source_text": other("source_text", F.concat("name", F.lit("s "), "namespace"))}
     new = new.withColumns(named)
-    return rename.candidates(diff.removed(old, new), diff.added(old, new))
+    return diff.removed(old, new), diff.added(old, new)
 
 
 query("rename_scores", V.rstrip() + _GONE + "select old_id, new_id, round(score, 6) as score from q where score >= 0.7")(
-    lambda spark, sf_dir: _renamed(spark, sf_dir).select("old_id", "new_id", F.round("score", 6).alias("score"))
+    lambda spark, sf_dir: rename.candidates(*_renamed(spark, sf_dir)).select("old_id", "new_id", F.round("score", 6).alias("score"))
 )
-query("rename_assignment")(lambda spark, sf_dir: rename.assign(_renamed(spark, sf_dir)))
+query("rename_assignment")(lambda spark, sf_dir: rename.renames(*_renamed(spark, sf_dir)))
 
 # Matches: joins, overlays, counts and comparisons.
 def _matches(f):
