@@ -130,7 +130,8 @@ def renames(gone: DataFrame, fresh: DataFrame, accept: float = ACCEPT) -> DataFr
     walk of one block goes through one task in order, since each symbol takes what those before it
     left; that holds the ids of the block's added symbols.
     """
-    variants, agreed = _agreed(gone, fresh, accept, apart=True)
+    # Both sides are read many times below.
+    variants, agreed = _agreed(*(checkpointed(df.select(*KEEP)) for df in (gone, fresh)), accept, apart=True)
     text = lambda *c: F.sha2(F.to_json(F.array(*c)), 256).alias("block")
     none = lambda name, kind: F.lit(None).cast(kind).alias(name)
     rows = agreed.select(text(*BLOCK), F.lit(0).alias("kind"), F.col("old_variant").alias("old"), F.col("new_variant").alias("new"), none("id", "long"), "score")
